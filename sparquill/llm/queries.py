@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pii
 from .common import documents
+from .perplexity import quality_rules
 from .token_files import token_files
 
 
@@ -12,7 +14,17 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(documents(spark, sf_dir))
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op7_personal_data": op7_personal_data,
     "op4_token_files": op4_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}
