@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
+from . import byte_cnn, pii
 from .common import documents
 from .perplexity import quality_rules
 from .token_files import token_files
@@ -18,12 +18,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_cnn.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
 
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op5_byte_cnn": op5_byte_cnn,
     "op7_personal_data": op7_personal_data,
     "op4_token_files": op4_token_files,
 }
