@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_cnn, pii
 from .common import documents
+from .near_duplicates import near_duplicates
 from .perplexity import quality_rules
 from .token_files import token_files
 
@@ -26,10 +27,15 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_byte_cnn": op5_byte_cnn,
     "op7_personal_data": op7_personal_data,
+    "op9_near_duplicates": op9_near_duplicates,
     "op4_token_files": op4_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -25,7 +25,7 @@ def signatures(elements: np.ndarray, rows: np.ndarray, n_rows: int, slots: int)
     flat = table.ravel()
     live, row, order = elements, rows, None
     for step in range(slots):
-        x = mix(live + U64(0x9E3779B97F4A7C15) * U64(step + 1))
+        x = mix(live + U64(0x9E3779B97F4A7C15 * (step + 1) % 2**64))
         offer = step + (x >> U64(11)).astype(np.float64) * 2.0**-53
         pick = step + ((mix(x ^ U64(0xD6E8FEB86659FD93)) >> U64(32)) * U64(slots - step) >> U64(32)).astype(np.int64)
         if order is None:
