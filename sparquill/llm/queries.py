@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_cnn, pii
 from .common import documents
+from .imatch import fingerprints
 from .near_duplicates import near_duplicates
 from .perplexity import quality_rules
 from .token_files import token_files
@@ -23,6 +24,10 @@ def op5_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
@@ -34,6 +39,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_byte_cnn": op5_byte_cnn,
+    "op6_imatch": op6_imatch,
     "op7_personal_data": op7_personal_data,
     "op9_near_duplicates": op9_near_duplicates,
     "op4_token_files": op4_token_files,
