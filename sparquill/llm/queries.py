@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, pii
+from . import byte_cnn, licenses, pii
 from .common import documents
 from .imatch import fingerprints
 from .near_duplicates import near_duplicates
@@ -32,6 +32,10 @@ def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(documents(spark, sf_dir))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
@@ -41,7 +45,10 @@ QUERIES = {
     "op5_byte_cnn": op5_byte_cnn,
     "op6_imatch": op6_imatch,
     "op7_personal_data": op7_personal_data,
+    "op8_licenses": op8_licenses,
     "op9_near_duplicates": op9_near_duplicates,
     "op4_token_files": op4_token_files,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_licenses": licenses.oracle_sql(),
+}
