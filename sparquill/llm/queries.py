@@ -8,6 +8,7 @@ from . import byte_cnn, licenses, pii
 from .common import documents
 from .imatch import fingerprints
 from .near_duplicates import near_duplicates
+from .packing import pack
 from .perplexity import quality_rules
 from .token_files import token_files
 
@@ -16,6 +17,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(documents(spark, sf_dir))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -41,6 +46,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
     "op5_byte_cnn": op5_byte_cnn,
     "op6_imatch": op6_imatch,
