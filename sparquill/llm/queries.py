@@ -10,6 +10,7 @@ from .imatch import fingerprints
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .perplexity import quality_rules
+from .repeats import remove_repeats
 from .token_files import token_files
 
 
@@ -45,6 +46,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words=3, percent=85)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
@@ -53,6 +58,7 @@ QUERIES = {
     "op7_personal_data": op7_personal_data,
     "op8_licenses": op8_licenses,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_repeats": op10_repeats,
     "op4_token_files": op4_token_files,
 }
 ORACLE_SQL: dict[str, str] = {
