@@ -208,10 +208,14 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs, all columns kept, with the spans of the text column masked; null stays null."""
+    """docs, all columns kept, with the spans of the text column masked; null stays null.
+
+    n_chars, where there is such a column, counts the masked text.
+    """
 
     @F.pandas_udf("string")
     def masked(texts):
         return texts.map(lambda x: x if x is None else redacted(x, find_spans(x)[1]))
 
-    return docs.withColumn(column, masked(F.col(column)))
+    out = docs.withColumn(column, masked(F.col(column)))
+    return out.withColumn("n_chars", F.char_length(column).cast("long")) if "n_chars" in docs.columns else out

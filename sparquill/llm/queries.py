@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import byte_cnn, licenses, pii
 from .common import documents
 from .imatch import fingerprints
+from .mixing import mix_sources
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .perplexity import quality_rules
@@ -22,6 +23,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -52,6 +57,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_mixing": op2_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op5_byte_cnn": op5_byte_cnn,
     "op6_imatch": op6_imatch,
