@@ -276,12 +276,16 @@ def _answer_bytes(table: pa.Table) -> pa.Table:
         wide.append(np.frombuffer(raw, np.uint8, WIDE * n, 4 + 18 * n).reshape(n, WIDE))
         sizes.append(n)
     h, d, left, right, wide = map(np.concatenate, (h, d, left, right, wide))
-    bounds = np.arange(len(h) + 1) * WIDE
-    sums = prefix_hashes(wide.ravel())
+    windows = np.empty((REACH + 1, len(h)), U64)
+    for a in range(0, len(h), 1 << 14):  # in blocks: the sums take eight times the bytes
+        block = wide[a : a + (1 << 14)]
+        bounds, sums = np.arange(len(block)) * WIDE, prefix_hashes(block.ravel())
+        for s in range(REACH + 1):
+            windows[s, a : a + len(block)] = span_hashes(sums, bounds + s, bounds + s + LENGTH)
     low, high = np.full(len(h), _NONE, np.uint8), np.full(len(h), _NONE, np.uint8)
     for s in range(REACH + 1):
         ok = np.flatnonzero((left >= REACH - s) & (right >= LENGTH - REACH + s))
-        key = mix(span_hashes(sums, bounds[ok] + s, bounds[ok] + s + LENGTH) + h[ok])
+        key = mix(windows[s, ok] + h[ok])
         order = np.lexsort((d[ok], key))
         ks, ds = key[order], d[ok][order]
         new = np.r_[True, ks[1:] != ks[:-1]] if len(ks) else np.zeros(0, bool)
