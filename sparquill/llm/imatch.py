@@ -13,8 +13,8 @@ fingerprints have; 0 if there is no such rate.
 The lexicon has at most (mean distinct terms of a document) / low terms,
 however many documents there are; it is broadcast if it really is as small.
 
-Null texts are empty. A text without terms of the lexicon has a hash of all its
-terms instead, like only its equals. Rows without doc_id are left out; rows
+Null texts are empty. A text without terms of the lexicon has a hash of itself
+instead, like only its equals. Rows without doc_id are left out; rows
 that share a doc_id are ordered by text. The only document is its own next one.
 Other columns are not read; no rows give no rows.
 """
@@ -28,15 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, keyed, pieces_for
 
-SUBSETS, DIGITS = 24, 4
+SUBSETS, DIGITS, STRIDE = 16, 4, 3
 MOST_TERMS = 1_000_000  # of a lexicon (8 bytes each) that is broadcast; a larger one is joined by a shuffle
 _SEGMENT = SUBSETS * DIGITS
 
 
 def term_hashes(text: Column) -> Column:
-    """Hashes of the distinct lower-case words."""
-    words = F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda x: x != "")
-    return F.array_distinct(F.transform(words, lambda x: F.xxhash64(x)))
+    """Hashes of the distinct lower-case words, even numbers."""
+    words = F.transform(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda x: F.xxhash64(x).bitwiseAND(-2))
+    return F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")).bitwiseAND(-2))
 
 
 def lexicon(docs: DataFrame, low: float, high: float) -> DataFrame:
@@ -51,26 +51,31 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _segment(terms: Column, level: Column) -> Column:
-    """The hashes of all sub-lexicons that keep one term of 2^level."""
+def _spelled(own: Column) -> Column:
+    """The hash of a sub-lexicon's terms in digits; zeros if there are none."""
+    return F.when(F.size(own) == 0, F.lit("0" * DIGITS)).otherwise(F.lpad(F.hex(F.pmod(F.xxhash64(own), F.lit(16**DIGITS - 1)) + 1), DIGITS, "0"))
 
-    def spelled(own: Column) -> Column:
-        return F.when(F.size(own) == 0, F.lit("0" * DIGITS)).otherwise(F.lpad(F.hex(F.pmod(F.xxhash64(own), F.lit(16**DIGITS - 1)) + 1), DIGITS, "0"))
 
-    def each(mask: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.lit(SUBSETS)), lambda k: _let(F.filter(terms, lambda t: F.xxhash64(t, k).bitwiseAND(mask) == 0), spelled))
-
-    return F.array_join(_let(F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, each), "")
+def _kept(terms: Column, level: Column, k: Column) -> Column:
+    """Terms whose `level` bits from place 1 + STRIDE * k on are clear: the k-th sub-lexicon at that rate."""
+    mask = F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, 1 + STRIDE * k)
+    return _let(mask, lambda m: F.filter(terms, lambda t: t.bitwiseAND(m) == 0))
 
 
 def fingerprint(terms: Column, whole: Column) -> Column:
-    """Level and two segments; terms: those of the lexicon, distinct; whole: a hash of all terms."""
+    """Level and two segments; terms: those of the lexicon, distinct; whole: a hash of the text."""
 
     def spelled(ts: Column) -> Column:
-        level = F.floor(F.log2(F.size(ts))).cast("int")
-        return _let(level, lambda n: F.concat(F.lpad(n.cast("string"), 2, "0"), _segment(ts, n), _segment(ts, n + 1)))
+        def at(level: Column) -> Column:
+            def both(k: Column) -> Column:  # the rarer sub-lexicon is part of the other
+                return _let(_kept(ts, level, k), lambda own: F.struct(_spelled(own).alias("a"), _let(_kept(own, level + 1, k), _spelled).alias("b")))
+
+            pairs = F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), both)
+            return _let(pairs, lambda p: F.concat(F.lpad(level.cast("string"), 2, "0"), F.array_join(p["a"], ""), F.array_join(p["b"], "")))
 
-    return F.when(F.size(terms) == 0, F.concat(F.lit("--"), F.lpad(F.hex(whole), 16, "0"))).otherwise(_let(F.array_sort(terms), spelled))
+        return _let(F.floor(F.log2(F.size(ts))).cast("int"), at)
+
+    return F.when(F.size(terms) == 0, F.concat(F.lit("--"), F.lpad(F.hex(whole), 16, "0"))).otherwise(_let(F.sort_array(terms), spelled))
 
 
 def _agree(x: Column, y: Column) -> Column:
@@ -136,18 +141,16 @@ def fingerprints(docs: DataFrame, low: float = 0.003, high: float = 0.05, task_b
     n = F.char_length("text")
     tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - tail), F.substring("after", F.lit(1), tail))
-    rows = rows.select("bucket", "place", "doc_id", "after_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("sha"), term_hashes(F.col("text")).alias("own"), term_hashes(edited).alias("new"))
-    # a row for each term of either text, and one (term 0) that carries the rest and is in every lexicon
-    rest = F.struct("doc_id", "after_id", "n_chars", "sha", F.xxhash64(F.array_sort("own")).alias("own_all"), F.xxhash64(F.array_sort("new")).alias("new_all"))
-    both = F.concat(
-        F.array(F.struct(F.lit(0).cast("long").alias("term"), F.lit(0).alias("of"), rest.alias("rest"))),
-        F.transform("own", lambda t: F.struct(t.alias("term"), F.lit(1).alias("of"), F.when(F.lit(False), rest).alias("rest"))),
-        F.transform("new", lambda t: F.struct(t.alias("term"), F.lit(2).alias("of"), F.when(F.lit(False), rest).alias("rest"))),
-    )
-    found = rows.select("bucket", "place", F.inline(both)).join(terms.toDF("term"), "term")
-    of = lambda k: F.collect_list(F.when(F.col("of") == k, F.col("term")))
-    gathered = found.groupBy("bucket", "place").agg(of(1).alias("own"), of(2).alias("new"), F.first("rest", ignorenulls=True).alias("rest"))
-    prints = gathered.select("rest.*", fingerprint(F.col("own"), F.col("rest.own_all")).alias("fingerprint"), fingerprint(F.col("new"), F.col("rest.new_all")).alias("edited_fingerprint"))
+    own, new = term_hashes(F.col("text")), F.transform(term_hashes(edited), lambda t: t.bitwiseOR(1))
+    codes = F.concat(F.array(F.lit(0).cast("long")), own, new)  # a row for each term of either text; 0 is in every lexicon
+    rows = rows.select("bucket", "place", "doc_id", "after_id", n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("sha"), F.xxhash64("text").alias("own_all"), F.xxhash64(edited).alias("new_all"), codes.alias("codes"))
+    # exploded in a step of its own: else what stands beside it would be worked out for each term
+    rows = rows.select(*[c for c in rows.columns if c != "codes"], F.explode("codes").alias("code"))
+    found = rows.withColumn("term", F.col("code").bitwiseAND(-2)).join(terms.toDF("term"), "term")
+    of = lambda k: F.collect_list(F.when((F.col("code") != 0) & (F.col("code").bitwiseAND(1) == k), F.col("term")))
+    same = ("doc_id", "after_id", "n_chars", "sha", "own_all", "new_all")
+    gathered = found.groupBy("bucket", "place").agg(of(0).alias("own"), of(1).alias("new"), *(F.first(k).alias(k) for k in same))
+    prints = gathered.select("doc_id", "after_id", "n_chars", "sha", fingerprint(F.col("own"), F.col("own_all")).alias("fingerprint"), fingerprint(F.col("new"), F.col("new_all")).alias("edited_fingerprint"))
     prints = scratch.table(prints, "prints")
     after = prints.groupBy(F.col("doc_id").alias("after_id")).agg(F.min("fingerprint").alias("after_print"))
     return prints.join(after, "after_id").select(
