@@ -2,6 +2,372 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import text as tx
+from .functions import vectors as vx
+from .operators import changes, evaluate, graph, memory, observe, search
+from .sources.files import html_text, read_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = None
+SEARCH_TERMS = ["with", "la", "thed", "ble"]  # stems, as terms() makes them; "with" is a stop word and never found
+QUERY_IDS = (3, 17, 42, 99)
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its SQL twin."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL fragments for what the column functions do
+
+_STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+_STEM = "CASE " + " ".join(f"WHEN suffix(w, '{s}') AND strlen(w) > {len(s) + 3} THEN left(w, length(w) - {len(s)})" for s in tx.SUFFIXES) + " ELSE w END"
+_TERMS = f"""
+raw AS (SELECT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM documents),
+terms AS (SELECT id, {_STEM} AS term FROM raw WHERE strlen(w) BETWEEN 2 AND 50 AND w NOT IN ({_STOP}))"""
+_WORDS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"
+_SENTENCES = "list_filter(list_transform(regexp_split_to_array({0}, '[.!?]'), lambda x: trim(x)), lambda x: x <> '')"
+
+
+def _jaccard_sql(a: str, b: str) -> str:
+    return f"coalesce(len(list_intersect(list_distinct({a}), list_distinct({b})))::DOUBLE / nullif(len(list_distinct(list_concat({a}, {b}))), 0), 0)"
+
+
+# text preparation
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS hash, length(text) AS n_chars, trim(text) = '' AS blank FROM documents")
+def text_normalize(spark, d):
+    x = F.trim(F.regexp_replace(F.lower("text"), "\\s+", " "))
+    return read_table(spark, d, "documents").select("doc_id", F.md5(x).alias("hash"), F.char_length("text").cast("long").alias("n_chars"), (F.trim("text") == "").alias("blank"))
+
+
+@query("""SELECT doc_id, i AS chunk_index, md5(substr(text, i * 448 + 1, 512)) AS hash
+FROM (SELECT doc_id, text, unnest(range(0, 1 + ceil(greatest(length(text) - 512, 0) / 448.0)::BIGINT)) AS i FROM documents)""")
+def chunk_fixed(spark, d):
+    x = read_table(spark, d, "documents").select("doc_id", F.posexplode(tx.cut_fixed(F.col("text"), 512, 64)).alias("chunk_index", "chunk"))
+    return x.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("chunk").alias("hash"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, {_SENTENCES.format('text')} AS p FROM documents),
+c AS (SELECT doc_id, text, p, unnest(range(0, CASE WHEN len(p) <= 5 THEN 1 ELSE 1 + ceil((len(p) - 5) / 4.0)::BIGINT END)) AS i FROM s)
+SELECT doc_id, i AS chunk_index, md5(CASE WHEN len(p) <= 5 THEN text ELSE array_to_string(p[i * 4 + 1 : i * 4 + 5], '. ') || '.' END) AS hash FROM c""")
+def chunk_sentences(spark, d):
+    x = read_table(spark, d, "documents").select("doc_id", F.posexplode(tx.cut_sentences(F.col("text"), 5, 1)).alias("chunk_index", "chunk"))
+    return x.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.md5("chunk").alias("hash"))
+
+
+@query("""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) AS hash FROM pages""")
+def pages_to_text(spark, d):
+    return read_table(spark, d, "pages").select("page_id", F.md5(html_text(F.col("html"))).alias("hash"))
+
+
+# search
+
+
+@query(f"WITH {_TERMS} SELECT count(DISTINCT id) AS total_docs, count(DISTINCT term) AS unique_terms, round(count(*)::DOUBLE / count(DISTINCT id), 6) AS avg_length FROM terms")
+def index_statistics(spark, d):
+    return search.term_statistics(read_table(spark, d, "documents"))
+
+
+_BM25 = f"""{_TERMS},
+lengths AS (SELECT id, count(*) AS len, {", ".join(f"count(*) FILTER (term = '{q}') AS n{i}" for i, q in enumerate(SEARCH_TERMS))} FROM terms GROUP BY id),
+totals AS (SELECT count(*) AS n, avg(len) AS avgdl, {", ".join(f"count(*) FILTER (n{i} > 0) AS df{i}" for i in range(len(SEARCH_TERMS)))} FROM lengths),
+scored AS (SELECT id, round(({" + ".join(f"ln((n - df{i} + 0.5) / (df{i} + 0.5) + 1) * (n{i}::DOUBLE / len) * 2.2 / (n{i}::DOUBLE / len + 1.2 * (1 - 0.75 + 0.75 * len / avgdl))" for i in range(len(SEARCH_TERMS)))}) / {len(SEARCH_TERMS)}, 6) AS score
+  FROM lengths, totals WHERE {" OR ".join(f"n{i} > 0" for i in range(len(SEARCH_TERMS)))}),
+keyword AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM scored QUALIFY rank < 20)"""
+
+
+def _keyword(spark, d):
+    return search.bm25(read_table(spark, d, "documents"), SEARCH_TERMS, 20)
+
+
+@query(f"WITH {_BM25} SELECT * FROM keyword")
+def bm25_search(spark, d):
+    return _keyword(spark, d)
+
+
+_VEC = "list_transform(embedding, lambda x: x::DOUBLE)"
+_METRIC_SQL = {
+    "cosine": "coalesce(list_sum(list_transform(list_zip(v, q), lambda z: z[1] * z[2])) / nullif(sqrt(list_sum(list_transform(v, lambda x: x * x))) * sqrt(list_sum(list_transform(q, lambda x: x * x))), 0), 0)",
+    "dot": "list_sum(list_transform(list_zip(v, q), lambda z: z[1] * z[2]))",
+    "euclidean": "1 / (1 + sqrt(list_sum(list_transform(list_zip(v, q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))))",
+    "manhattan": "1 / (1 + list_sum(list_transform(list_zip(v, q), lambda z: abs(z[1] - z[2]))))",
+}
+_IDS = ", ".join(map(str, QUERY_IDS))
+
+
+def _knn_sql(metric: str, k: int = 10) -> str:
+    return f"""vectors AS (SELECT vec_id, {_VEC} AS v FROM embeddings), asked AS (SELECT vec_id AS query_id, v AS q FROM vectors WHERE vec_id IN ({_IDS})),
+near AS (SELECT query_id, vec_id AS id, round({_METRIC_SQL[metric]}, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank
+  FROM vectors JOIN asked ON vec_id <> query_id QUALIFY rank < {k})"""
+
+
+def _knn(spark, d, metric, k=10):
+    v = read_table(spark, d, "embeddings")
+    return search.knn(v, v.where(F.col("vec_id").isin(*QUERY_IDS)), k, metric)
+
+
+for _metric in _METRIC_SQL:
+    QUERIES[f"knn_{_metric}"] = lambda spark, d, m=_metric: _knn(spark, d, m)
+    ORACLE_SQL[f"knn_{_metric}"] = f"WITH {_knn_sql(_metric)} SELECT * FROM near"
+
+
+@query(f"WITH vectors AS (SELECT vec_id, {_VEC} AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM vectors) SELECT vec_id, round(list_sum(list_transform(v, lambda x: abs(x / l))), 6) AS l1 FROM n")
+def unit_vectors(spark, d):
+    v = vx.unit(vx.doubles(F.col("embedding")))
+    return read_table(spark, d, "embeddings").select("vec_id", F.round(tx.sum_of(F.transform(v, lambda x: F.abs(x))), 6).alias("l1"))
+
+
+_LISTS = f"{_BM25}, {_knn_sql('cosine', 20)}, semantic AS (SELECT id, score, rank FROM near WHERE query_id = {QUERY_IDS[0]})"
+
+
+def _semantic(spark, d):
+    return _knn(spark, d, "cosine", 20).where(F.col("query_id") == QUERY_IDS[0]).select("id", "score", "rank")
+
+
+@query(f"""WITH {_LISTS}, sums AS (SELECT id, sum(1.0::DOUBLE / (60 + rank + 1)) AS raw FROM (SELECT id, rank FROM keyword UNION ALL SELECT id, rank FROM semantic) GROUP BY id),
+fused AS (SELECT id, round(raw / (SELECT max(raw) FROM sums), 6) AS score FROM sums)
+SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM fused QUALIFY rank < 10""")
+def hybrid_rrf(spark, d):
+    return search.reciprocal_rank_fusion([_keyword(spark, d), _semantic(spark, d)], 10)
+
+
+def _weighted_sql(scaled: str) -> str:
+    return f"""WITH {_LISTS}, parts AS (
+SELECT id, 0.4::DOUBLE * {scaled} AS part FROM keyword, (SELECT min(score) lo, max(score) hi, avg(score) mean, stddev_pop(score) sd FROM keyword)
+UNION ALL SELECT id, 0.6::DOUBLE * {scaled} FROM semantic, (SELECT min(score) lo, max(score) hi, avg(score) mean, stddev_pop(score) sd FROM semantic)),
+fused AS (SELECT id, round(sum(part), 6) AS score FROM parts GROUP BY id)
+SELECT id, score, row_number() OVER (ORDER BY score DESC, id) - 1 AS rank FROM fused QUALIFY rank < 10"""
+
+
+@query(_weighted_sql("CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE score END"))
+def hybrid_min_max(spark, d):
+    return search.weighted_fusion([_keyword(spark, d), _semantic(spark, d)], [0.4, 0.6], 10)
+
+
+@query(_weighted_sql("CASE WHEN sd > 0 THEN (score - mean) / sd ELSE score END"))
+def hybrid_z_score(spark, d):
+    return search.weighted_fusion([_keyword(spark, d), _semantic(spark, d)], [0.4, 0.6], 10, "z_score")
+
+
+# evaluation
+
+
+@query(f"""WITH {_knn_sql('cosine')}, judged AS (SELECT query_id, rank, (a.label = b.label)::INT AS relevant FROM near JOIN embeddings a ON a.vec_id = query_id JOIN embeddings b ON b.vec_id = id),
+totals AS (SELECT a.vec_id AS query_id, count(*) AS t FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id IN ({_IDS}) GROUP BY 1),
+seen AS (SELECT *, sum(relevant) OVER (PARTITION BY query_id ORDER BY rank) AS s FROM judged),
+g AS (SELECT query_id, count(*) AS n, sum(relevant) AS hits, sum(relevant * s::DOUBLE / (rank + 1)) AS ap, min(rank) FILTER (relevant = 1) AS first, sum(relevant / log2(rank + 2)) AS dcg FROM seen GROUP BY 1),
+m AS (SELECT *, hits::DOUBLE / least(n, 10) AS p, hits::DOUBLE / t AS r FROM g JOIN totals USING (query_id))
+SELECT query_id, round(p, 6) AS precision_at_k, round(r, 6) AS recall_at_k, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1_at_k, round(ap / t, 6) AS average_precision,
+round(coalesce(1.0::DOUBLE / (first + 1), 0), 6) AS reciprocal_rank, round(dcg / list_sum(list_transform(range(1, least(t, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg_at_k, (hits > 0)::INT AS hit FROM m""")
+def retrieval_evaluation(spark, d):
+    e = read_table(spark, d, "embeddings").select("vec_id", "label")
+    near = _knn(spark, d, "cosine")
+    asked = F.broadcast(e.where(F.col("vec_id").isin(*QUERY_IDS)).select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")))
+    judged = near.join(asked, "query_id").join(e.toDF("id", "label"), "id").select("query_id", "rank", (F.col("label") == F.col("want")).cast("int").alias("relevant"))
+    totals = e.join(asked, (e["label"] == asked["want"]) & (e["vec_id"] != asked["query_id"])).groupBy("query_id").agg(F.count(F.lit(1)).alias("total_relevant"))
+    return evaluate.retrieval_metrics(judged, totals, 10)
+
+
+_W = _WORDS.format("text")
+_TOXIC = ", ".join(f"'{t}'" for t in evaluate.TOXIC_TERMS)
+
+
+@query(f"""WITH x AS (SELECT doc_id, text, {_W} AS w, {_SENTENCES.format('text')} AS s, len(string_split(text, '.')) AS parts FROM documents),
+r AS (SELECT *, list_sum(list_transform(w, lambda y: greatest(len(regexp_extract_all(lower(y), '[aeiouy]+')), 1)))::DOUBLE / nullif(len(w), 0) AS rate FROM x)
+SELECT doc_id, round(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(0, least(100, 206.835::DOUBLE - 1.015::DOUBLE * len(w) / parts - 84.6::DOUBLE * rate)) END, 6) AS readability,
+round(coalesce(len(list_distinct(w))::DOUBLE / nullif(len(w), 0), 0), 6) AS lexical_diversity,
+round(CASE WHEN len(s) < 2 THEN 1 ELSE list_sum(list_transform(range(1, len(s)), lambda i: {_jaccard_sql(_WORDS.format('s[i]'), _WORDS.format('s[i + 1]'))})) / (len(s) - 1) END, 6) AS coherence,
+round(coalesce(len(list_filter(w, lambda y: len(list_filter([{_TOXIC}], lambda t: contains(lower(y), t))) > 0))::DOUBLE / nullif(len(w), 0), 0), 6) AS toxicity FROM r""")
+def text_quality(spark, d):
+    return evaluate.text_quality(read_table(spark, d, "documents"))
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, role, text, lag(text) OVER w AS query, lag(role) OVER w AS before, coalesce(lag(text, 2) OVER w, '') AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+x AS (SELECT conv_id, turn, list_distinct({_WORDS.format('lower(query)')}) AS q, list_distinct({_WORDS.format('lower(context)')}) AS c, list_distinct({_WORDS.format('lower(text)')}) AS a FROM a WHERE role = 'assistant' AND before = 'user')
+SELECT conv_id, turn, round(coalesce(len(list_intersect(a, c))::DOUBLE / nullif(len(a), 0), 0), 6) AS faithfulness, round({_jaccard_sql('q', 'a')}, 6) AS answer_relevancy, round({_jaccard_sql('q', 'c')}, 6) AS context_relevancy,
+round(0.6::DOUBLE * coalesce(len(list_intersect(q, a))::DOUBLE / nullif(len(q), 0), 0) + 0.4::DOUBLE * coalesce(len(list_intersect(c, a))::DOUBLE / nullif(len(c), 0), 0), 6) AS relevance FROM x""")
+def answer_evaluation(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    x = read_table(spark, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("answer"), F.lag("text").over(w).alias("query"), F.lag("role").over(w).alias("before"), F.coalesce(F.lag("text", 2).over(w), F.lit("")).alias("context"))
+    return evaluate.answer_metrics(x.where((F.col("role") == "assistant") & (F.col("before") == "user")))
+
+
+# operational events
+
+
+def _events(spark, d):
+    return read_table(spark, d, "events")
+
+
+@query("SELECT event_type, " + ", ".join(f"sum((value <= {b})::INT)::BIGINT AS le_{b}" for b in (10, 50, 100, 500)) + ", count(value) AS le_inf, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def event_histogram(spark, d):
+    return observe.histogram(_events(spark, d), (10, 50, 100, 500))
+
+
+@query("""SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, min(value) AS low, max(value) AS high,
+quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1""")
+def event_profile(spark, d):
+    return observe.profile(_events(spark, d))
+
+
+@query("""SELECT event_type, round(avg(value), 6) AS mean, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value) / 1000 * log10(count(*)) * max(value) / avg(value), 6) AS impact FROM events GROUP BY 1 HAVING avg(value) > 10""")
+def event_bottlenecks(spark, d):
+    return observe.bottlenecks(_events(spark, d), 10)
+
+
+@query("SELECT event_type, count(*) AS actions, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean_value FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-20' GROUP BY 1")
+def event_activity(spark, d):
+    return observe.user_activity(_events(spark, d), "2024-01-10", "2024-01-20")
+
+
+@query("""WITH x AS (SELECT ts::DATE AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1), y AS (SELECT *, lag(n) OVER (ORDER BY day) AS b FROM x)
+SELECT day::VARCHAR AS day, n, total, round(CASE WHEN b > 0 THEN (n - b) * 100.0::DOUBLE / b END, 6) AS growth FROM y""")
+def event_daily_trend(spark, d):
+    return observe.daily_trend(_events(spark, d))
+
+
+@query("""WITH f AS (SELECT event_type, quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM events GROUP BY 1)
+SELECT event_id, event_type, value FROM events JOIN f USING (event_type) WHERE value < q1 - 1.5::DOUBLE * (q3 - q1) OR value > q3 + 1.5::DOUBLE * (q3 - q1)""")
+def event_outliers(spark, d):
+    return observe.outliers(_events(spark, d))
+
+
+@query("""WITH x AS (SELECT time_bucket(INTERVAL 60 MINUTES, ts) AS s, count(*) AS n, sum((event_type = 'error')::INT)::BIGINT AS errors FROM events GROUP BY 1)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, n, errors FROM x WHERE errors > 0.3 * n""")
+def event_rate_alerts(spark, d):
+    return observe.rate_alerts(_events(spark, d), 60, 0.3)
+
+
+@query("""SELECT event_type, CASE WHEN date_diff('day', ts::DATE, DATE '2024-01-31') > 21 THEN 'delete' WHEN date_diff('day', ts::DATE, DATE '2024-01-31') > 7 THEN 'archive' ELSE 'keep' END AS action, count(*) AS n FROM events GROUP BY 1, 2""")
+def event_retention(spark, d):
+    return observe.retention(_events(spark, d), "2024-01-31", 7, 21)
+
+
+@query("""SELECT event_id, user_id, value FROM events WHERE event_type = 'error' AND value >= 20 AND json_extract(props, '$.k')::BIGINT >= 3 ORDER BY ts DESC, event_id LIMIT 25 OFFSET 5""")
+def event_search(spark, d):
+    return observe.search_events(_events(spark, d), "error", 20, "k", 3, 5, 25)
+
+
+# changes and versions: the second snapshot is made from the first by a rule
+
+
+def _snapshots(spark, d):
+    old = read_table(spark, d, "documents").select("doc_id", "text", "source")
+    text = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" x"))).otherwise(F.col("text"))
+    source = F.when(F.col("doc_id") % 11 == 0, F.lit("moved")).otherwise(F.col("source"))
+    new = old.where(F.col("doc_id") % 13 != 0).select("doc_id", text.alias("text"), source.alias("source"))
+    return old, new.union(old.where(F.col("doc_id") % 17 == 0).select(F.col("doc_id") + 10_000_000_000, "text", "source"))
+
+
+_SNAPSHOTS = """old AS (SELECT doc_id, text, source FROM documents),
+new AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' x' ELSE text END AS text, CASE WHEN doc_id % 11 = 0 THEN 'moved' ELSE source END AS source FROM old WHERE doc_id % 13 <> 0
+  UNION ALL SELECT doc_id + 10000000000, text, source FROM old WHERE doc_id % 17 = 0)"""
+
+
+@query(f"""WITH {_SNAPSHOTS} SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.text <> n.text AND o.source <> n.source THEN 'multiple'
+WHEN o.text <> n.text THEN 'content_changed' WHEN o.source <> n.source THEN 'metadata_changed' ELSE 'no_change' END AS change, coalesce(strlen(n.text), 0) - coalesce(strlen(o.text), 0) AS size_delta
+FROM old o FULL JOIN new n ON o.doc_id = n.doc_id""")
+def change_detection(spark, d):
+    return changes.detect_changes(*_snapshots(spark, d))
+
+
+@query(f"""WITH {_SNAPSHOTS}, s AS (SELECT 1 AS snapshot, * FROM old UNION ALL SELECT 2, * FROM new), l AS (SELECT doc_id, snapshot, text, lag(text) OVER (PARTITION BY doc_id ORDER BY snapshot) AS b FROM s)
+SELECT doc_id, snapshot, row_number() OVER (PARTITION BY doc_id ORDER BY snapshot) AS version FROM l WHERE b IS NULL OR b <> text""")
+def version_history(spark, d):
+    old, new = _snapshots(spark, d)
+    return changes.number_versions(old.select(F.lit(1).alias("snapshot"), "*").union(new.select(F.lit(2).alias("snapshot"), "*")))
+
+
+@query("""SELECT doc_id, md5(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS hash, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS version FROM documents WHERE doc_id % 5 <> 0""")
+def apply_updates(spark, d):
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    ops = docs.where("doc_id % 5 = 0").select("doc_id", F.lit("delete").alias("op"), F.lit(None).cast("string").alias("text"))
+    ops = ops.union(docs.where("doc_id % 5 <> 0 AND doc_id % 3 = 0").select("doc_id", F.lit("update"), F.concat("text", F.lit("!"))))
+    out = changes.apply_operations(docs.withColumn("version", F.lit(1).cast("long")), ops)
+    return out.select("doc_id", F.md5("text").alias("hash"), "version")
+
+
+# graph: customers, nations, regions, suppliers, and who supplied whom
+
+_EDGES = """nodes AS (SELECT 'n' || n_nationkey AS id FROM nation UNION ALL SELECT 'r' || r_regionkey FROM region UNION ALL SELECT 's' || s_suppkey FROM supplier),
+edges AS (SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst, 1.0::DOUBLE AS weight FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 0.5::DOUBLE FROM supplier
+  UNION ALL SELECT 'r' || r_regionkey, 'n' || n_nationkey, 0.25::DOUBLE FROM region JOIN nation ON r_regionkey = n_regionkey)"""
+
+
+def _graph(spark, d):
+    n, r, s = (read_table(spark, d, k) for k in ("nation", "region", "supplier"))
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nodes = n.select(key("n", "n_nationkey").alias("id")).union(r.select(key("r", "r_regionkey"))).union(s.select(key("s", "s_suppkey")))
+    edges = n.select(key("n", "n_nationkey").alias("src"), key("r", "n_regionkey").alias("dst"), F.lit(1.0).alias("weight"))
+    edges = edges.union(s.select(key("s", "s_suppkey"), key("n", "s_nationkey"), F.lit(0.5))).union(n.select(key("r", "n_regionkey"), key("n", "n_nationkey"), F.lit(0.25)))
+    return nodes, edges
+
+
+@query(f"""WITH {_EDGES}, o AS (SELECT src AS id, count(*) AS out_degree, round(sum(weight), 6) AS out_weight FROM edges GROUP BY 1), i AS (SELECT dst AS id, count(*) AS in_degree FROM edges GROUP BY 1)
+SELECT id, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) AS in_degree, coalesce(out_weight, 0) AS out_weight FROM nodes LEFT JOIN o USING (id) LEFT JOIN i USING (id)""")
+def graph_degrees(spark, d):
+    return graph.degrees(*_graph(spark, d))
+
+
+_ROUND = "s{1} AS (SELECT nodes.id, 0.85::DOUBLE / (SELECT count(*) FROM nodes) + (1 - 0.85::DOUBLE) * coalesce(g, 0) AS score FROM nodes LEFT JOIN (SELECT dst, sum(score * part) AS g FROM flows JOIN s{0} ON src = id GROUP BY 1) ON dst = nodes.id)"
+
+
+@query(f"""WITH {_EDGES}, flows AS (SELECT src, dst, weight / count(*) OVER (PARTITION BY src) AS part FROM edges), s0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM nodes) AS score FROM nodes),
+{", ".join(_ROUND.format(i, i + 1) for i in range(4))} SELECT id, round(score, 9) AS score FROM s4""")
+def graph_page_rank(spark, d):
+    return graph.page_rank(*_graph(spark, d), rounds=4)
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT 's1' AS id, 0 AS steps UNION SELECT dst, steps + 1 FROM walk JOIN edges ON src = id WHERE steps < 4) SELECT id, min(steps) AS steps FROM walk GROUP BY 1""")
+def graph_reachable(spark, d):
+    return graph.reachable(_graph(spark, d)[1], "s1", 4)
+
+
+@query(f"""WITH {_EDGES} SELECT dst AS id FROM edges WHERE src = 'n3' UNION SELECT src FROM edges WHERE dst = 'n3'""")
+def graph_neighbours(spark, d):
+    return graph.neighbours(_graph(spark, d)[1], "n3")
+
+
+@query(f"""WITH {_EDGES}, o AS (SELECT id, count(dst) AS k FROM nodes LEFT JOIN edges ON src = id GROUP BY 1)
+SELECT count(*) AS nodes, sum(k)::BIGINT AS edges, round(sum(k)::DOUBLE / (count(*) * (count(*) - 1)), 9) AS density, round(sum(k)::DOUBLE / count(*), 6) AS mean_degree, max(k) AS max_degree FROM o""")
+def graph_metrics(spark, d):
+    return graph.metrics(*_graph(spark, d))
+
+
+# conversation memory
+
+
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
+def memory_last_turns(spark, d):
+    return memory.last_turns(read_table(spark, d, "conversations"), 3)
+
+
+@query("""WITH x AS (SELECT conv_id, turn, strlen(text) // 4 AS tokens, sum(strlen(text) // 4) OVER (PARTITION BY conv_id) AS total, sum(strlen(text) // 4) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS kept FROM conversations)
+SELECT conv_id, turn, tokens FROM x WHERE total <= 400 OR kept <= 300""")
+def memory_token_buffer(spark, d):
+    return memory.token_buffer(read_table(spark, d, "conversations"), 400, 100)
+
+
+@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations)
+SELECT conv_id, count(*) AS n, sum(strlen(text) // 4)::BIGINT AS tokens, min(turn) AS first, max(turn) AS last FROM x WHERE back > 2 GROUP BY 1""")
+def memory_summaries(spark, d):
+    return memory.summaries(read_table(spark, d, "conversations"), 2)
+
+
+FLAGSHIP = bm25_search
