@@ -48,8 +48,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's estimate of df's size; where it knows nothing, the bytes of the texts."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 55 else df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
 def pieces_for(df: DataFrame, piece_bytes: int, least: int = 8, most: int = 1 << 20) -> int:

@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = keyed(docs.select(F.col("doc_id").cast("long"), "text"), "text")
     parts = pieces_for(docs, part_bytes, least=4)
-    buckets = max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = min(100_000, max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # as many as Spark allows
     chunks = _write_chunks(docs, scratch, buckets)
 
     def answered(sent: DataFrame, answer, phase: int) -> DataFrame:
