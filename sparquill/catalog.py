@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import changes, evaluate, graph, memory, observe, search
+from .operators import changes, evaluate, graph, memory, observe, profile, rerank, search, understand
 from .sources.files import html_text, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -370,4 +370,97 @@ def memory_summaries(spark, d):
     return memory.summaries(read_table(spark, d, "conversations"), 2)
 
 
+# re-ranking
+
+_QUALITY = f"""((CASE WHEN strlen(text) > 100 AND strlen(text) < 5000 THEN 1 ELSE 0.5::DOUBLE END) + (CASE WHEN strlen(text) > 3 * greatest(len(w), 1) AND strlen(text) < 15 * greatest(len(w), 1) THEN 1 ELSE 0.7::DOUBLE END)
+ + (CASE WHEN len(w) > 5 * len(string_split(text, '.')) AND len(w) < 30 * len(string_split(text, '.')) THEN 1 ELSE 0.8::DOUBLE END)) / 3"""
+RERANK_QUERY = "the of and with la de"
+_SIGNALS = f"""x AS (SELECT doc_id, text, {_W} AS w, {RERANK_QUERY.split()!r} AS q FROM documents),
+s AS (SELECT doc_id, 'overlap' AS signal, {_jaccard_sql('w', 'q')} AS value FROM x UNION ALL SELECT doc_id, 'quality', {_QUALITY} FROM x UNION ALL SELECT doc_id, 'length', len(w)::DOUBLE FROM x)"""
+_COMBINE = "SELECT doc_id, round(sum(value * CASE signal WHEN 'overlap' THEN 0.5::DOUBLE WHEN 'quality' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END), 6) AS score, round(1 - least(stddev_pop(value), 1), 6) AS confidence FROM z GROUP BY 1"
+
+
+def _rerank(spark, d, how):
+    values = rerank.scaled(rerank.signals(read_table(spark, d, "documents").select("doc_id", "text"), RERANK_QUERY), how)
+    return rerank.combined(values, {"overlap": 0.5, "quality": 0.3, "length": 0.2})
+
+
+@query(f"WITH {_SIGNALS}, z AS (SELECT doc_id, signal, CASE WHEN max(value) OVER p > min(value) OVER p THEN (value - min(value) OVER p) / (max(value) OVER p - min(value) OVER p) ELSE value END AS value FROM s WINDOW p AS (PARTITION BY signal)) {_COMBINE}")
+def rerank_min_max(spark, d):
+    return _rerank(spark, d, "min_max")
+
+
+@query(f"WITH {_SIGNALS}, z AS (SELECT doc_id, signal, 1 / (1 + exp(-CASE WHEN stddev_pop(value) OVER p > 0 THEN (value - avg(value) OVER p) / stddev_pop(value) OVER p ELSE 0 END)) AS value FROM s WINDOW p AS (PARTITION BY signal)) {_COMBINE}")
+def rerank_z_score(spark, d):
+    return _rerank(spark, d, "z_score")
+
+
+# query understanding, over the users' turns
+
+_LOW = _WORDS.format("lower(text)")
+
+
+@query(f"""WITH x AS (SELECT conv_id, turn, text, {_W} AS w, {_LOW} AS l FROM conversations WHERE role = 'user'),
+r AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '\\bteh\\b', 'the', 'g'), '\\badn\\b', 'and', 'g'), '\\bwat\\b', 'what', 'g'),
+ 'ML', 'machine learning'), 'AI', 'artificial intelligence'), 'NLP', 'natural language processing'), 'API', 'application programming interface'), '!+', '!', 'g'), '\\?+', '?', 'g'), ' +', ' ', 'g')) AS t FROM x)
+SELECT conv_id, turn, CASE WHEN contains(text, '?') THEN 'question' WHEN len(w) <= 3 THEN 'keyword' WHEN len(w) > 10 THEN 'phrase' ELSE 'statement' END AS kind,
+round(least(1, 0.3::DOUBLE * least(len(l) / 20.0::DOUBLE, 1) + least(0.1::DOUBLE * len(list_filter(l, lambda y: y IN ('what', 'how', 'why', 'when', 'where', 'who', 'which'))), 0.3::DOUBLE)
+ + least(0.15::DOUBLE * len(list_filter(l, lambda y: y IN ('and', 'or', 'but', 'also'))), 0.3::DOUBLE) + CASE WHEN length(text) - length(replace(text, '?', '')) > 1 THEN 0.2::DOUBLE ELSE 0 END), 6) AS complexity,
+md5(upper(left(t, 1)) || substr(t, 2)) AS rewritten, md5(regexp_replace(regexp_replace(text, '\\b[0-9]+\\b', '{{NUM}}', 'g'), '"[^"]*"', '{{STR}}', 'g')) AS template FROM r""")
+def query_understanding(spark, d):
+    return understand.understand(read_table(spark, d, "conversations").where("role = 'user'"), ["conv_id", "turn"])
+
+
+@query("""WITH x AS (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(lower(text), ' and | or | but | also '), lambda x: trim(x)), lambda x: x <> '')[1:5] AS p FROM conversations WHERE role = 'user'),
+y AS (SELECT conv_id, turn, p, unnest(range(0, len(p))) AS part FROM x) SELECT conv_id, turn, part, md5(p[part + 1]) AS sub_query FROM y""")
+def query_parts(spark, d):
+    return understand.parts(read_table(spark, d, "conversations").where("role = 'user'"), ["conv_id", "turn"])
+
+
+# profiles
+
+_PROFILED = ["o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER ({c} IS NULL) AS n_nulls, count(DISTINCT {c}) AS n_distinct, min({c}::VARCHAR) AS low, max({c}::VARCHAR) AS high FROM orders" for c in _PROFILED))
+def table_profile(spark, d):
+    return profile.columns(read_table(spark, d, "orders"), _PROFILED)
+
+
+@query("""WITH v AS (SELECT unnest([event_type, ts::VARCHAR, value::VARCHAR, 'true', '']) AS x FROM events)
+SELECT CASE WHEN trim(x) = '' THEN 'string' WHEN regexp_full_match(trim(x), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN 'number' WHEN regexp_matches(x, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'date'
+WHEN lower(trim(x)) IN ('true', 'false', 'yes', 'no') THEN 'boolean' ELSE 'string' END AS kind, count(*) AS n FROM v GROUP BY 1""")
+def value_types(spark, d):
+    x = read_table(spark, d, "events").select(F.explode(F.array("event_type", F.col("ts").cast("string"), F.col("value").cast("string"), F.lit("true"), F.lit(""))).alias("x"))
+    return x.groupBy(profile.column_type(F.col("x")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM conversations), p AS (SELECT conv_id, turn, text AS a, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM c), x AS (SELECT *, {_WORDS.format('a')} AS wa, {_WORDS.format('b')} AS wb FROM p WHERE b IS NOT NULL)
+SELECT conv_id, turn, round({_jaccard_sql('wa', 'wb')}, 6) AS jaccard, round(levenshtein(a, b)::DOUBLE / greatest(strlen(a), strlen(b)), 6) AS edit, round(coalesce(len(list_filter(wa, lambda t: list_contains(wb, t)))::DOUBLE / nullif(len(wa), 0), 0), 6) AS bleu_1 FROM x""")
+def text_pairs(spark, d):
+    from pyspark.sql import Window
+
+    b = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    plain = read_table(spark, d, "conversations").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))  # SQL engines differ on other letters
+    x = plain.select("conv_id", "turn", F.col("text").alias("a"), b.alias("b")).where("b IS NOT NULL")
+    return profile.pair_likeness(x, ["conv_id", "turn"])
+
+
+@query("WITH e AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS entity FROM documents" for k, p in profile.ENTITY_PATTERNS) + ") SELECT kind, entity, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM e GROUP BY 1, 2")
+def entity_mentions(spark, d):
+    return profile.entities(read_table(spark, d, "documents"))
+
+
+@query(f"""WITH v AS (SELECT vec_id, {_VEC} AS v FROM embeddings), s AS (SELECT *, list_min(v) AS lo, (list_max(v) - list_min(v)) / 255 AS sc FROM v),
+b AS (SELECT vec_id, list_transform(v, lambda e: abs(e - (CASE WHEN sc > 0 THEN round((e - lo) / sc) ELSE 0 END * sc + lo))) AS e FROM s) SELECT vec_id, round(list_max(e), 6) AS max_error, round(list_sum(e) / len(e), 6) AS mean_error FROM b""")
+def vector_quantisation(spark, d):
+    return profile.quantised(read_table(spark, d, "embeddings"))
+
+
+@query("""WITH f AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS place FROM embeddings), m AS (SELECT label, place, avg(x) AS m, count(*) AS n FROM f GROUP BY 1, 2)
+SELECT label, max(n) AS size, round(sqrt(sum(m * m)), 6) AS norm FROM m GROUP BY 1""")
+def vector_centroids(spark, d):
+    return profile.centroids(read_table(spark, d, "embeddings"))
+
+
 FLAGSHIP = bm25_search
