@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import changes, evaluate, graph, memory, observe, profile, rerank, search, understand
+from .operators import caches, changes, evaluate, graph, memory, observe, profile, rerank, search, understand
 from .sources.files import html_text, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -463,4 +463,43 @@ def vector_centroids(spark, d):
     return profile.centroids(read_table(spark, d, "embeddings"))
 
 
+# caches and sessions
+
+_AS_OF = "2024-01-31 00:00:00"
+_ENTRIES = f"""c AS (SELECT user_id, event_type, count(*) AS accesses, avg(value) AS size, epoch(TIMESTAMP '{_AS_OF}')::BIGINT - floor(epoch(max(ts)))::BIGINT AS idle, epoch(TIMESTAMP '{_AS_OF}')::BIGINT - floor(epoch(min(ts)))::BIGINT AS age FROM events GROUP BY 1, 2)"""
+
+
+def _register_evictions():
+    keys = {"lru": "-idle::DOUBLE", "lfu": "accesses::DOUBLE", "gdsf": "(log2(accesses) + 1) / greatest(size, 1) / (age + 1) * 1000000"}
+    for policy, key in keys.items():
+        QUERIES[f"cache_{policy}"] = lambda spark, d, p=policy: caches.eviction_order(caches.entries(_events(spark, d), _AS_OF), p, 30)
+        then = "idle, " if policy == "lfu" else ""
+        ORACLE_SQL[f"cache_{policy}"] = f"WITH {_ENTRIES} SELECT user_id, event_type, round({key}, 6) AS priority FROM c ORDER BY priority, {then}user_id, event_type LIMIT 30"
+
+
+_register_evictions()
+
+
+@query(f"WITH {_ENTRIES} SELECT event_type, count(*) AS entries, count(*) FILTER (idle > 86400) AS expired, sum(accesses)::BIGINT AS accesses FROM c GROUP BY 1")
+def cache_expired(spark, d):
+    return caches.expired(caches.entries(_events(spark, d), _AS_OF), 86400)
+
+
+@query("SELECT user_id, count(*) AS n, round(count(*)::DOUBLE / (SELECT count(*) FROM events), 6) AS share FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20")
+def popular_users(spark, d):
+    return caches.popular(_events(spark, d), 20)
+
+
+@query("""WITH x AS (SELECT *, CASE WHEN floor(epoch(ts))::BIGINT - floor(epoch(lag(ts) OVER w))::BIGINT <= 3600 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS session FROM x) SELECT user_id, session, count(*) AS n, round(sum(value), 4) AS total FROM y GROUP BY 1, 2""")
+def event_sessions(spark, d):
+    return caches.sessions(_events(spark, d), 60)
+
+
+@query("""WITH x AS (SELECT event_id, event_type, last_value(CASE WHEN event_type = 'click' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM events)
+SELECT event_id, previous FROM x WHERE event_type = 'purchase'""")
+def event_as_of(spark, d):
+    return caches.state_before(_events(spark, d), "purchase", "click")
+
+
 FLAGSHIP = bm25_search

@@ -37,7 +37,7 @@ def pair_likeness(pairs: DataFrame, ids: list[str]) -> DataFrame:
 
 
 # Patterns of entity kinds, with ASCII classes so that engines agree.
-ENTITY_PATTERNS = (("percentage", "[0-9]+(?:\\.[0-9]+)?%"), ("money", "\\$[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]{2})?"), ("technical", "\\b[A-Z]{2,}\\b"), ("person", "\\b[A-Z][a-z]+ [A-Z][a-z]+\\b"), ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"))
+ENTITY_PATTERNS = (("percentage", "[0-9]+(?:\\.[0-9]+)?%"), ("money", "\\$[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]{2})?"), ("technical", "[A-Z]{3,}"), ("person", "[A-Z][a-z]+ [A-Z][a-z]+"), ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"))
 
 
 def entities(docs: DataFrame) -> DataFrame:
