@@ -38,6 +38,7 @@ BANDS, WIDTH = 25, 5
 SHORT, LONG = 128, 512
 FEW = 2_000_000  # candidate ids (8 bytes each) that may be broadcast; more are joined by a shuffle
 LEFT_BLOCK, RIGHT_BLOCK = 128, 512
+SHORT_RUN, LONG_RUN = 1 << 18, 1 << 17  # bytes of text whose words each hold a permutation of so many slots at once
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +71,7 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, bounds in text_runs(batch.column("text")):
+            for first, data, bounds in text_runs(batch.column("text"), SHORT_RUN):
                 elements, counts = shingle_sets(data, bounds, words)
                 rows = np.repeat(np.arange(len(counts)), counts)
                 halves = []
@@ -90,7 +91,7 @@ def full_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, bounds in text_runs(batch.column("text")):
+            for first, data, bounds in text_runs(batch.column("text"), LONG_RUN):
                 elements, counts = shingle_sets(data, bounds, words)
                 table = signatures(elements, np.repeat(np.arange(len(counts)), counts), len(counts), LONG)
                 small = (mix(table.view(U64)) >> U64(56)).astype(np.uint8)
