@@ -502,4 +502,46 @@ def event_as_of(spark, d):
     return caches.state_before(_events(spark, d), "purchase", "click")
 
 
+# more of events, graphs and vectors
+
+
+@query("""SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(avg(value) - 1.96::DOUBLE * stddev_pop(value) / sqrt(count(value)), 6) AS low,
+round(avg(value) + 1.96::DOUBLE * stddev_pop(value) / sqrt(count(value)), 6) AS high FROM events GROUP BY 1""")
+def event_summary(spark, d):
+    return observe.summary(_events(spark, d))
+
+
+@query("""WITH g AS (SELECT event_type, date_diff('day', DATE '2024-01-01', ts::DATE) AS x, count(*) AS y FROM events GROUP BY 1, 2),
+l AS (SELECT event_type, regr_slope(y, x) AS s, regr_intercept(y, x) AS b, regr_r2(y, x) AS r, max(x) AS m FROM g GROUP BY 1)
+SELECT event_type, step::INT AS step, round(b + s * (m + step), 6) AS expected, round(r, 6) AS strength FROM l, range(1, 6) t(step)""")
+def event_forecast(spark, d):
+    return observe.forecast(_events(spark, d), 5)
+
+
+@query("""WITH g AS (SELECT user_id, arg_max(value, (ts, event_id)) AS last, avg(value) AS mean, stddev_pop(value) AS sd, count(value) AS n FROM events GROUP BY 1)
+SELECT user_id, round(last, 6) AS last, n >= 10 AND sd > 0 AND abs(last - mean) > 1.5::DOUBLE * sd AS anomaly FROM g""")
+def event_anomalies(spark, d):
+    return observe.anomalies(_events(spark, d), 1.5)
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT 's1' AS id, 0.0::DOUBLE AS total, 0 AS k UNION SELECT dst, total + 1 / greatest(weight, 0.001), k + 1 FROM walk JOIN edges ON src = id WHERE k < 4) SELECT id, round(min(total), 6) AS cost FROM walk GROUP BY 1""")
+def graph_cheapest(spark, d):
+    return graph.cheapest(_graph(spark, d)[1], "s1", 4)
+
+
+@query("""WITH a AS (SELECT 'n' || n_nationkey AS id, n_name AS label FROM nation), b AS (SELECT 'n' || s_nationkey AS id, min(s_name) AS label FROM supplier GROUP BY 1 UNION ALL SELECT 'r' || r_regionkey, r_name FROM region)
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE id NOT IN (SELECT id FROM a)""")
+def graph_merge(spark, d):
+    n, r, s = (read_table(spark, d, k) for k in ("nation", "region", "supplier"))
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("id")
+    other = s.groupBy(key("n", "s_nationkey")).agg(F.min("s_name").alias("label")).union(r.select(key("r", "r_regionkey"), "r_name"))
+    return graph.merge_nodes(n.select(key("n", "n_nationkey"), F.col("n_name").alias("label")), other)
+
+
+@query(f"WITH {_knn_sql('cosine')} SELECT * FROM near WHERE score >= 0.3")
+def semantic_cache_hits(spark, d):
+    v = read_table(spark, d, "embeddings")
+    return search.knn(v, v.where(F.col("vec_id").isin(*QUERY_IDS)), 10, "cosine", 0.3)
+
+
 FLAGSHIP = bm25_search

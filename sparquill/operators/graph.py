@@ -56,3 +56,18 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     x = d.agg(F.count(F.lit(1)).alias("nodes"), F.sum("out_degree").alias("edges"), F.max("out_degree").alias("max_degree"))
     n = F.col("nodes")
     return x.select("nodes", "edges", F.round(F.col("edges") / (n * (n - 1)), 9).alias("density"), F.round(F.col("edges") / n, 6).alias("mean_degree"), "max_degree")
+
+
+def cheapest(edges: DataFrame, start: str, rounds: int) -> DataFrame:
+    """Least cost (1 / weight an edge) to the nodes within so many edges."""
+    costs = edges.select("src", "dst", (1 / F.greatest("weight", F.lit(0.001))).alias("cost"))
+    best = edges.sparkSession.createDataFrame([(start, 0.0)], "id string, total double")
+    for _ in range(rounds):
+        more = costs.join(best, costs["src"] == best["id"]).select(F.col("dst").alias("id"), (F.col("total") + F.col("cost")).alias("total"))
+        best = best.union(more).groupBy("id").agg(F.min("total").alias("total"))
+    return best.select("id", F.round("total", 6).alias("cost"))
+
+
+def merge_nodes(mine: DataFrame, other: DataFrame) -> DataFrame:
+    """Both sets of nodes by id; where both have one, mine stays."""
+    return mine.unionByName(other.join(mine.select("id"), "id", "left_anti").select(*mine.columns))

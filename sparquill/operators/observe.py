@@ -80,3 +80,28 @@ def search_events(events: DataFrame, kind: str, at_least: float, key: str, key_a
     """Events of a kind with a value and a property at least so large, newest first: a page of a sorted list."""
     found = events.where((F.col("event_type") == kind) & (F.col("value") >= at_least) & (F.get_json_object("props", f"$.{key}").cast("long") >= key_at_least))
     return found.orderBy(F.desc("ts"), "event_id").offset(offset).limit(limit).select("event_id", "user_id", "value")
+
+
+def summary(events: DataFrame) -> DataFrame:
+    """count, mean, median, population deviation and the 95 % interval of the mean by event type."""
+    half = 1.96 * F.stddev_pop("value") / F.sqrt(F.count("value"))
+    return events.groupBy("event_type").agg(
+        F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"),
+        F.round(F.avg("value") - half, 6).alias("low"), F.round(F.avg("value") + half, 6).alias("high"),
+    )
+
+
+def forecast(events: DataFrame, days: int) -> DataFrame:
+    """A least-squares line through the daily counts of each type, its strength, and the next days on it."""
+    day = events.groupBy("event_type", F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")).alias("x")).agg(F.count(F.lit(1)).alias("y"))
+    line = day.groupBy("event_type").agg(F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("base"), F.regr_r2("y", "x").alias("r2"), F.max("x").alias("last"))
+    ahead = line.select("event_type", "slope", "base", "r2", "last", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("step"))
+    return ahead.select("event_type", "step", F.round(F.col("base") + F.col("slope") * (F.col("last") + F.col("step")), 6).alias("expected"), F.round("r2", 6).alias("strength"))
+
+
+def anomalies(events: DataFrame, reach: float) -> DataFrame:
+    """The latest event of each user and whether it lies beyond so many deviations of all of the user's, ten at least."""
+    latest = F.max_by("value", F.struct("ts", "event_id"))
+    g = events.groupBy("user_id").agg(latest.alias("last"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"))
+    far = (F.col("n") >= 10) & (F.col("sd") > 0) & (F.abs(F.col("last") - F.col("mean")) > reach * F.col("sd"))
+    return g.select("user_id", F.round("last", 6).alias("last"), far.alias("anomaly"))
