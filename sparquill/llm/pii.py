@@ -38,7 +38,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _GROUP = re.compile(r"[0-9]+")
 _URL_REST = re.compile(r"[^\s<>\"'`|\\^{}]+")
 _ACCOUNT_REST = re.compile(r"(?:\s{1,3}(?:number|no\.?|nr\.?|id|code))?\s{0,3}[:=#]\s{0,3}[\"']?([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){4,33})")
-_SECRET_REST = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+.~-]{8,200})")
+_SECRET_REST = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+.~-]{8,}+)")
 _ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
 _HOUSE = re.compile(r"(?<![0-9])[0-9]{1,5}[A-Za-z]? (?:[A-Z][\w'.-]{0,30} ){0,3}[A-Z][\w'.-]{0,30}\Z")
 
