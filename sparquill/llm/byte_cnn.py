@@ -7,8 +7,9 @@ training and the scoring; the filters are tables of byte by place, so that a
 response is a sum of eight table rows.
 
 The network learns from at most `sample` rows of each label, those with the
-least hashes of doc_id, and from at most eight chunks of each of these texts;
-scoring reads all texts, whole. Rows whose label or doc_id is null teach
+least hashes of doc_id, whole texts of these in the chunks that scoring pools;
+scoring reads all texts, whole. The driver holds the bytes of the sampled texts
+and the responses of TOGETHER chunks at a time. Rows whose label or doc_id is null teach
 nothing. Without rows of both labels every score is the share of label 1 (0.5
 if there are no labels). Null texts count as empty, and an empty text is
 scored as eight zero bytes. Rows keep their doc_id, null or repeated; no rows
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytesnp import text_runs
 
-WIDTH, FILTERS, CHUNK, STEP, TAUGHT = 8, 16, 256, 192, 8
+WIDTH, FILTERS, CHUNK, STEP, TOGETHER = 8, 16, 256, 192, 1024
 
 
 def _chunks(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,6 +41,13 @@ def _chunks(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, start, np.minimum(start + CHUNK, places[row])
 
 
+def _padded(data: np.ndarray, lengths: np.ndarray, more: int = 0) -> np.ndarray:
+    """The rows of data, WIDTH zero bytes after each, and more of them at the end."""
+    out = np.zeros(len(data) + WIDTH * len(lengths) + more, np.uint8)
+    out[np.arange(len(data)) + np.repeat(np.arange(len(lengths)) * WIDTH, lengths)] = data
+    return out
+
+
 @dataclass
 class Network:
     tables: np.ndarray  # WIDTH x 256 x FILTERS
@@ -60,8 +68,7 @@ class Network:
         """Probability of label 1 for each row of a run of bytes."""
         lengths = np.diff(bounds)
         rows = len(lengths)
-        padded = np.zeros(len(data) + WIDTH * rows, np.uint8)
-        padded[np.arange(len(data)) + np.repeat(np.arange(rows) * WIDTH, lengths)] = data
+        padded = _padded(data, lengths)
         n = len(padded) - WIDTH + 1
         two = (padded[:-1].astype(np.intp) << 8) | padded[1:]
         response = self.pairs()[0][two[:n]]
@@ -99,23 +106,36 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int =
     first, second = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
     brief = np.array([1 / (1 + len(x) / 100) for x in texts], np.float32)
+    lengths = np.array([len(x) for x in texts], np.int64)
+    padded = _padded(np.frombuffer(b"".join(texts), np.uint8), lengths, CHUNK)
+    row, start, end = _chunks(lengths)
+    base, places = (np.cumsum(lengths) - lengths)[row] + row * WIDTH + start, end - start
+    edges = np.searchsorted(row, np.arange(len(texts) + 1))
+
+    def strongest(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place and the size of each filter's greatest response in each chunk."""
+        where, size = np.empty((len(pieces), FILTERS), np.int64), np.empty((len(pieces), FILTERS), np.float32)
+        for at in range(0, len(pieces), TOGETHER):
+            some = pieces[at : at + TOGETHER]
+            block = padded[base[some][:, None] + np.arange(CHUNK + WIDTH - 1)]
+            response = p[0][0][block[:, :CHUNK]]
+            for j in range(1, WIDTH):
+                response += p[0][j][block[:, j : j + CHUNK]]
+            response[np.arange(CHUNK) >= places[some][:, None]] = -1e9
+            best = response.argmax(axis=1)
+            where[at : at + TOGETHER] = best
+            size[at : at + TOGETHER] = np.take_along_axis(response, best[:, None, :], 1)[:, 0]
+        return where, size
+
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
-            pieces = [(i, texts[d][s : s + CHUNK + WIDTH - 1]) for i, d in enumerate(some) for s in range(0, max(1, len(texts[d]) - (CHUNK - STEP)), STEP)]
-            own = np.array([i for i, _ in pieces])
-            block = np.zeros((len(pieces), CHUNK + WIDTH - 1), np.uint8)
-            for i, (_, raw) in enumerate(pieces):
-                block[i, : len(raw)] = np.frombuffer(raw, np.uint8)
-            response = p[0][0][block[:, :CHUNK]]
-            for j in range(1, WIDTH):
-                response += p[0][j][block[:, j : j + CHUNK]]
-            places = np.array([min(CHUNK, len(raw) + 1) for _, raw in pieces])
-            response[np.arange(CHUNK) >= places[:, None]] = -1e9
-            best = response.argmax(axis=1)
-            active = np.tanh(np.take_along_axis(response, best[:, None, :], 1)[:, 0] + p[1])
+            pieces = np.concatenate([np.arange(edges[d], edges[d + 1]) for d in some])
+            own = np.repeat(np.arange(len(some)), edges[some + 1] - edges[some])
+            best, size = strongest(pieces)
+            active = np.tanh(size + p[1])
             firsts = np.searchsorted(own, np.arange(len(some)))
             count = np.bincount(own)[:, None]
             mean = np.add.reduceat(active, firsts, axis=0) / count
@@ -125,9 +145,9 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int =
             back = (d[:, None] * p[2] / count)[own] + (d[:, None] * p[3])[own] * (active == most[own])
             back *= 1 - active**2
             grads = [np.zeros_like(p[0]), back.sum(0), mean.T @ d, most.T @ d, np.array([d.sum(), d @ brief[some]], np.float32)]
-            chunk = np.arange(len(pieces))[:, None]
+            place = base[pieces][:, None] + best
             for j in range(WIDTH):
-                np.add.at(grads[0][j], (block[chunk, best + j], np.arange(FILTERS)[None, :]), back)
+                np.add.at(grads[0][j], (padded[place + j], np.arange(FILTERS)[None, :]), back)
             step += 1
             for i, g in enumerate(grads):
                 g = g + 1e-4 * p[i] if i == 0 else g
@@ -148,10 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 2000) -> Network:
     own = own.groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = [own.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
     few = F.broadcast(chosen[0].union(chosen[1]))  # 2 * sample rows at most
-    span = CHUNK + (TAUGHT - 1) * STEP + WIDTH - 1
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    spread = F.pmod(F.xxhash64("doc_id"), F.greatest(F.octet_length("text") - span, F.lit(0)) + 1).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").select("doc_id", "quality", F.substring(raw, F.coalesce(spread, F.lit(0)) + 1, F.lit(span)).alias("raw")).toPandas()
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(few, "doc_id").select("doc_id", "quality", raw.alias("raw")).toPandas()
     rows["raw"] = rows["raw"].map(bytes)
     rows = rows.sort_values(["doc_id", "raw"])
     if rows["quality"].nunique() < 2:
