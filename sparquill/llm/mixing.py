@@ -36,6 +36,8 @@ from .common import Scratch
 TOPICS = 8
 FEW = 1_000_000  # cells (some tens of bytes each) that are raked on the driver and broadcast; more are raked by Spark
 KEYS = ("source", "lang", "topic")
+ROUNDS, TOLERANCE = 100, 1e-9  # of raking, on the driver and by Spark: it stops when no factor is further than that from 1
+MOST_VALUES = 100_000  # rows of a marginal that may be broadcast
 _NULL = "\0null"
 Target = dict[str, float] | float
 
@@ -67,7 +69,7 @@ def _targets(marginal: pd.Series, target: Target) -> pd.Series:
     return want * (total / want.sum()) if want.sum() else want
 
 
-def rake(cells: pd.DataFrame, targets: dict[str, Target], rounds: int = 100, tolerance: float = 1e-9) -> np.ndarray:
+def rake(cells: pd.DataFrame, targets: dict[str, Target], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """The weight of each cell (columns of KEYS and tokens)."""
     fitted = cells["tokens"].astype(float).to_numpy()
     codes = {k: pd.factorize(cells[k])[0] for k in KEYS}
@@ -93,30 +95,54 @@ def calibrate(weight: np.ndarray, tokens: np.ndarray, share: float) -> float:
     return high
 
 
-def _rake_wide(cells: DataFrame, targets: dict[str, Target], share: float, scratch: Scratch, rounds: int = 12) -> DataFrame:
+def _wide_scale(cells: DataFrame, share: float) -> float:
+    """The scale that calibrate() finds, by Newton's method from below.
+
+    Expected tokens are concave and piecewise linear in the scale, so each step
+    adds cells whose probability is 1, and the scale is met when none is added.
+    """
+    total, least = cells.where("tokens > 0").agg(F.sum("tokens"), F.min("weight")).first()
+    if not total:
+        return 0.0
+    top = 1.0 / max(min(1.0, least), 1e-12)
+    scale = 0.0
+    while True:
+        capped = F.col("weight") * scale >= 1
+        full, rest = cells.agg(F.sum(F.when(capped, F.col("tokens")).otherwise(0)), F.sum(F.when(capped, 0.0).otherwise(F.col("weight") * F.col("tokens")))).first()
+        met = min((share * total - full) / rest, top) if rest > 0 else top
+        if met <= scale * (1 + 1e-12):
+            return scale
+        scale = met
+
+
+def _rake_wide(cells: DataFrame, targets: dict[str, Target], share: float, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """The same for cells beyond FEW, in rounds of grouped sums; KEYS and probability."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 1
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    wanted = {}
+    for k in KEYS:
+        target = targets.get(k, 1.0)
+        own = F.col("raw") / max(total, 1)
+        want = F.coalesce(*(F.when(F.col(k) == v, F.lit(float(x))) for v, x in target.items()), own) if isinstance(target, dict) else F.pow(own, F.lit(float(target)))
+        values = cells.groupBy(k).agg(F.sum("tokens").alias("raw")).select(k, F.when(F.col("raw") > 0, want).otherwise(0.0).alias("want"))
+        values = scratch.table(values, f"wanted_{k}")
+        count, norm = values.agg(F.count(F.lit(1)), F.sum("want")).first()
+        values = values.withColumn("want", F.col("want") * (total / norm if norm else 1.0))
+        wanted[k] = values, count <= MOST_VALUES
     now = cells.withColumn("fitted", F.col("tokens").cast("double"))
     for turn in range(rounds):
-        for k in KEYS:
-            target = targets.get(k, 1.0)
-            sums = now.groupBy(k).agg(F.sum("fitted").alias("have"), F.sum("tokens").alias("raw"))
-            own = F.col("raw") / total
-            if isinstance(target, dict):
-                want = F.coalesce(*(F.when(F.col(k) == v, F.lit(float(x))) for v, x in target.items()), own)
-            else:
-                want = F.when(F.col("raw") > 0, F.pow(own, F.lit(target))).otherwise(0.0)
-            sums = sums.withColumn("want", want)
-            norm = sums.agg(F.sum("want")).first()[0] or 1
-            now = now.join(sums.select(k, F.when(F.col("have") > 0, F.col("want") * (total / norm) / F.col("have")).otherwise(1.0).alias("f")), k).withColumn("fitted", F.col("fitted") * F.col("f")).drop("f")
+        for k, (values, few) in wanted.items():
+            sums = now.groupBy(k).agg(F.sum("fitted").alias("have")).join(values, k)
+            factors = sums.select(k, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(1.0).alias(f"by_{k}"))
+            now = now.join(F.broadcast(factors) if few else factors, k).withColumn("fitted", F.col("fitted") * F.col(f"by_{k}"))
         now = scratch.table(now, f"rake{turn}")
+        worst = now.agg(F.max(F.greatest(*(F.abs(F.col(f"by_{k}") - 1) for k in KEYS)))).first()[0]
+        now = now.drop(*(f"by_{k}" for k in KEYS))
+        if turn:
+            scratch.drop(f"rake{turn - 1}")
+        if worst is None or worst < tolerance:
+            break
     now = scratch.table(now.withColumn("weight", F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(1.0)), "weights")
-    low, high = 0.0, 1.0 / max(now.where("tokens > 0").agg(F.min("weight")).first()[0] or 1.0, 1e-12)
-    for _ in range(40):
-        mid = (low + high) / 2
-        met = now.agg(F.sum(F.least(F.lit(1.0), mid * F.col("weight")) * F.col("tokens"))).first()[0] or 0
-        low, high = (mid, high) if met < share * total else (low, mid)
-    return now.select(*KEYS, "weight", F.least(F.lit(1.0), high * F.col("weight")).alias("probability"))
+    return now.select(*KEYS, "weight", F.least(F.lit(1.0), F.col("weight") * _wide_scale(now, share)).alias("probability"))
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, Target] | None = None, share: float = 0.8, few: int = FEW) -> DataFrame:
