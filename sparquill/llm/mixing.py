@@ -11,9 +11,17 @@ Targets are shares of tokens for each value, or an exponent: then a value's
 target is its share of tokens to that power, normalised, so that below 1 large
 sources give way to small ones. Values without a target keep their own share.
 
-A text's topic is one of eight parts of the vocabulary (a hash of the word):
-the one whose share of the text's words exceeds its share at large the most,
-where all parts are taken as equal.
+A text's topic is one of eight groups of texts that share words beyond what is
+usual in their language. Groups start from rare words: each votes for a part of
+the vocabulary by log(texts / texts that have it), against the parts' votes at
+large in that language. TURNS times, texts that have a word are counted by
+group, and a text goes to the group for which the sum of its words' log-odds
+over the language's own counts exceeds the language's mean by the most standard
+deviations, so that texts without a subject spread over the groups. Words that
+all groups use alike, as stop words, have log-odds near 0; those in fewer than
+RARE texts have none.
+Words, in lower case, are counted in BUCKETS by a hash of word and language, and
+languages in SLOTS, so that these tables are of fixed size.
 
 Null texts have no tokens, topic 0 and the probability of their cell; null
 sources and languages are values of their own. Rows without doc_id are decided
@@ -23,6 +31,7 @@ by one and the same hash. Other columns don't matter; no rows give no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,10 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesnp import U64, prefix_hashes, span_hashes, text_runs, word_spans
+from .bytesnp import U64, crc32_text, lowered, mix, prefix_hashes, span_hashes, text_runs, word_spans
 from .common import Scratch
 
 TOPICS = 8
+BUCKETS, SLOTS, TURNS, RARE = 1 << 16, 64, 2, 5
+PRIOR = 20.0  # texts with a word that are taken to be spread over the groups as the language's are
 FEW = 1_000_000  # cells (some tens of bytes each) that are raked on the driver and broadcast; more are raked by Spark
 KEYS = ("source", "lang", "topic")
 ROUNDS, TOLERANCE = 100, 1e-9  # of raking, on the driver and by Spark: it stops when no factor is further than that from 1
@@ -42,22 +53,153 @@ _NULL = "\0null"
 Target = dict[str, float] | float
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, tokens of every row; nulls of source and lang spelled out."""
+def _worded(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, slot, words (different buckets, 16 bits each) and tokens of every row; nulls of source and lang spelled out."""
 
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def worded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, data, bounds in text_runs(batch.column("text")):
+            langs = batch.column("lang").dictionary_encode()
+            named = np.array([crc32_text(x) % SLOTS for x in langs.dictionary.to_pylist()], np.int32)
+            slots = named[langs.indices.to_numpy(zero_copy_only=False)]
+            for first, data, bounds in text_runs(batch.column("text"), 1 << 18):
                 rows = len(bounds) - 1
                 start, end, row = word_spans(data, bounds)
-                part = (span_hashes(prefix_hashes(data), start, end) % U64(TOPICS)).astype(np.int64)
-                counts = np.bincount(row * TOPICS + part, minlength=rows * TOPICS).reshape(rows, TOPICS)
+                slot = slots[first : first + rows]
+                bucket = mix(span_hashes(prefix_hashes(lowered(data)), start, end) + slot[row].astype(U64)) % U64(BUCKETS)
+                different = np.unique(row * BUCKETS + bucket.astype(np.int64))
+                raw = (different % BUCKETS).astype(np.uint16).tobytes()
+                edges = (2 * np.searchsorted(different, np.arange(rows + 1) * BUCKETS)).astype(np.int32)
+                words = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(edges), pa.py_buffer(raw)])
                 same = batch.slice(first, rows)
-                topics = pa.array([str(x) for x in counts.argmax(1)])
-                yield pa.RecordBatch.from_arrays([*(same.column(k) for k in ("doc_id", "source", "lang")), topics, pa.array(counts.sum(1))], names=["doc_id", *KEYS, "tokens"])
+                tokens = pa.array(np.bincount(row, minlength=rows).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*(same.column(k) for k in ("doc_id", "source", "lang")), pa.array(slot), words, tokens], names=["doc_id", *KEYS[:2], "slot", "words", "tokens"])
 
     named = docs.select(F.col("doc_id").cast("long"), *(F.coalesce(F.col(k).cast("string"), F.lit(_NULL)).alias(k) for k in KEYS[:2]), "text")
-    return named.mapInArrow(measured, "doc_id long, source string, lang string, topic string, tokens long")
+    return named.mapInArrow(worded, "doc_id long, source string, lang string, slot int, words binary, tokens long")
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(slot of each row, bucket and row of each word) of runs of a batch of _worded()."""
+    slots = batch.column("slot").to_numpy()
+    for first, data, bounds in text_runs(batch.column("words"), 1 << 18):
+        rows = len(bounds) - 1
+        yield slots[first : first + rows], data.view(np.uint16).astype(np.int64), np.repeat(np.arange(rows), np.diff(bounds) // 2)
+
+
+@dataclass
+class Groups:
+    """How many texts of each group have each word, and are of each language."""
+
+    words: np.ndarray  # BUCKETS x TOPICS
+    texts: np.ndarray  # SLOTS x TOPICS
+    mean: np.ndarray | None = None  # SLOTS x TOPICS: of the log-odds of words
+    spread: np.ndarray | None = None  # their standard deviation
+    votes: np.ndarray | None = None  # SLOTS x TOPICS: shares of the parts; then words vote for parts, and all texts are of one group
+
+    def part_votes(self, slot: np.ndarray, bucket: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Thousandths of votes of each row for each part of the vocabulary."""
+        n, every = self.words[:, 0], self.texts[:, 0]
+        vote = np.rint(1000 * np.log(np.maximum(every[slot[row]] / np.maximum(n[bucket], 1), 1))) * (n[bucket] >= RARE)
+        return np.bincount(row * TOPICS + bucket % TOPICS, vote, minlength=len(slot) * TOPICS).reshape(-1, TOPICS)
+
+    def topics(self, slot: np.ndarray, bucket: np.ndarray, row: np.ndarray) -> np.ndarray:
+        if self.votes is not None:
+            found = self.part_votes(slot, bucket, row)
+            return (found - found.sum(1)[:, None] * self.votes[slot]).argmax(1)
+        known, odds = self.log_odds(slot, bucket, row)
+        n = np.maximum(np.bincount(row[known], minlength=len(slot)), 1)
+        sums = np.stack([np.bincount(row[known], x, minlength=len(slot)) for x in odds], 1)
+        return ((sums - n[:, None] * self.mean[slot]) / (np.sqrt(n)[:, None] * self.spread[slot])).argmax(1)
+
+    def log_odds(self, slot: np.ndarray, bucket: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Which words are not rare, and for each group their log-odds."""
+        share = np.maximum(self.texts, 1) / np.maximum(self.texts, 1).sum(1)[:, None]
+        n = self.words.sum(1)
+        known = np.flatnonzero(n[bucket] >= RARE)
+        bucket, of = bucket[known], slot[row[known]]
+        return known, [np.log((self.words[bucket, t] / share[of, t] + PRIOR) / (n[bucket] + PRIOR)) for t in range(TOPICS)]
+
+
+def _tallied(worded: DataFrame, size: int, tally) -> np.ndarray:
+    """Sums over all runs of tally(slot, bucket, row), an array of a fixed size."""
+
+    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size, np.int64)
+        for batch in batches:
+            for run in _runs(batch):
+                sums += tally(*run)
+        keys = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"key": pa.array(keys.astype(np.int32)), "n": pa.array(sums[keys])})
+
+    found = worded.select("slot", "words").mapInArrow(tallied, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(size)
+    out[found["key"].to_numpy(int)] = found["n"].to_numpy()
+    return out
+
+
+def _counted(worded: DataFrame, groups: Groups | None) -> Groups:
+    """The counts of the groups that texts go to; without groups, all go to the first."""
+    shared = worded.sparkSession.sparkContext.broadcast(groups)
+
+    def tally(slot: np.ndarray, bucket: np.ndarray, row: np.ndarray) -> np.ndarray:
+        topic = shared.value.topics(slot, bucket, row) if shared.value else np.zeros(len(slot), np.int64)
+        return np.r_[np.bincount(bucket * TOPICS + topic[row], minlength=BUCKETS * TOPICS), np.bincount(slot * TOPICS + topic, minlength=SLOTS * TOPICS)]
+
+    sums = _tallied(worded, (BUCKETS + SLOTS) * TOPICS, tally).reshape(-1, TOPICS)
+    shared.destroy()
+    return Groups(sums[:BUCKETS], sums[BUCKETS:])
+
+
+def _levelled(worded: DataFrame, groups: Groups) -> Groups:
+    """The groups, with the mean and the spread of the log-odds of each language's words."""
+    shared = worded.sparkSession.sparkContext.broadcast(groups)
+
+    def tally(slot: np.ndarray, bucket: np.ndarray, row: np.ndarray) -> np.ndarray:
+        known, odds = shared.value.log_odds(slot, bucket, row)
+        of = slot[row[known]]
+        sums = [np.bincount(of, minlength=SLOTS)]
+        for x in odds:
+            whole = np.rint(1000 * x)  # sums of whole numbers don't depend on their order
+            sums += [np.bincount(of, whole, minlength=SLOTS), np.bincount(of, whole**2, minlength=SLOTS)]
+        return np.concatenate(sums).astype(np.int64)
+
+    sums = _tallied(worded, (1 + 2 * TOPICS) * SLOTS, tally).reshape(-1, SLOTS).T
+    shared.destroy()
+    n = np.maximum(sums[:, :1], 1)
+    mean = sums[:, 1::2] / n / 1000
+    spread = np.sqrt(np.maximum(sums[:, 2::2] / n / 1e6 - mean**2, 1e-6))
+    return Groups(groups.words, groups.texts, mean, spread)
+
+
+def learn(worded: DataFrame) -> Groups:
+    """The groups after TURNS passes."""
+    start = _counted(worded, None)
+    shared = worded.sparkSession.sparkContext.broadcast(start)
+
+    def tally(slot: np.ndarray, bucket: np.ndarray, row: np.ndarray) -> np.ndarray:
+        votes = shared.value.part_votes(slot, bucket, row)
+        return np.stack([np.bincount(slot, votes[:, t], minlength=SLOTS) for t in range(TOPICS)], 1).ravel().astype(np.int64)
+
+    votes = _tallied(worded, SLOTS * TOPICS, tally).reshape(SLOTS, TOPICS)
+    shared.destroy()
+    groups = Groups(start.words, start.texts, votes=votes / np.maximum(votes.sum(1), 1)[:, None])
+    for _ in range(TURNS):
+        groups = _levelled(worded, _counted(worded, groups))
+    return groups
+
+
+def measure(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, topic, tokens of every row; nulls of source and lang spelled out."""
+    worded = Scratch(docs.sparkSession).table(_worded(docs), "worded")
+    shared = docs.sparkSession.sparkContext.broadcast(learn(worded))
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            topics = [shared.value.topics(*run) for run in _runs(batch)]
+            topic = pa.array([str(x) for run in topics for x in run], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "source", "lang")), topic, batch.column("tokens")], names=["doc_id", *KEYS, "tokens"])
+
+    return worded.mapInArrow(measured, "doc_id long, source string, lang string, topic string, tokens long")
 
 
 def _targets(marginal: pd.Series, target: Target) -> pd.Series:
