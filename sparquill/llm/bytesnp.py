@@ -1,8 +1,8 @@
 """Vectorised work on the UTF-8 bytes of Arrow text columns.
 
 Texts are handled in runs of whole rows of about ``limit`` bytes, so that the
-temporary arrays stay small; one row that is longer forms a run of its own.
-Nulls count as empty texts.
+temporary arrays stay small; one row that is longer forms a run of its own, and
+hashes of its spans are then taken in blocks. Nulls count as empty texts.
 """
 
 from __future__ import annotations
@@ -61,6 +61,34 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64))
 
 
+def _long_hash(data: np.ndarray, block: int) -> np.uint64:
+    """span_hashes() of all the bytes, block by block."""
+    total = 0
+    for at in range(0, len(data), block):
+        part = data[at : at + block]
+        total += int((_BYTE[part] * powers(len(part))[0][: len(part)]).sum()) * pow(int(_BASE), at, 1 << 64)
+    return mix(np.array([(total + len(data)) % (1 << 64)], U64))[0]
+
+
+def hashes_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """span_hashes() of spans in ascending order of their starts, with temporary arrays of 2 * block places at most."""
+    if len(data) <= 2 * block:
+        return span_hashes(prefix_hashes(data), start, end)
+    out = np.empty(len(start), U64)
+    cuts = np.searchsorted(start, np.arange(0, len(data) + block, block)).tolist()
+    for k, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if i == j:
+            continue
+        at = k * block
+        s, e = start[i:j] - at, end[i:j] - at
+        near = e <= 2 * block
+        if near.any():
+            out[i:j][near] = span_hashes(prefix_hashes(data[at : at + int(e[near].max())]), s[near], e[near])
+        for x in np.flatnonzero(~near).tolist():
+            out[i + x] = _long_hash(data[start[i + x] : end[i + x]], block)
+    return out
+
+
 def text_runs(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, bounds of the rows in them: one more than rows)."""
     if not len(column):
@@ -107,9 +135,11 @@ def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def per_row(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of flags within the bounds."""
-    sums = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=sums[1:])
-    return sums[bounds[1:]] - sums[bounds[:-1]]
+    out = np.zeros(len(bounds) - 1, np.int64)
+    some = np.diff(bounds) > 0
+    if some.any():
+        out[some] = np.add.reduceat(flags, bounds[:-1][some], dtype=np.int64)
+    return out
 
 
 def crc32_text(value: object) -> int:

@@ -13,20 +13,29 @@ _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; one of our own only where it names none."""
+    """The folder that the cluster names for checkpoints; one of our own only where it names none, and only in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="sparquill-"))
     return _own_folder[0]
 
 
 class Scratch:
-    """Written tables of one run of an operator, in the shared folder."""
+    """Written tables of one run of an operator, in the shared folder; what is left of them goes when the session ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/sparquill/{uuid.uuid4().hex}"
+        files, path = self._files(self.root)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -38,9 +47,8 @@ class Scratch:
 
     def drop(self, name: str) -> None:
         """Deletes a table that nothing will read again."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        files, path = self._files(self.path(name))
+        files.delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

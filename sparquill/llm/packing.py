@@ -31,7 +31,7 @@ from .common import Scratch, keyed
 from .tokens import encoder, with_ends
 
 CAPACITY = 2048
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 2, 6, 12
+ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 2, 6, 24
 SHARD, MERGED = 16_384, 512  # pieces of a shard; shards whose worst bins are packed together
 PIECES = "piece_id long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -42,7 +42,7 @@ def cut_pieces(docs: DataFrame, capacity: int, tokenizer: str | None) -> DataFra
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
-            for first, data, bounds in text_runs(batch.column("text"), 4 << 20):
+            for first, data, bounds in text_runs(batch.column("text")):
                 ids, counts = with_ends(*enc.encode_run(data, bounds))
                 rows = np.arange(first, first + len(counts))
                 n = -(-counts // capacity)
@@ -61,8 +61,8 @@ def cut_pieces(docs: DataFrame, capacity: int, tokenizer: str | None) -> DataFra
     return rows.select(F.monotonically_increasing_id().alias("piece_id"), "*")
 
 
-def best_fit(sizes: np.ndarray, capacity: int, free: list[int] | None = None) -> tuple[np.ndarray, list[int]]:
-    """Bins of the items, taken from large to small, each into the fullest bin that holds it.
+def best_fit(sizes: np.ndarray, capacity: int, free: list[int] | None = None, order: np.ndarray | None = None) -> tuple[np.ndarray, list[int]]:
+    """Bins of the items, taken from large to small or in the given order, each into the fullest bin that holds it.
 
     free: room in bins that are there already, numbered from 0. Bins of equal
     room are kept in a stack for each room, so that an item looks through rooms
@@ -75,7 +75,7 @@ def best_fit(sizes: np.ndarray, capacity: int, free: list[int] | None = None) ->
         stacks[r].append(i)
         bits |= 1 << r
     out = np.empty(len(sizes), np.int64)
-    for i in np.argsort(-sizes, kind="stable").tolist():
+    for i in (np.argsort(-sizes, kind="stable") if order is None else order).tolist():
         size = int(sizes[i])
         above = bits >> size
         if above:
@@ -129,78 +129,89 @@ def _crossover(mother: np.ndarray, father: np.ndarray, sizes: np.ndarray, capaci
     return child
 
 
+def _mutated(bins: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """The packing with some of its worst-filled bins dissolved, and a few others, so that their room can be traded."""
+    fill = _fill(bins, sizes)
+    gone = (fill <= np.quantile(fill, rng.uniform(0.02, 0.5))) & (fill < capacity)
+    gone |= rng.random(len(fill)) < rng.uniform(0, 0.4)
+    return _refit(bins, sizes, gone, capacity)
+
+
 def fitness(bins: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[int, float]:
     """Fewer bins are better, then fuller ones beside emptier ones."""
     fill = _fill(bins, sizes) / capacity
     return -len(fill), float((fill**2).sum())
 
 
-def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray], generations: int = GENERATIONS, population: int = POPULATION) -> np.ndarray:
-    """An island's best packing; elites: packings that came from other islands, and its own."""
+def evolve(sizes: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray], generations: int = GENERATIONS, population: int = POPULATION) -> tuple[np.ndarray, int]:
+    """An island's best packing after an epoch, and how many generations that took.
+
+    elites: packings that came from other islands, and its own; an island
+    without any starts from documents placed in random orders. The lower bound
+    ends an epoch, after one generation at the earliest.
+    """
     rng = np.random.default_rng(seed)
     bound = -(-int(sizes.sum()) // capacity)
-    own = [x for x in elites] or [best_fit(sizes, capacity)[0]]
-    best = max(own, key=lambda x: fitness(x, sizes, capacity))
-    if best.max(initial=-1) + 1 <= bound:
-        return best
+    own = list(elites) or [best_fit(sizes, capacity, order=rng.permutation(len(sizes)))[0] for _ in range(population)]
+    if len(sizes) < 2:
+        return own[0], 0
     while len(own) < population:
-        noisy = np.argsort(-(sizes * rng.uniform(0.7, 1.3, len(sizes))))
-        gone = np.zeros(best.max() + 1, bool)
-        gone[best[noisy[: max(2, len(noisy) // 10)]]] = True
-        own.append(_refit(best, sizes, gone, capacity))
-    for _ in range(generations):
-        i, j = rng.choice(len(own), 2, replace=False)
-        child = _crossover(own[i], own[j], sizes, capacity, rng)
-        fill = _fill(child, sizes)
-        gone = fill <= np.quantile(fill, rng.uniform(0.01, 0.1))
-        own.append(_refit(child, sizes, gone, capacity))
+        own.append(_mutated(own[len(own) % len(elites)], sizes, capacity, rng))
+    for turn in range(1, generations + 1):
         own.sort(key=lambda x: fitness(x, sizes, capacity), reverse=True)
         own = own[:population]
-        if own[0].max() + 1 <= bound:
-            break
-    return max(own, key=lambda x: fitness(x, sizes, capacity))
+        if turn > 1 and own[0].max() + 1 <= bound:
+            return own[0], turn - 1
+        i, j = sorted(rng.choice(len(own), 2, replace=False).tolist())
+        own.append(_mutated(_crossover(own[i], own[j], sizes, capacity, rng), sizes, capacity, rng))
+    return max(own, key=lambda x: fitness(x, sizes, capacity)), generations
 
 
 def _epoch(capacity: int, number: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = []
-            for shard, island, sizes, elites in zip(*(batch.column(k) for k in ("shard", "island", "sizes", "elites")), strict=True):
+            for i, (shard, island, sizes, elites) in enumerate(zip(*(batch.column(k) for k in ("shard", "island", "sizes", "elites")), strict=True)):
                 own = [np.frombuffer(x, "<i4").astype(np.int64) for x in elites.as_py() or []]
                 seed = (shard.as_py() * ISLANDS + island.as_py()) * EPOCHS + number
-                packed.append(evolve(sizes.values.to_numpy(), capacity, seed, own).astype("<i4").tobytes())
-            done = [batch.column(k) for k in ("shard", "island")]
-            yield pa.RecordBatch.from_arrays([*done, pa.array(packed, pa.binary())], names=["shard", "island", "packing"])
+                best, turns = evolve(sizes.values.to_numpy(), capacity, seed, own)
+                done = [batch.column(k).slice(i, 1) for k in ("shard", "island")]
+                yield pa.RecordBatch.from_arrays([*done, pa.array([turns], pa.int64()), pa.array([best.astype("<i4").tobytes()], pa.binary())], names=["shard", "island", "generations", "packing"])
 
     return run
 
 
-def _bins_of(shards: DataFrame, capacity: int, scratch: Scratch, name: str) -> DataFrame:
-    """(shard, bin, piece_id, length) after all epochs; shards: shard, ids, sizes."""
+def _bins_of(shards: DataFrame, n_shards: int, capacity: int, scratch: Scratch, name: str) -> DataFrame:
+    """(shard, bin, piece_id, length, generations) after all epochs; shards: shard, ids, sizes."""
     start = shards.select("shard", "sizes", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"))
-    packed = None
+    packed = turns = None
     for number in range(EPOCHS):
         if packed is None:
             now = start.withColumn("elites", F.array().cast("array<binary>"))
         else:  # each packing stays, and goes to the next island of the ring
             moved = packed.select("shard", "packing", F.explode(F.array("island", F.pmod(F.col("island") + 1, F.lit(ISLANDS)))).alias("island"))
-            now = start.join(moved.groupBy("shard", "island").agg(F.collect_list("packing").alias("elites")), ["shard", "island"])
-        packed = scratch.table(now.select("shard", "island", "sizes", "elites").mapInArrow(_epoch(capacity, number), "shard long, island int, packing binary"), f"{name}_epoch{number}")
+            now = start.join(moved.groupBy("shard", "island").agg(F.sort_array(F.collect_list("packing")).alias("elites")), ["shard", "island"])
+        dealt = now.select("shard", "island", "sizes", "elites").repartition(min(n_shards * ISLANDS, 1 << 16), "shard", "island")
+        packed = scratch.table(dealt.mapInArrow(_epoch(capacity, number), "shard long, island int, generations long, packing binary"), f"{name}_epoch{number}")
+        own = packed.select("shard", "generations")
+        turns = own if turns is None else turns.union(own)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, ids, sizes, packings in zip(*(batch.column(k) for k in ("shard", "ids", "sizes", "packings")), strict=True):
+            for shard, ids, sizes, packings, total in zip(*(batch.column(k) for k in ("shard", "ids", "sizes", "packings", "generations")), strict=True):
                 lengths = sizes.values.to_numpy()
                 options = [np.frombuffer(x, "<i4").astype(np.int64) for x in packings.as_py()]
                 best = max(options, key=lambda x: fitness(x, lengths, capacity))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), shard.as_py())), pa.array(best), ids.values, sizes.values], names=["shard", "bin", "piece_id", "length"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), shard.as_py())), pa.array(best), ids.values, sizes.values, pa.array(np.full(len(best), total.as_py()))], names=["shard", "bin", "piece_id", "length", "generations"])
 
-    best = packed.groupBy("shard").agg(F.collect_list("packing").alias("packings"))
-    return shards.join(best, "shard").select("shard", "ids", "sizes", "packings").mapInArrow(spread, "shard long, bin long, piece_id long, length long")
+    best = packed.groupBy("shard").agg(F.sort_array(F.collect_list("packing")).alias("packings")).join(turns.groupBy("shard").agg(F.sum("generations").alias("generations")), "shard")
+    return shards.join(best, "shard").select("shard", "ids", "sizes", "packings", "generations").mapInArrow(spread, "shard long, bin long, piece_id long, length long, generations long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece.
+
+    generations: how many the islands ran that packed the piece; 0 for full pieces, which are sequences as they are.
+    """
     scratch = Scratch(docs.sparkSession)
     docs = keyed(docs.select(F.col("doc_id").cast("long"), "text"), "text")
     pieces = scratch.table(cut_pieces(docs, capacity, tokenizer), "pieces")
@@ -212,17 +223,17 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
         return rows.select("shard", F.col("rows.piece_id").alias("ids"), F.col("rows.length").alias("sizes"))
 
     shards = scratch.table(gathered(short.withColumn("shard", F.pmod(F.xxhash64("piece_id"), F.lit(n_shards)))), "shards")
-    bins = scratch.table(_bins_of(shards, capacity, scratch, "shards"), "bins")
+    bins = scratch.table(_bins_of(shards, n_shards, capacity, scratch, "shards"), "bins")
     # what a shard could not fill: its one worst bin, and any bin under half
     fills = bins.groupBy("shard", "bin").agg(F.sum("length").alias("fill"))
     worst = fills.groupBy("shard").agg(F.min_by("bin", F.struct("fill", "bin")).alias("worst"))
     loose = fills.join(worst, "shard").where((F.col("bin") == F.col("worst")) | (F.col("fill") < capacity // 2)).select("shard", "bin")
     again = bins.join(loose, ["shard", "bin"], "left_semi").select(F.floor(F.col("shard") / MERGED).alias("shard"), "piece_id", "length")
     merged = scratch.table(gathered(again), "merged")
-    last = _bins_of(merged, capacity, scratch, "merged")
-    settled = bins.join(loose, ["shard", "bin"], "left_anti").select("piece_id", "shard", "bin", F.lit(1).alias("kind")).union(last.select("piece_id", "shard", "bin", F.lit(2)))
+    last = scratch.table(_bins_of(merged, -(-n_shards // MERGED), capacity, scratch, "merged"), "last")
+    settled = bins.join(loose, ["shard", "bin"], "left_anti").select("piece_id", "shard", "bin", F.lit(1).alias("kind"), "generations").union(last.select("piece_id", "shard", "bin", F.lit(2), "generations"))
 
     sequence = F.when(F.col("bin").isNull(), F.col("piece_id") * 4).otherwise((F.col("shard") * (1 << 20) + F.col("bin")) * 4 + F.col("kind"))
     placed = pieces.join(settled, "piece_id", "left").withColumn("sequence_id", sequence)
     ahead = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "piece_id").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"), F.coalesce("generations", F.lit(0)).alias("generations"))

@@ -5,7 +5,9 @@ white space begins and where an ASCII letter meets an ASCII sign. The pieces
 between such cuts repeat; each worker keeps the ids of those it has met, by a
 64-bit hash in sorted arrays of bounded size, and only new ones reach the
 tokenizers library, many at a time. Rows with white space outside ASCII, where
-the first rule is not enough, are encoded in one go.
+the first rule is not enough, are encoded in one go. Long texts go block by
+block, parted where an ASCII character meets white space or a letter a sign, so
+that memory grows with the ids alone; a text without such a place is one block.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import numpy as np
 from .bytesnp import SPACE, U64, prefix_hashes, span_hashes
 
 END_ID = 0
+BLOCK = 1 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN = np.zeros(256, bool)
@@ -44,6 +47,24 @@ def wide_space(data: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
+def long_text_blocks(data: np.ndarray) -> np.ndarray:
+    """Bounds of blocks of about BLOCK bytes that can be encoded by themselves."""
+    cuts = [0]
+    while len(data) - cuts[-1] > 2 * BLOCK:
+        at = cuts[-1] + BLOCK
+        while at < len(data):
+            some = data[at - 1 : at + BLOCK]
+            left, right = some[:-1], some[1:]
+            safe = np.flatnonzero(((left < 128) & ~SPACE[left] & SPACE[right]) | (_LETTER[left] & _SIGN[right]))
+            if len(safe):
+                cuts.append(at + int(safe[0]))
+                break
+            at += BLOCK
+        else:
+            break
+    return np.array([*cuts, len(data)])
+
+
 def gather(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The spans of pool that begin at start, one behind the other."""
     ends = np.cumsum(count)
@@ -55,7 +76,7 @@ def gather(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray
 class Encoder:
     """Encodes texts; strings of special tokens in a text are ordinary text."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -102,6 +123,27 @@ class Encoder:
 
     def encode_run(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows of a run of bytes, one behind the other, and how many each row has."""
+        ids, counts, row = [], [], 0
+        while row < len(bounds) - 1:
+            stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + BLOCK, "right")) - 1)
+            some = data[bounds[row] : bounds[stop]]
+            if len(some) <= 2 * BLOCK:
+                got, n = self._encode_rows(some, bounds[row : stop + 1] - bounds[row])
+            else:  # one long row
+                got, n = self._encode_rows(some, long_text_blocks(some))
+                n = n.sum(keepdims=True)
+            ids.append(got)
+            counts.append(n)
+            row = stop
+        return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+
+    def _encode_rows(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(data) > 2 * BLOCK:  # blocks of one text, one after the other
+            each = [self._encode_block(data[a:b], np.array([0, b - a])) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            return np.concatenate([x for x, _ in each]), np.concatenate([n for _, n in each])
+        return self._encode_block(data, bounds)
+
+    def _encode_block(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(bounds) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)

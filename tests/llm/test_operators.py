@@ -103,14 +103,27 @@ def test_packing(docs, empty):
             end += length
         assert end <= 64
     assert len(by) <= 1.1 * -(-sum(r.length for r in got) // 64) and packing.pack(empty).count() == 0
+    assert any(r.generations > 0 for r in got) and all(r.generations == 0 for r in got if r.length == 64)
 
 
-def test_evolution_keeps_items_and_never_overfills():
+def test_evolution_keeps_items_never_overfills_and_earns_its_bins():
     sizes = np.random.default_rng(5).integers(300, 900, 300)
-    start = packing.best_fit(sizes, 1000)[0]
-    best = packing.evolve(sizes, 1000, 7, [], generations=30)
-    assert len(best) == len(sizes) and np.bincount(best, sizes).max() <= 1000 and best.max() <= start.max()
+    best, turns = packing.evolve(sizes, 1000, 7, [], generations=30)
+    assert len(best) == len(sizes) and np.bincount(best, sizes).max() <= 1000 and turns > 0
     assert set(best.tolist()) == set(range(best.max() + 1))
+    for seed in range(4):
+        sizes = np.random.default_rng(seed).integers(150, 520, 400)
+        random_order = packing.best_fit(sizes, 1000, order=np.random.default_rng(seed).permutation(400))[0]
+        grown, turns = packing.evolve(sizes, 1000, seed, [], generations=60)
+        assert grown.max() < random_order.max() and turns > 0
+
+
+def test_evolution_beats_best_fit_where_that_misses_the_optimum():
+    parts = np.array([[44, 24, 32], [40, 38, 22], [35, 36, 29], [47, 30, 23], [34, 33, 33], [42, 31, 27]])  # rows fill a bin of 100
+    sizes = np.tile(parts, (5, 1)).ravel()
+    alone = packing.best_fit(sizes, 100)[0].max() + 1
+    best = min(packing.evolve(sizes, 100, seed, [], generations=400)[0].max() + 1 for seed in range(4))
+    assert 30 <= best < alone
 
 
 def test_mixing_meets_its_targets(spark, docs, empty):
