@@ -1,15 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Documents fall into cells of source, language and topic. Raking multiplies the
-cells' tokens by a factor for each value of each of the three, in turn, until
-all three marginals meet their targets; a cell's factor is the weight of its
-tokens. A document's probability is its cell's weight times a common scale, 1
-at most, with the scale set so that the expected tokens are `share` of all
-tokens, and a hash of doc_id against it decides, the same in every run.
-
-Targets are shares of tokens for each value, or an exponent: then a value's
-target is its share of tokens to that power, normalised, so that below 1 large
-sources give way to small ones. Values without a target keep their own share.
+Documents fall into cells of source, language and topic. A cell's probability
+is the product of a factor for each of its three values, 1 at most. Raking sets
+the factors of one marginal after the other, each so that the expected tokens
+of its value (probability times tokens) meet the target, until all three
+marginals do. A hash of doc_id against its cell's probability decides, the same
+in every run.
+
+Targets are shares of the expected tokens, which are `share` of all tokens, for
+each value, or an exponent: then a value's target is its share of tokens to
+that power, normalised, so that below 1 large sources give way to small ones.
+Values without a target keep their own share. No value can give more than FULL
+of its tokens: a larger target is cut to that, and the rest goes to the other
+values in proportion to theirs; report() names these. Where the three marginals
+contradict each other, raking ends after ROUNDS, and report() shows by how much
+they are missed.
 
 A text's topic is one of eight groups of texts that share words beyond what is
 usual in their language. Groups start from rare words: each votes for a part of
@@ -47,10 +52,12 @@ BUCKETS, SLOTS, TURNS, RARE = 1 << 16, 64, 2, 5
 PRIOR = 20.0  # texts with a word that are taken to be spread over the groups as the language's are
 FEW = 1_000_000  # cells (some tens of bytes each) that are raked on the driver and broadcast; more are raked by Spark
 KEYS = ("source", "lang", "topic")
-ROUNDS, TOLERANCE = 100, 1e-9  # of raking, on the driver and by Spark: it stops when no factor is further than that from 1
+FULL = 0.95  # of a value's tokens, that a target may ask for at most (share, if that is more)
+ROUNDS, TOLERANCE = 200, 1e-9  # of raking, on the driver and by Spark: it stops when no marginal is further than that part of all expected tokens from its target
 MOST_VALUES = 100_000  # rows of a marginal that may be broadcast
 _NULL = "\0null"
 Target = dict[str, float] | float
+TARGETS: dict[str, Target] = {"source": 0.7, "lang": 0.7, "topic": 0.5}
 
 
 def _worded(docs: DataFrame) -> DataFrame:
@@ -202,112 +209,163 @@ def measure(docs: DataFrame) -> DataFrame:
     return worded.mapInArrow(measured, "doc_id long, source string, lang string, topic string, tokens long")
 
 
-def _targets(marginal: pd.Series, target: Target) -> pd.Series:
-    """Target tokens of each value, with the sum of the marginal."""
+def poured(want: np.ndarray, room: np.ndarray, total: float) -> np.ndarray:
+    """Parts of total in proportion to want, none above its room; all the room there is if that is less.
+
+    The sum is concave and piecewise linear in the common scale, so Newton's
+    method from below meets it when no further part is full.
+    """
+    scale = 0.0
+    while True:
+        full = scale * want >= room
+        rest = want[~full].sum()
+        met = (total - room[full].sum()) / rest if rest > 0 else scale
+        if met <= scale * (1 + 1e-12):
+            return np.minimum(scale * want, room)
+        scale = met
+
+
+def _targets(marginal: np.ndarray, values: list, target: Target, share: float) -> np.ndarray:
+    """Expected tokens that each value shall have."""
     total = float(marginal.sum())
-    share = marginal / max(total, 1)
-    want = share**target if not isinstance(target, dict) else pd.Series({k: target.get(k, v) for k, v in share.items()}, dtype=float)
-    want = want.where(marginal > 0, 0.0)
-    return want * (total / want.sum()) if want.sum() else want
+    part = marginal / max(total, 1.0)
+    want = part**target if not isinstance(target, dict) else np.array([target.get(k, v) for k, v in zip(values, part.tolist(), strict=True)], float)
+    want = np.where(marginal > 0, want, 0.0)
+    return poured(want / max(want.sum(), 1e-300), marginal * max(FULL, share), share * total)
+
+
+def _factors(code: np.ndarray, n: int, weight: np.ndarray, tokens: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """For each value the factor by which the cells' weights meet its target, with probabilities of 1 at most."""
+    factor = np.zeros(n)
+    for _ in range(len(weight) + 1):
+        capped = weight * factor[code] >= 1
+        full = np.bincount(code, np.where(capped, tokens, 0), n)
+        rest = np.bincount(code, np.where(capped, 0, weight * tokens), n)
+        met = np.divide(target - full, rest, out=factor.copy(), where=(rest > 0) & (target > full))
+        if (met <= factor * (1 + 1e-12)).all():
+            break
+        factor = np.maximum(met, factor)
+    return factor
 
 
-def rake(cells: pd.DataFrame, targets: dict[str, Target], rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
-    """The weight of each cell (columns of KEYS and tokens)."""
-    fitted = cells["tokens"].astype(float).to_numpy()
+def rake(cells: pd.DataFrame, targets: dict[str, Target], share: float, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+    """The probability of each cell (columns of KEYS and tokens)."""
+    tokens = cells["tokens"].to_numpy(float)
+    weight = np.full(len(cells), share)
     codes = {k: pd.factorize(cells[k])[0] for k in KEYS}
-    wanted = {k: _targets(cells.groupby(codes[k])["tokens"].sum().set_axis(pd.unique(cells[k])), targets.get(k, 1.0)).to_numpy() for k in KEYS}
+    wanted = {k: _targets(np.bincount(codes[k], tokens), list(pd.unique(cells[k])), targets.get(k, 1.0), share) for k in KEYS}
     for _ in range(rounds):
-        worst = 0.0
+        off = 0.0
         for k in KEYS:
-            now = np.bincount(codes[k], fitted, len(wanted[k]))
-            factor = np.divide(wanted[k], now, out=np.ones(len(now)), where=now > 0)
-            worst = max(worst, float(np.abs(factor - 1).max(initial=0)))
-            fitted = fitted * factor[codes[k]]
-        if worst < tolerance:
+            now = np.bincount(codes[k], np.minimum(1, weight) * tokens, len(wanted[k]))
+            off = max(off, np.abs(now - wanted[k]).max(initial=0) / max(tokens.sum() * share, 1e-300))
+            factor = _factors(codes[k], len(wanted[k]), weight, tokens, wanted[k])
+            weight = np.where(tokens > 0, weight * factor[codes[k]], weight)
+        if off < tolerance:
             break
-    return np.divide(fitted, cells["tokens"], out=np.ones(len(cells)), where=cells["tokens"].to_numpy() > 0)
+    return np.minimum(1, weight)
 
 
-def calibrate(weight: np.ndarray, tokens: np.ndarray, share: float) -> float:
-    """The scale at which the expected tokens are share of all, with probabilities of 1 at most."""
-    low, high = 0.0, 1.0 / max(float(weight[tokens > 0].min(initial=1.0)), 1e-12)
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (np.minimum(1, mid * weight) * tokens).sum() < share * tokens.sum() else (low, mid)
-    return high
-
-
-def _wide_scale(cells: DataFrame, share: float) -> float:
-    """The scale that calibrate() finds, by Newton's method from below.
-
-    Expected tokens are concave and piecewise linear in the scale, so each step
-    adds cells whose probability is 1, and the scale is met when none is added.
-    """
-    total, least = cells.where("tokens > 0").agg(F.sum("tokens"), F.min("weight")).first()
-    if not total:
-        return 0.0
-    top = 1.0 / max(min(1.0, least), 1e-12)
+def _pour_wide(values: DataFrame, total: float) -> float:
+    """The scale of poured() for a table of want and room."""
     scale = 0.0
     while True:
-        capped = F.col("weight") * scale >= 1
-        full, rest = cells.agg(F.sum(F.when(capped, F.col("tokens")).otherwise(0)), F.sum(F.when(capped, 0.0).otherwise(F.col("weight") * F.col("tokens")))).first()
-        met = min((share * total - full) / rest, top) if rest > 0 else top
+        full = F.col("want") * scale >= F.col("room")
+        fixed, rest = values.agg(F.sum(F.when(full, F.col("room")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("want")))).first()
+        met = (total - fixed) / rest if rest else scale
         if met <= scale * (1 + 1e-12):
             return scale
         scale = met
 
 
-def _rake_wide(cells: DataFrame, targets: dict[str, Target], share: float, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The same for cells beyond FEW, in rounds of grouped sums; KEYS and probability."""
+def rake_wide(cells: DataFrame, targets: dict[str, Target], share: float, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The same for cells beyond FEW, in grouped sums; KEYS and probability."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     wanted = {}
     for k in KEYS:
         target = targets.get(k, 1.0)
         own = F.col("raw") / max(total, 1)
         want = F.coalesce(*(F.when(F.col(k) == v, F.lit(float(x))) for v, x in target.items()), own) if isinstance(target, dict) else F.pow(own, F.lit(float(target)))
-        values = cells.groupBy(k).agg(F.sum("tokens").alias("raw")).select(k, F.when(F.col("raw") > 0, want).otherwise(0.0).alias("want"))
-        values = scratch.table(values, f"wanted_{k}")
+        values = cells.groupBy(k).agg(F.sum("tokens").alias("raw")).select(k, F.when(F.col("raw") > 0, want).otherwise(0.0).alias("want"), (F.col("raw") * max(FULL, share)).alias("room"))
+        values = scratch.table(values, f"wanted_{k}")  # a row a value
         count, norm = values.agg(F.count(F.lit(1)), F.sum("want")).first()
-        values = values.withColumn("want", F.col("want") * (total / norm if norm else 1.0))
-        wanted[k] = values, count <= MOST_VALUES
-    now = cells.withColumn("fitted", F.col("tokens").cast("double"))
+        values = values.withColumn("want", F.col("want") / (norm or 1.0))
+        scale = _pour_wide(values, share * total) if total else 0.0
+        wanted[k] = values.select(k, F.least(F.col("want") * scale, F.col("room")).alias("target")), count <= MOST_VALUES
+    def settled(rows: DataFrame, few: bool, name: str) -> DataFrame:
+        """rows without their lineage: at most MOST_VALUES of them through the driver, more as a written table."""
+        return cells.sparkSession.createDataFrame(rows.collect(), rows.schema) if few else scratch.table(rows, name)
+
+    now, last = scratch.table(cells.select(*KEYS, "tokens", F.lit(float(share)).alias("weight")), "rake_start"), "rake_start"
     for turn in range(rounds):
+        off = 0.0
         for k, (values, few) in wanted.items():
-            sums = now.groupBy(k).agg(F.sum("fitted").alias("have")).join(values, k)
-            factors = sums.select(k, F.when(F.col("have") > 0, F.col("want") / F.col("have")).otherwise(1.0).alias(f"by_{k}"))
-            now = now.join(F.broadcast(factors) if few else factors, k).withColumn("fitted", F.col("fitted") * F.col(f"by_{k}"))
-        now = scratch.table(now, f"rake{turn}")
-        worst = now.agg(F.max(F.greatest(*(F.abs(F.col(f"by_{k}") - 1) for k in KEYS)))).first()[0]
-        now = now.drop(*(f"by_{k}" for k in KEYS))
-        if turn:
-            scratch.drop(f"rake{turn - 1}")
-        if worst is None or worst < tolerance:
+            spread = (lambda x, few=few: F.broadcast(x) if few else x)
+            sums = now.groupBy(k).agg(F.sum(F.least(F.lit(1.0), F.col("weight")) * F.col("tokens")).alias("have")).join(values, k)
+            off = max(off, (sums.agg(F.max(F.abs(F.col("have") - F.col("target")))).first()[0] or 0.0) / max(total * share, 1e-300))
+            factors, inner, moved = values.withColumn("factor", F.lit(0.0)), 0, True
+            while moved:  # Newton's method from below, for all values at once
+                capped = F.col("weight") * F.col("factor") >= 1
+                own = now.join(spread(factors.select(k, "factor")), k)
+                own = own.groupBy(k).agg(F.sum(F.when(capped, F.col("tokens")).otherwise(0)).alias("full"), F.sum(F.when(capped, 0.0).otherwise(F.col("weight") * F.col("tokens"))).alias("rest"))
+                met = F.when((F.col("rest") > 0) & (F.col("target") > F.col("full")), F.greatest((F.col("target") - F.col("full")) / F.col("rest"), "factor")).otherwise(F.col("factor"))
+                inner += 1
+                new = settled(factors.join(own, k).select(k, "target", met.alias("factor"), (met > F.col("factor") * (1 + 1e-12)).alias("moved")), few, f"factors_{turn}_{k}_{inner}")
+                moved, factors = not new.where("moved").isEmpty(), new.drop("moved")
+            now = now.join(spread(factors.select(k, "factor")), k).select(*KEYS, "tokens", F.when(F.col("tokens") > 0, F.col("weight") * F.col("factor")).otherwise(F.col("weight")).alias("weight"))
+            now = scratch.table(now, f"rake_{turn}_{k}")
+            scratch.drop(last)
+            last = f"rake_{turn}_{k}"
+        if off < tolerance:
             break
-    now = scratch.table(now.withColumn("weight", F.when(F.col("tokens") > 0, F.col("fitted") / F.col("tokens")).otherwise(1.0)), "weights")
-    return now.select(*KEYS, "weight", F.least(F.lit(1.0), F.col("weight") * _wide_scale(now, share)).alias("probability"))
+    return now.select(*KEYS, F.least(F.lit(1.0), F.col("weight")).alias("probability"))
 
 
 def mix_sources(docs: DataFrame, targets: dict[str, Target] | None = None, share: float = 0.8, few: int = FEW) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, weight, probability and sampled of every document."""
+    """doc_id, source, lang, topic, tokens, weight (probability over the mean one), probability and sampled of every document."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    targets = targets or {"source": 0.7, "lang": 0.7, "topic": 0.5}
+    targets = TARGETS if targets is None else targets
     rows = scratch.table(measure(docs), "measured")
     cells = scratch.table(rows.groupBy(*KEYS).agg(F.sum("tokens").alias("tokens")), "cells")
     if cells.count() <= few:
         own = cells.toPandas().sort_values(list(KEYS), ignore_index=True)
-        own["weight"] = rake(own, targets)
-        own["probability"] = np.minimum(1.0, calibrate(own["weight"].to_numpy(), own["tokens"].to_numpy(), share) * own["weight"])
-        schema = "source string, lang string, topic string, weight double, probability double"
-        fitted = F.broadcast(spark.createDataFrame(own[[*KEYS, "weight", "probability"]], schema) if len(own) else spark.createDataFrame([], schema))
+        own["probability"] = rake(own, targets, share)
+        schema = "source string, lang string, topic string, probability double"
+        fitted = F.broadcast(spark.createDataFrame(own[[*KEYS, "probability"]], schema) if len(own) else spark.createDataFrame([], schema))
     else:
-        fitted = _rake_wide(cells, targets, share, scratch)
+        fitted = rake_wide(cells, targets, share, scratch)
     chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 53)) / float(1 << 53)
     shown = [F.when(F.col(k) != _NULL, F.col(k)).alias(k) for k in KEYS[:2]]
-    return rows.join(fitted, list(KEYS)).select("doc_id", *shown, "topic", "tokens", "weight", "probability", (chance < F.col("probability")).alias("sampled"))
+    return rows.join(fitted, list(KEYS)).select("doc_id", *shown, "topic", "tokens", (F.col("probability") / share).alias("weight"), "probability", (chance < F.col("probability")).alias("sampled"))
+
+
+def report(mixed: DataFrame, targets: dict[str, Target] | None = None, share: float = 0.8) -> DataFrame:
+    """Of each value of each marginal of mix_sources() its tokens, and its target, expected and drawn shares of the sample.
+
+    The plain target is what was asked for; `target` is that after the cut to
+    FULL, and `cut` says where it was cut. One row a value.
+    """
+    spark = mixed.sparkSession
+    targets = TARGETS if targets is None else targets
+    drawn = F.sum(F.when(F.col("sampled"), F.col("tokens")).otherwise(0))
+    out = []
+    for k in KEYS:
+        own = mixed.groupBy(F.coalesce(F.col(k), F.lit(_NULL)).alias("value")).agg(F.sum("tokens").alias("tokens"), F.sum(F.col("probability") * F.col("tokens")).alias("expected"), drawn.alias("drawn")).toPandas()
+        tokens = own["tokens"].to_numpy(float)
+        target = _targets(tokens, own["value"].tolist(), targets.get(k, 1.0), share)
+        plain = targets.get(k, 1.0)
+        part = tokens / max(tokens.sum(), 1.0)
+        asked = np.where(tokens > 0, part**plain if not isinstance(plain, dict) else [plain.get(v, x) for v, x in zip(own["value"], part, strict=True)], 0.0)
+        asked = asked / max(asked.sum(), 1e-300)
+        for i, row in enumerate(own.itertuples()):
+            shares = [x / max(y, 1e-300) for x, y in ((target[i], target.sum()), (row.expected, own["expected"].sum()), (row.drawn, own["drawn"].sum()))]
+            out.append((k, None if row.value == _NULL else row.value, int(row.tokens), float(asked[i]), *map(float, shares), bool(target[i] >= tokens[i] * max(FULL, share) * (1 - 1e-9) and tokens[i] > 0)))
+    return spark.createDataFrame(out, "marginal string, value string, tokens long, asked double, target double, expected double, drawn double, cut boolean")
 
 
 def keep_sampled(docs: DataFrame, targets: dict[str, Target] | None = None, share: float = 0.8) -> DataFrame:
     """The rows of docs that are sampled, columns as they are; of rows that share a doc_id, all if one is."""
     chosen = mix_sources(docs, targets, share).where("sampled").select(F.col("doc_id").alias("chosen_id")).distinct()
-    found = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["chosen_id"]), "left_semi")
-    return found.select(*[docs[c] for c in docs.columns])
+    plain, columns = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), docs.columns
+    own = F.col(f"c{columns.index('doc_id')}").cast("long")
+    return plain.join(chosen, own.eqNullSafe(F.col("chosen_id")), "left_semi").toDF(*columns)

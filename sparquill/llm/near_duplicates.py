@@ -197,5 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stand for their component, columns as they are; rows without doc_id stay."""
     kept = near_duplicates(docs, words, percent).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    found = docs.join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left")
-    return found.where(found["kept_id"].isNotNull() | docs["doc_id"].isNull()).select(*[docs[c] for c in docs.columns])
+    plain, columns = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), docs.columns
+    own = F.col(f"c{columns.index('doc_id')}").cast("long")
+    found = plain.join(kept, own == F.col("kept_id"), "left").where(F.col("kept_id").isNotNull() | own.isNull())
+    return found.drop("kept_id").toDF(*columns)

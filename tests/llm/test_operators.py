@@ -127,20 +127,31 @@ def test_evolution_beats_best_fit_where_that_misses_the_optimum():
 
 
 def test_mixing_meets_its_targets(spark, docs, empty):
-    cells = mixing.measure(docs).groupBy(*mixing.KEYS).agg(F.sum("tokens").alias("tokens")).toPandas()
-    weight = mixing.rake(cells, {"source": {"s0": 0.5, "s1": 0.4}, "lang": 1.0, "topic": 1.0})
-    assert np.isfinite(weight).all() and (weight >= 0).all()
     wide = spark.createDataFrame([(i, "w " * (5 + i % 7) + str(i), "en" if i % 3 else "fr", f"s{min(i % 10, 3)}", 1) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
-    targets = {"source": {f"s{k}": 0.25 for k in range(4)}, "lang": {"en": 0.5, "fr": 0.5}}
-    near = mixing.mix_sources(wide, targets, 0.4).toPandas()
-    mass = near["weight"] * near["tokens"]
+    targets = {"source": {f"s{k}": 0.25 for k in range(4)}, "lang": {"en": 0.5, "fr": 0.5}, "topic": 1.0}
+    mixed = mixing.mix_sources(wide, targets, 0.3)
+    near = mixed.toPandas()
+    mass = near["probability"] * near["tokens"]
     for key, n in (("source", 4), ("lang", 2)):
         assert np.allclose(mass.groupby(near[key]).sum() / mass.sum(), 1 / n, atol=1e-6)
-    assert abs((near["probability"] * near["tokens"]).sum() / near["tokens"].sum() - 0.4) < 1e-6
-    far = mixing.mix_sources(wide, targets, 0.4, few=0).toPandas().set_index("doc_id")["probability"]
-    assert np.allclose(far, near.set_index("doc_id")["probability"].reindex(far.index), atol=0.02)
+    assert abs(mass.sum() / near["tokens"].sum() - 0.3) < 1e-6 and near["probability"].max() <= 1
+    shares = mixing.report(mixed, targets, 0.3).collect()
+    assert all(abs(r.expected - r.target) < 1e-6 and abs(r.target - r.asked) < 1e-6 and not r.cut for r in shares)
+    assert all(abs(r.drawn - r.target) < 0.12 for r in shares if r.marginal != "topic")
+    far = mixing.mix_sources(wide, {"source": 1.0, "lang": 1.0, "topic": 1.0}, 0.3, few=0).toPandas()  # raked by Spark
+    assert np.allclose(far["probability"], 0.3)
     assert mixing.mix_sources(docs).count() == len(rows()) and mixing.mix_sources(empty).count() == 0
-    assert mixing.keep_sampled(docs, share=1.0).columns == docs.columns
+    same = mixing.keep_sampled(docs, share=1.0)
+    assert same.columns == docs.columns and same.count() == len(rows()) and mixing.keep_sampled(empty).count() == 0
+
+
+def test_targets_beyond_what_there_is_are_cut_and_reported(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g h i j", "en", "small" if i < 5 else "large") for i in range(200)], "doc_id long, text string, lang string, source string")
+    mixed = mixing.mix_sources(docs, {"source": {"small": 0.5, "large": 0.5}, "lang": 1.0, "topic": 1.0}, 0.5)
+    by = {r.value: r for r in mixing.report(mixed, {"source": {"small": 0.5, "large": 0.5}, "lang": 1.0, "topic": 1.0}, 0.5).collect() if r.marginal == "source"}
+    assert by["small"].cut and not by["large"].cut and abs(by["small"].expected - 0.95 * 50 / 1000) < 1e-6
+    p = {r.source: r.probability for r in mixed.collect()}
+    assert abs(p["small"] - 0.95) < 1e-9 and p["large"] < 0.5
 
 
 def brute_counts(t):
