@@ -1,10 +1,10 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds at-signs, plus signs, schemes and identifier
-cues; a parser for each kind of anchor looks to both sides of it, finds where
-the item begins and ends and validates it. Digits are anchors of their own, by
-a regular expression. Work is linear in the text, also in long runs of one kind
-of character.
+An Aho-Corasick automaton finds at-signs, plus signs, digits, schemes and
+identifier cues; a parser for each kind of anchor looks to both sides of it,
+finds where the item begins and ends and validates it. Work is linear in the
+text, also in long runs of one kind of character: a digit within a number that
+was parsed is passed over.
 
 Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and without
 overlap, and matches that fail their validation are dropped. The parsers add
@@ -32,12 +32,12 @@ Span = tuple[int, int, int]  # start, kind, end
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _GROUP = re.compile(r"[0-9]+")
 _URL_REST = re.compile(r"[^\s<>\"'`|\\^{}]+")
-_ACCOUNT_REST = re.compile(r"(?:\s{1,3}(?:number|no\.?|nr\.?|id|code))?\s{0,3}[:=#]\s{0,3}[\"']?([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){4,33})")
+_ACCOUNT_REST = re.compile(r"(?:\s{1,3}(?:number|no\.?|nr\.?|id|code))?\s{0,3}[:=#]\s{0,3}[\"']?([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){4,}+)")
 _SECRET_REST = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+.~-]{8,}+)")
 _ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
 _HOUSE = re.compile(r"(?<![0-9])[0-9]{1,5}[A-Za-z]? (?:[A-Z][\w'.-]{0,30} ){0,3}[A-Z][\w'.-]{0,30}\Z")
@@ -53,7 +53,7 @@ def _automaton():
     import ahocorasick
 
     out = ahocorasick.Automaton()
-    for cue, what in (("@", EMAIL), ("+", PHONE), ("://", URL), ("AKIA", -1)):
+    for cue, what in (("@", EMAIL), ("+", PHONE), ("://", URL), ("AKIA", -1), *((str(x), CARD) for x in range(10))):
         out.add_word(cue, (what, len(cue)))
     for cues, what in ((ACCOUNT_CUES, ACCOUNT), (SECRET_CUES, SECRET)):
         for cue in cues:
@@ -107,20 +107,46 @@ def _cards_within(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         i += 1
 
 
-def _iban(value: str) -> bool:
-    if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", value):
-        return False
-    return int("".join(str(int(x, 36)) for x in value[4:] + value[:4])) % 97 == 1
+def _iban_end(text: str, start: int, end: int) -> int:
+    """End of the longest run of whole groups from start that is an IBAN; 0 if none."""
+    best, value = 0, ""
+    for m in re.finditer(r"[A-Za-z0-9]+", text[start : min(end, start + 70)]):
+        value += m[0].upper()
+        if len(value) > 34:
+            break
+        if re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", value) and int("".join(str(int(x, 36)) for x in value[4:] + value[:4])) % 97 == 1:
+            best = start + m.end()
+    return best
+
+
+def _digits_end(text: str, start: int, end: int) -> int:
+    """End of the groups of digits from start if these have five digits or more; 0 if not."""
+    m = re.compile(r"[0-9]++(?:[ -][0-9]++)*+(?![A-Za-z0-9])").match(text, start, end)
+    return m.end() if m and sum(x.isdigit() for x in m[0]) >= 5 else 0
 
 
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start, then kind."""
     base: list[Span] = []
     more: list[Span] = []
-    email_end = phone_end = 0
+    email_end = phone_end = number_end = digits_end = ip_end = 0
     for last, (what, size) in _automaton().iter(text):
         at = last + 1 - size
-        if what == EMAIL:
+        if what == CARD:
+            if at >= digits_end:  # the first digit of its run
+                digits_end = _GROUP.match(text, at).end()
+                if (m := _IP.match(text, at)) and at >= ip_end:
+                    ip_end = m.end()
+                    if all(len(x.lstrip("0")) <= 3 and int(x[-4:] or 0) <= 255 for x in m[0].split(".")):
+                        base.append((at, IP, ip_end))
+            if at >= number_end and (m := _CARD.match(text, at)):
+                number_end = m.end()
+                digits = m[0].replace(" ", "").replace("-", "") if number_end - at >= 7 else ""
+                if 12 <= len(digits) <= 19 and luhn(digits):
+                    base.append((at, CARD, number_end))
+                elif len(digits) > 12:
+                    more += [(a, CARD, b) for a, b in _cards_within(text, at, number_end)]
+        elif what == EMAIL:
             start = _email(text, at, email_end)
             if start < at and (m := _DOMAIN.match(text, at + 1)):
                 base.append((start, EMAIL, m.end()))
@@ -141,11 +167,11 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
                 more.append((start, URL, last + 1 + len(m[0].rstrip(".,;:!?)]"))))
         elif what == ACCOUNT:
             if (at == 0 or not text[at - 1].isalnum()) and (m := _ACCOUNT_REST.match(text, last + 1)):
-                value = re.sub(r"[ -]", "", m[1])
-                if sum(x.isdigit() for x in m[1].split(" ")[0]) >= 4:  # one token
-                    more.append((m.start(1), ACCOUNT, m.start(1) + len(m[1].split(" ")[0])))
-                elif _iban(value.upper()[:34]) or value.isdigit():
-                    more.append((m.start(1), ACCOUNT, m.end(1)))
+                token = m[1].split(" ", 1)[0]
+                if end := _iban_end(text, m.start(1), m.end(1)) or _digits_end(text, m.start(1), m.end(1)):
+                    more.append((m.start(1), ACCOUNT, end))
+                elif sum(x.isdigit() for x in token) >= 4:
+                    more.append((m.start(1), ACCOUNT, m.start(1) + len(token)))
         elif what == SECRET:
             if (at == 0 or not text[at - 1].isalnum()) and (m := _SECRET_REST.match(text, last + 1)) and any(x.isdigit() for x in m[1]):
                 more.append((m.start(1), SECRET, m.end(1)))
@@ -157,17 +183,6 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
         elif m := _ACCESS_KEY.match(text, at):
             if at == 0 or not text[at - 1].isalnum():
                 more.append((at, SECRET, m.end()))
-    for m in _CARD.finditer(text):
-        if m.end() - m.start() < 7:
-            continue
-        digits = m[0].replace(" ", "").replace("-", "")
-        if 12 <= len(digits) <= 19 and luhn(digits):
-            base.append((m.start(), CARD, m.end()))
-        elif len(digits) > 12:
-            more += [(a, CARD, b) for a, b in _cards_within(text, *m.span())]
-    for m in _IP.finditer(text):
-        if all(len(x.lstrip("0")) <= 3 and int(x[-4:] or 0) <= 255 for x in m[0].split(".")):
-            base.append((m.start(), IP, m.end()))
     return sorted(base), sorted({*base, *more})
 
 
@@ -190,21 +205,22 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, base_sha256 and spans of every document."""
+    """doc_id, counts of base spans, base_sha256, spans, and how many these are, of every document."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [[] for _ in range(6)]
+            columns = [[] for _ in range(7)]
             for text in batch.column("text"):
                 base, every = find_spans(text.as_py() or "")
                 for column, kind in zip(columns, (EMAIL, IP, CARD, PHONE), strict=False):
                     column.append(sum(x[1] == kind for x in base))
                 columns[4].append(hashlib.sha256(spelled(base).encode()).hexdigest())
                 columns[5].append(spelled(every))
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                columns[6].append(len(every))
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
