@@ -8,7 +8,7 @@ response is a sum of eight table rows.
 
 The network learns from at most `sample` rows of each label, those with the
 least hashes of doc_id, whole texts of these in the chunks that scoring pools;
-scoring reads all texts, whole. The driver holds the bytes of the sampled texts
+scoring reads all texts, whole, TOGETHER chunks at a time. The driver holds the bytes of the sampled texts
 and the responses of TOGETHER chunks at a time. Rows whose label or doc_id is null teach
 nothing. Without rows of both labels every score is the share of label 1 (0.5
 if there are no labels). Null texts count as empty, and an empty text is
@@ -44,7 +44,10 @@ def _chunks(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _padded(data: np.ndarray, lengths: np.ndarray, more: int = 0) -> np.ndarray:
     """The rows of data, WIDTH zero bytes after each, and more of them at the end."""
     out = np.zeros(len(data) + WIDTH * len(lengths) + more, np.uint8)
-    out[np.arange(len(data)) + np.repeat(np.arange(len(lengths)) * WIDTH, lengths)] = data
+    at = 0
+    for i, n in enumerate(lengths.tolist()):
+        out[at + i * WIDTH : at + i * WIDTH + n] = data[at : at + n]
+        at += n
     return out
 
 
@@ -64,25 +67,28 @@ class Network:
             self._pairs = [(t[j + 1][None, :] + t[j][:, None]).reshape(-1, FILTERS) for j in range(0, WIDTH, 2)]
         return self._pairs
 
-    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Probability of label 1 for each row of a run of bytes."""
-        lengths = np.diff(bounds)
-        rows = len(lengths)
-        padded = _padded(data, lengths)
-        n = len(padded) - WIDTH + 1
-        two = (padded[:-1].astype(np.intp) << 8) | padded[1:]
+    def _pooled(self, padded: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Each filter's greatest response in some chunks that follow each other; memory grows with these alone."""
+        first, n = start[0], end[-1] - start[0]
+        some = padded[first : first + n + WIDTH - 1]
+        two = (some[:-1].astype(np.intp) << 8) | some[1:]
         response = self.pairs()[0][two[:n]]
         part = np.empty_like(response)
         for j, table in enumerate(self.pairs()[1:], 1):
             np.take(table, two[2 * j : 2 * j + n], axis=0, out=part, mode="clip")
             response += part
+        edges = np.empty(2 * len(start), np.int64)
+        edges[0::2], edges[1::2] = start - first, end - first
+        return np.maximum.reduceat(response, edges[:-1], axis=0)[0::2]
+
+    def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Probability of label 1 for each row of a run of bytes."""
+        lengths = np.diff(bounds)
+        rows = len(lengths)
+        padded = _padded(data, lengths)
         row, start, end = _chunks(lengths)
         base = bounds[:-1][row] + row * WIDTH
-        edges = np.empty(2 * len(row), np.int64)
-        edges[0::2], edges[1::2] = base + start, base + end
-        if edges[-1] == n:
-            edges = edges[:-1]
-        pooled = np.maximum.reduceat(response, edges, axis=0)[0::2]
+        pooled = np.concatenate([self._pooled(padded, (base + start)[i : i + TOGETHER], (base + end)[i : i + TOGETHER]) for i in range(0, len(row), TOGETHER)])
         active = np.tanh(pooled + self.bias)
         firsts = np.searchsorted(row, np.arange(rows))
         count = np.bincount(row, minlength=rows)[:, None]
