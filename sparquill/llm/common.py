@@ -66,6 +66,20 @@ def pieces_for(df: DataFrame, piece_bytes: int, least: int = 8, most: int = 1 <<
     return max(least, min(most, math.ceil(estimated_bytes(df) / piece_bytes)))
 
 
+def join_sizes(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner", many: int = 500, few: int = 1_000_000) -> DataFrame:
+    """rows joined to groups (one row a group, with its size) on keys, so that no task gets a large group whole.
+
+    Groups of more than `many` rows, a share of 1 / many of all rows at most,
+    are broadcast if there are no more than `few`; the others are joined by a
+    shuffle.
+    """
+    hot = groups.where(F.col(size) > many)
+    if not 0 < hot.count() <= few:
+        return rows.join(groups, keys, how)
+    beside = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(beside.join(groups.where(F.col(size) <= many), keys, how))
+
+
 def keyed(df: DataFrame, *columns: str) -> DataFrame:
     """These columns of the rows that have a doc_id."""
     return df.select("doc_id", *columns).where(F.col("doc_id").isNotNull())

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bytesnp import U64, lowered, mix, prefix_hashes, span_hashes, text_runs, word_spans
-from .common import Scratch, keyed
+from .bytesnp import U64, hashes_of, lowered, mix, text_runs, word_spans
+from .common import Scratch, join_sizes, keyed
 from .components import components
 from .superminhash import band_keys, signatures
 
@@ -45,7 +45,7 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, words: int) -> tuple[np.n
     """Distinct shingle hashes of each row, one row behind the other, and how many each has."""
     data = lowered(data)
     start, end, row = word_spans(data, bounds)
-    h = span_hashes(prefix_hashes(data), start, end)
+    h = hashes_of(data, start, end)
     rows = len(bounds) - 1
     first = np.searchsorted(row, np.arange(rows + 1))
     length = np.minimum(np.diff(first), words)  # words of a shingle of each row
@@ -152,11 +152,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(docs.sparkSession)
     docs = keyed(docs.select(F.col("doc_id").cast("long"), "text"), "text")
     signed = scratch.table(sign(docs, words), "signed")
-    classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    heads = signed.where("n_shingles > 0").join(classes, ["d1", "d2"]).where("doc_id = rep")
+    some = signed.where("n_shingles > 0")
+    classes = scratch.table(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("of_class")), "classes")
+    repeated = classes.where("of_class > 1").select("d1", "d2", "rep", "of_class")
+    first_ids = join_sizes(some, repeated, ["d1", "d2"], "of_class").where("doc_id = rep").select(*some.columns)
+    alone = some.join(classes.where("of_class = 1").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    heads = scratch.table(alone.unionByName(first_ids.dropDuplicates(["doc_id"])).select("doc_id", "bands"), "heads")
     placed = heads.select("doc_id", F.explode("bands").alias("key"))
-    pivots = placed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = scratch.table(placed.join(pivots, "key"), "members")
+    pivots = scratch.table(placed.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1"), "pivots")
+    members = scratch.table(join_sizes(placed, pivots, ["key"], "size"), "members")
 
     ids = members.select("doc_id").distinct()
     ids = F.broadcast(ids) if ids.count() <= FEW else ids
@@ -167,11 +171,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     roots = components(links, scratch, "near")
 
     known = members.join(roots.toDF("doc_id", "root"), "doc_id", "left").select("key", "pivot", "size", "doc_id", F.coalesce("root", "doc_id").alias("comp"))
+    known = scratch.table(known, "known")
     several = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("size").alias("of"), F.count(F.lit(1)).alias("n_all")).where("low < high and of > 2")
-    left_over = known.join(several, "key")
-    n_out = left_over.where("comp <> low").groupBy("key").agg(F.count(F.lit(1)).alias("n_out"))
-    left_over = left_over.join(n_out, "key")
-    bands = heads.select("doc_id", "bands")
+    several = scratch.table(several, "several")
+    left_over = join_sizes(known.drop("size"), several, ["key"], "n_all")
+    n_out = left_over.where("comp <> low").groupBy("key").agg(F.count(F.lit(1)).alias("n_out"), F.max("n_all").alias("n_all"))
+    left_over = join_sizes(left_over.drop("n_all"), scratch.table(n_out, "n_out"), ["key"], "n_all")
+    bands = heads
     left_over = scratch.table(left_over.select("key", "pivot", "doc_id", "comp", "low", "n_all", "n_out"), "left_over")
     need = left_over.select("doc_id").distinct()
     detail = scratch.table(need.join(sets.select("doc_id", "n", "long_sig"), "doc_id").join(bands, "doc_id").select("doc_id", "n", "long_sig", "bands"), "detail")
@@ -189,8 +195,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         merged = merged.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
         roots = components(roots.toDF("a", "b").union(merged), scratch, "all")
 
-    named = signed.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2"], "left").join(roots.toDF("rep", "root"), "rep", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("root", "rep")).otherwise(F.col("doc_id"))
+    rooted = classes.where("of_class > 1").join(roots.toDF("rep", "root"), "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("class_root"), "of_class")
+    rooted = scratch.table(rooted, "rooted")
+    named = join_sizes(some.select("doc_id", "n_shingles", "d1", "d2"), rooted, ["d1", "d2"], "of_class", "left")  # classes of one by their own id
+    named = named.join(roots.toDF("doc_id", "root"), "doc_id", "left").unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles"), allowMissingColumns=True)
+    component = F.coalesce("class_root", "root", "doc_id")
     return named.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 
 

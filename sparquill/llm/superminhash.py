@@ -13,6 +13,8 @@ import numpy as np
 
 from .bytesnp import U64, mix
 
+BLOCK = 1 << 20  # elements that make their first offer at a time
+
 
 def signatures(elements: np.ndarray, rows: np.ndarray, n_rows: int, slots: int) -> np.ndarray:
     """Signatures as a matrix n_rows x slots of doubles; empty sets keep inf.
@@ -23,34 +25,40 @@ def signatures(elements: np.ndarray, rows: np.ndarray, n_rows: int, slots: int)
     if not len(elements):
         return table
     flat = table.ravel()
-    live, row, order = elements, rows, None
-    for step in range(slots):
-        x = mix(live + U64(0x9E3779B97F4A7C15 * (step + 1) % 2**64))
-        offer = step + (x >> U64(11)).astype(np.float64) * 2.0**-53
-        pick = step + ((mix(x ^ U64(0xD6E8FEB86659FD93)) >> U64(32)) * U64(slots - step) >> U64(32)).astype(np.int64)
-        if order is None:
-            slot = pick
-        else:
-            every = np.arange(len(live))
-            slot = order[every, pick].astype(np.int64)
-            order[every, pick] = order[:, step]
-            order[:, step] = slot
+    for at in range(0, len(elements), BLOCK):
+        offer, pick = _offers(elements[at : at + BLOCK], 0, slots)
+        np.minimum.at(flat, rows[at : at + BLOCK] * slots + pick, offer)
+    keep = (table.max(axis=1) > 1)[rows]
+    live, row = elements[keep], rows[keep]
+    if not len(live):
+        return table
+    first = _offers(live, 0, slots)[1]
+    order = np.tile(np.arange(slots, dtype=np.int16), (len(live), 1))
+    every = np.arange(len(live))
+    order[every, first] = 0
+    order[:, 0] = first
+    for step in range(1, slots):
+        offer, pick = _offers(live, step, slots)
+        every = np.arange(len(live))
+        slot = order[every, pick].astype(np.int64)
+        order[every, pick] = order[:, step]
+        order[:, step] = slot
         np.minimum.at(flat, row * slots + slot, offer)
-        open_rows = table.max(axis=1) > step + 1
-        keep = open_rows[row]
+        keep = (table.max(axis=1) > step + 1)[row]
         if not keep.any():
             break
-        if order is None:
-            first = pick[keep]
-            order = np.tile(np.arange(slots, dtype=np.int16), (len(first), 1))
-            order[np.arange(len(first)), first] = 0
-            order[:, 0] = first
-            live, row = live[keep], row[keep]
-        elif keep.sum() < 0.8 * len(keep):
+        if keep.sum() < 0.8 * len(keep):
             live, row, order = live[keep], row[keep], order[keep]
     return table
 
 
+def _offers(elements: np.ndarray, step: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each element offers at a step, and the place from step on that its permutation swaps there."""
+    x = mix(elements + U64(0x9E3779B97F4A7C15 * (step + 1) % 2**64))
+    offer = step + (x >> U64(11)).astype(np.float64) * 2.0**-53
+    return offer, step + ((mix(x ^ U64(0xD6E8FEB86659FD93)) >> U64(32)) * U64(slots - step) >> U64(32)).astype(np.int64)
+
+
 def band_keys(table: np.ndarray, bands: int, width: int) -> np.ndarray:
     """A hash of each band of slots: n_rows x bands."""
     bits = np.ascontiguousarray(table[:, : bands * width]).view(U64).reshape(len(table), bands, width)
