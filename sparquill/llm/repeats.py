@@ -1,23 +1,25 @@
-"""Repeated passages across documents, by prefix-free parsing with local triggers.
+"""Repeated passages across documents, by prefix-free parsing.
 
-A rolling hash of 20 bytes marks a trigger wherever it is the least of the 31
-that a 50-byte window holds, so that equal windows have equal triggers, and
-phrases run from trigger to trigger. The dictionary holds what stands around a
-trigger: its phrase context, 30 bytes before and 50 from it. The parse of a
-document is its list of triggers. Both are dealt by trigger hash, not gathered:
+Windows of 50 bytes that are equal must meet in one task, so texts are dealt by
+anchors first: a rolling hash of 20 bytes marks an anchor wherever it is the
+least of the 31 that a window holds, so that equal windows have equal anchors.
+An anchor's context is 30 bytes before it and 50 from it.
 
-1. Triggers: which of them does another place have, too?
+1. Anchors: which of them does another place have, too?
 2. Contexts of these: is the same one in a document with a smaller doc_id? Then
-   all windows around the trigger repeat. Of a trigger with several contexts,
-3. the first document of each sends its bytes; the windows at each of the 31
-   offsets are sorted within the trigger and those with a smaller doc_id found.
-
-Sorting contexts offset by offset within a trigger does what the suffix arrays
-of dictionary and parse do for full suffixes: 50 bytes decide here, so longer
-order is never needed. Windows are compared by 64-bit hashes.
-
-Texts lie compressed in chunks of some MB in a bucketed table of the shared
-folder; each phase reads them there, and only hashes and answers are shuffled.
+   all windows around the anchor repeat. Of an anchor with several contexts,
+3. the first document of each sends its bytes. A task parses its contexts
+   prefix-free (pfp.py): rolling-hash triggers part them into phrases, suffix
+   ranks of the dictionary and of the parse combine into corpus order, and
+   there windows that begin with the same 50 bytes stand next to each other;
+   the bytes themselves are compared. Of each such run all but those of the
+   least doc_id repeat.
+
+Contexts and anchors are compared by hashes of 40 bits at least beside the
+anchor's own, windows by their bytes. Texts lie compressed in chunks of some MB
+in a bucketed table of the shared folder; each phase reads them there, and only
+hashes and answers are shuffled. A long text is a chunk of its own, hashed in
+blocks.
 
 Null texts are empty; texts under 50 bytes lose nothing. Rows without doc_id are
 left out; rows that share one never remove bytes from each other. Other columns
@@ -37,25 +39,35 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytesnp import U64, mix, powers, prefix_hashes, span_hashes, text_runs
+from .bytesnp import U64, hashes_of, mix, powers, prefix_hashes, text_runs
 from .common import Scratch, keyed, pieces_for
+from .pfp import equal_runs, suffix_order
 
 LENGTH, GRAM = 50, 20
-REACH = LENGTH - GRAM  # bytes of a window that may stand before its trigger
-WIDE = LENGTH + REACH  # of a context
-CHUNK_BYTES = 4 << 20
+REACH = LENGTH - GRAM  # bytes of a window that may stand before its anchor
+CHUNK_BYTES, BLOCK = 4 << 20, 1 << 20
+TOGETHER = 1 << 15  # contexts whose suffixes are sorted at a time
 _NONE = 255
 
 
-def triggers(data: np.ndarray, bounds: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of triggers, ascending, and the hashes of their bytes."""
+def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of anchors, ascending, and the hashes of their bytes."""
+    found = [np.zeros(0, np.int64)]
+    for at in range(0, max(len(data) - LENGTH + 1, 0), BLOCK):
+        found.append(at + _anchors_within(data[at : at + BLOCK + LENGTH - 1], bounds - at))
+    place = np.unique(np.concatenate(found))
+    return place, hashes_of(data, place, place + GRAM)
+
+
+def _anchors_within(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Anchors of the windows that lie within these bytes and within one text."""
     n = len(data) - GRAM + 1
     if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    down = powers(len(sums))[1]
-    rolling = (sums[GRAM:] - sums[:-GRAM]) * down[:n]
+        return np.zeros(0, np.int64)
+    sums = prefix_hashes(data)
+    rolling = (sums[GRAM:] - sums[:-GRAM]) * powers(len(sums))[1][:n]
     rolling *= U64(0xD6E8FEB86659FD93)
-    low = U64((1 << max(26, n.bit_length())) - 1)
+    low = U64((1 << 26) - 1)
     key = rolling & ~low
     key |= low - np.arange(n, dtype=np.uint64)  # of equal ones the last
     least, width = key, 1
@@ -66,18 +78,15 @@ def triggers(data: np.ndarray, bounds: np.ndarray, sums: np.ndarray) -> tuple[np
     if rest:
         least = np.minimum(least[:-rest], least[rest:])
     # windows that cross from one text into the next don't count
-    whole = np.ones(len(least), bool)
-    crossing = np.zeros(len(least) + 1, np.int64)
-    inner = bounds[1:-1]
+    crossing = np.zeros(len(least) + 1, np.int32)
+    inner = bounds[1:-1][(bounds[1:-1] > 0) & (bounds[1:-1] < len(data))]
     np.add.at(crossing, np.clip(inner - LENGTH + 1, 0, len(least)), 1)
     np.add.at(crossing, np.clip(inner, 0, len(least)), -1)
-    whole &= np.cumsum(crossing)[:-1] == 0
-    least = least[whole]
+    least = least[np.cumsum(crossing)[:-1] == 0]
     if not len(least):
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, np.int64)
     chosen = least[np.r_[True, least[1:] != least[:-1]]]
-    place = np.unique((low - (chosen & low)).astype(np.int64))
-    return place, span_hashes(sums, place, place + GRAM)
+    return np.unique((low - (chosen & low)).astype(np.int64))
 
 
 def pack_chunk(doc_ids: np.ndarray, bounds: np.ndarray, data: np.ndarray) -> bytes:
@@ -97,19 +106,18 @@ class Chunk:
         self.doc_ids = np.frombuffer(raw, "<i8", n, 4)
         self.bounds = np.frombuffer(raw, "<i8", n + 1, 4 + 8 * n)
         self.data = np.frombuffer(raw, np.uint8, offset=12 + 16 * n)
-        self.sums = prefix_hashes(self.data)
-        self.place, self.hash = triggers(self.data, self.bounds, self.sums)
+        self.place, self.hash = anchors(self.data, self.bounds)
         self.distinct, self.which, self.times = np.unique(self.hash, return_inverse=True, return_counts=True)
 
     def contexts(self, shared: np.ndarray) -> None:
-        """Entries: distinct (trigger, context) of the shared triggers, with the least doc_id of each."""
+        """Entries: distinct (anchor, context) of the shared anchors, with the least doc_id of each."""
         chosen = (shared | (self.times > 1))[self.which]
         self.at, h = self.place[chosen], self.hash[chosen]
         row = np.searchsorted(self.bounds, self.at, "right") - 1
         self.row, self.doc = row, self.doc_ids[row]
         self.low = np.maximum(self.at - REACH, self.bounds[row])
         self.high = np.minimum(self.at + LENGTH, self.bounds[row + 1])
-        context = mix(span_hashes(self.sums, self.low, self.high) + (self.at - self.low).astype(U64))
+        context = mix(hashes_of(self.data, self.low, self.high) + (self.at - self.low).astype(U64))
         order = np.lexsort((self.doc, context, h))
         h, context = h[order], context[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (context[1:] != context[:-1])] if len(h) else np.zeros(0, bool)
@@ -118,12 +126,11 @@ class Chunk:
         self.entry[order] = np.cumsum(new) - 1
         self.entry_hash, self.entry_context, self.entry_doc = h[new], context[new], self.doc[self.first]
 
-    def wide(self, entries: np.ndarray) -> np.ndarray:
-        """The contexts' bytes as rows, zeros where a text ends."""
-        at = self.at[self.first[entries]]
-        places = at[:, None] - REACH + np.arange(WIDE)
-        inside = (places >= self.low[self.first[entries]][:, None]) & (places < self.high[self.first[entries]][:, None])
-        return np.where(inside, self.data[np.clip(places, 0, max(len(self.data) - 1, 0))], 0).astype(np.uint8)
+    def context_bytes(self, entries: np.ndarray) -> bytes:
+        """The contexts' bytes, one behind the other."""
+        at = self.first[entries]
+        raw = self.data.data
+        return b"".join([raw[i:j] for i, j in zip(self.low[at].tolist(), self.high[at].tolist(), strict=True)])
 
 
 def _slices(hashes: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
@@ -152,7 +159,7 @@ def _from_five(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _write_chunks(docs: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
+def _write_chunks(docs: DataFrame, scratch: Scratch, name: str, buckets: int) -> DataFrame:
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -161,7 +168,6 @@ def _write_chunks(docs: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk], pa.int64()), "payload": pa.array([pack_chunk(ids[first : first + len(bounds) - 1], bounds, data)], pa.binary())})
                 chunk += 1
 
-    name = f"sparquill_chunks_{uuid.uuid4().hex}"
     docs.mapInArrow(packed, "chunk long, payload binary").write.bucketBy(buckets, "chunk").option("path", scratch.path("chunks")).saveAsTable(name)
     return docs.sparkSession.table(name)
 
@@ -177,7 +183,7 @@ def _table(rows: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(rows, pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("body", pa.binary())]))
 
 
-def _send_triggers(parts: int):
+def _send_anchors(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
@@ -187,8 +193,8 @@ def _send_triggers(parts: int):
     return run
 
 
-def _answer_triggers(table: pa.Table) -> pa.Table:
-    """One bit: another chunk has the trigger, too."""
+def _answer_anchors(table: pa.Table) -> pa.Table:
+    """One bit: another chunk has the anchor, too."""
     bodies = [_from_five(x.as_py()) for x in table.column("body")]
     _, which, times = np.unique(np.concatenate(bodies), return_inverse=True, return_counts=True)
     shared = np.split(times[which] > 1, np.cumsum([len(x) for x in bodies])[:-1])
@@ -218,7 +224,7 @@ def _send_contexts(parts: int):
 
 
 def _answer_contexts(table: pa.Table) -> pa.Table:
-    """Two bits: a smaller document has the context; the trigger has several, and this is the first of its kind."""
+    """Two bits: a smaller document has the context; the anchor has several, and this is the first of its kind."""
     h, c, d, sizes = [], [], [], []
     for body in table.column("body"):
         raw = body.as_py()
@@ -253,19 +259,57 @@ def _send_bytes(parts: int):
         for i, a, b in _slices(x.entry_hash[some], parts):
             own = some[a:b]
             at, low, high = (v[x.first[own]] for v in (x.at, x.low, x.high))
-            wide = x.wide(own)
-            body = struct.pack("<I", b - a) + x.entry_hash[own].tobytes() + x.entry_doc[own].astype("<i8").tobytes() + (at - low).astype(np.uint8).tobytes() + (high - at).astype(np.uint8).tobytes() + wide.tobytes()
+            body = struct.pack("<I", b - a) + x.entry_hash[own].tobytes() + x.entry_doc[own].astype("<i8").tobytes() + (at - low).astype(np.uint8).tobytes() + (high - at).astype(np.uint8).tobytes() + x.context_bytes(own)
             out.append(_message(left.column("chunk")[0].as_py(), i, press.compress(body)))
         return _table(out)
 
     return run
 
 
+def repeated_windows(h: np.ndarray, d: np.ndarray, left: np.ndarray, right: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each context the first and last offset at which its window is in a smaller document; _NONE: none.
+
+    h: anchors; d: documents; left, right: bytes before and from the anchor;
+    data: the contexts' bytes, one behind the other.
+    """
+    low, high = np.full(len(h), _NONE, np.uint8), np.full(len(h), _NONE, np.uint8)
+    order = np.argsort(h, kind="stable")
+    starts = np.cumsum(left.astype(np.int64) + right) - (left.astype(np.int64) + right)
+    kinds = np.r_[np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]), len(h)] if len(h) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(h):  # whole anchors, about TOGETHER contexts
+        stop = int(kinds[min(np.searchsorted(kinds, at + TOGETHER, "right"), len(kinds) - 1)])
+        own = order[at:stop]
+        at = stop
+        before, size = left[own].astype(np.int64), left[own].astype(np.int64) + right[own]
+        ends = np.cumsum(size)
+        bounds = np.r_[0, ends]
+        text = data[np.repeat(starts[own] - bounds[:-1], size) + np.arange(bounds[-1])]
+        count = np.maximum(size - LENGTH + 1, 0)  # windows of a context; offset 0 is REACH bytes before the anchor
+        of = np.repeat(np.arange(len(own)), count)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+        offset = within + REACH - before[of]
+        fit = (offset >= 0) & (offset <= REACH)
+        of, place, offset = of[fit], (bounds[:-1][of] + within)[fit], offset[fit]
+        if not len(of):
+            continue
+        ranked = suffix_order(text, bounds, place)
+        run = equal_runs(text, place[ranked], LENGTH)
+        docs = d[own][of[ranked]]
+        least = np.minimum.reduceat(docs, np.flatnonzero(np.r_[True, run[1:] != run[:-1]]))
+        hit = ranked[docs > least[run]]
+        first, last = np.full(len(own), _NONE, np.int64), np.full(len(own), -1, np.int64)
+        np.minimum.at(first, of[hit], offset[hit])
+        np.maximum.at(last, of[hit], offset[hit])
+        low[own], high[own] = first, np.where(last < 0, _NONE, last)
+    return low, high
+
+
 def _answer_bytes(table: pa.Table) -> pa.Table:
-    """Two bytes: the first and last offset at which the window is in a smaller document; 255: none."""
+    """Two bytes a context: the answers of repeated_windows()."""
     import zstandard
 
-    press, h, d, left, right, wide, sizes = zstandard.ZstdDecompressor(), [], [], [], [], [], []
+    press, h, d, left, right, raws, sizes = zstandard.ZstdDecompressor(), [], [], [], [], [], []
     for body in table.column("body"):
         raw = press.decompress(body.as_py())
         n = struct.unpack_from("<I", raw)[0]
@@ -273,26 +317,9 @@ def _answer_bytes(table: pa.Table) -> pa.Table:
         d.append(np.frombuffer(raw, "<i8", n, 4 + 8 * n))
         left.append(np.frombuffer(raw, np.uint8, n, 4 + 16 * n))
         right.append(np.frombuffer(raw, np.uint8, n, 4 + 17 * n))
-        wide.append(np.frombuffer(raw, np.uint8, WIDE * n, 4 + 18 * n).reshape(n, WIDE))
+        raws.append(np.frombuffer(raw, np.uint8, offset=4 + 18 * n))
         sizes.append(n)
-    h, d, left, right, wide = map(np.concatenate, (h, d, left, right, wide))
-    windows = np.empty((REACH + 1, len(h)), U64)
-    for a in range(0, len(h), 1 << 14):  # in blocks: the sums take eight times the bytes
-        block = wide[a : a + (1 << 14)]
-        bounds, sums = np.arange(len(block)) * WIDE, prefix_hashes(block.ravel())
-        for s in range(REACH + 1):
-            windows[s, a : a + len(block)] = span_hashes(sums, bounds + s, bounds + s + LENGTH)
-    low, high = np.full(len(h), _NONE, np.uint8), np.full(len(h), _NONE, np.uint8)
-    for s in range(REACH + 1):
-        ok = np.flatnonzero((left >= REACH - s) & (right >= LENGTH - REACH + s))
-        key = mix(windows[s, ok] + h[ok])
-        order = np.lexsort((d[ok], key))
-        ks, ds = key[order], d[ok][order]
-        new = np.r_[True, ks[1:] != ks[:-1]] if len(ks) else np.zeros(0, bool)
-        hit = ok[order[ds > ds[new][np.cumsum(new) - 1]]] if len(ks) else ok
-        low[hit] = np.minimum(low[hit], s)
-        high[hit] = s
-    answer = np.stack([low, high], 1)
+    answer = np.stack(repeated_windows(*map(np.concatenate, (h, d, left, right, raws))), 1)
     return _table([_message(k, p, x.tobytes()) for k, p, x in zip(table.column("chunk").to_pylist(), table.column("part").to_pylist(), np.split(answer, np.cumsum(sizes)[:-1]), strict=True)])
 
 
@@ -314,10 +341,10 @@ def _finish(parts: int):
         part = ~full & (low[x.entry] != _NONE)
         start = np.r_[x.low[full], x.at[part] - REACH + low[x.entry][part]]
         end = np.r_[x.high[full], x.at[part] - REACH + high[x.entry][part] + LENGTH]
-        depth = np.zeros(len(x.data) + 1, np.int64)
+        depth = np.zeros(len(x.data) + 1, np.int32)
         np.add.at(depth, start, 1)
         np.add.at(depth, end, -1)
-        gone = np.cumsum(depth)[:-1] > 0
+        gone = np.cumsum(depth, dtype=np.int32)[:-1] > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         begins[x.bounds[:-1][x.bounds[:-1] < len(gone)]] |= gone[x.bounds[:-1][x.bounds[:-1] < len(gone)]]
@@ -338,15 +365,21 @@ def remove_repeats(docs: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
     docs = keyed(docs.select(F.col("doc_id").cast("long"), "text"), "text")
     parts = pieces_for(docs, part_bytes, least=4)
     buckets = min(100_000, max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))  # as many as Spark allows
-    chunks = _write_chunks(docs, scratch, buckets)
+    name = f"sparquill_chunks_{uuid.uuid4().hex}"
+    chunks = _write_chunks(docs, scratch, name, buckets)
 
     def answered(sent: DataFrame, answer, phase: int) -> DataFrame:
-        return scratch.table(sent.groupBy("part").applyInArrow(answer, MESSAGE).withColumn("phase", F.lit(phase)), f"answers{phase}")
+        dealt = sent.repartition(parts, "part")  # as many tasks as parts, however many partitions the session asks for
+        return scratch.table(dealt.groupBy("part").applyInArrow(answer, MESSAGE).withColumn("phase", F.lit(phase)), f"answers{phase}")
 
     def beside(replies: DataFrame, function, schema: str) -> DataFrame:
         return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(function, schema)
 
-    replies = answered(chunks.mapInArrow(_send_triggers(parts), MESSAGE), _answer_triggers, 1)
+    replies = answered(chunks.mapInArrow(_send_anchors(parts), MESSAGE), _answer_anchors, 1)
     replies = replies.union(answered(beside(replies, _send_contexts(parts), MESSAGE), _answer_contexts, 2))
     replies = replies.union(answered(beside(replies, _send_bytes(parts), MESSAGE), _answer_bytes, 3))
-    return beside(replies, _finish(parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = scratch.table(beside(replies, _finish(parts), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "result")
+    spark.sql(f"DROP TABLE {name}")
+    for used in ("chunks", "answers1", "answers2", "answers3"):
+        scratch.drop(used)
+    return out

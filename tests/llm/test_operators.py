@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparquill.llm import byte_cnn, imatch, licenses, mixing, near_duplicates, packing, perplexity, pfor, pii, repeats, token_files, tokens
+from sparquill.llm import byte_cnn, imatch, licenses, mixing, near_duplicates, packing, perplexity, pfor, pfp, pii, repeats, token_files, tokens
 from sparquill.llm.bytesnp import text_runs
 from sparquill.llm.common import Scratch
 from sparquill.llm.components import components
@@ -318,6 +318,32 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, **{100 + i: 100 for i in range(1, 30)}}
 
 
+def test_prefix_free_parsing_sorts_all_suffixes():
+    rng = random.Random(2)
+    for k in range(120):
+        alphabet = rng.choice([b"ab", b"abc\0", b"a", bytes(range(256))])
+        base = bytes(rng.choices(alphabet, k=60))
+        texts = [base[a : a + rng.randint(0, 60)] + bytes(rng.choices(alphabet, k=rng.randint(0, 20))) for a in (rng.randrange(40) for _ in range(rng.randint(1, 12)))]
+        data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+        if len(data):
+            parse = pfp.parse(data, bounds)
+            phrases = [parse.dictionary[a:b].tobytes() for a, b in zip(parse.dictionary_start, [*parse.dictionary_start[1:], len(parse.dictionary)])]
+            assert [phrases[i] for i in parse.number] == [data[a:b].tobytes() for a, b in zip(parse.start, parse.end)]
+            suffixes = {p[i:] for p, end in zip(phrases, parse.dictionary_last) if not end for i in range(len(p) - pfp.W)}
+            assert not any(a != b and b.startswith(a) for a in suffixes for b in suffixes)   # prefix-free
+            ends = bounds[np.searchsorted(bounds, np.arange(len(data)), "right")]
+            got = [data[i : ends[i]].tobytes() for i in pfp.suffix_order(data, bounds, np.arange(len(data)))]
+            assert got == sorted(got) and len(got) == len(data)
+
+
+def test_blocks_of_a_long_text_have_the_same_anchors(monkeypatch):
+    data = np.frombuffer((prose(3, 400) + "a" * 300 + prose(4, 300)).encode(), np.uint8)
+    bounds = np.array([0, 0, 700, 760, len(data)])
+    whole = repeats.anchors(data, bounds)
+    monkeypatch.setattr(repeats, "BLOCK", 128)
+    assert all((a == b).all() for a, b in zip(whole, repeats.anchors(data, bounds)))
+
+
 def test_repeats_equal_brute_force(spark, docs, empty):
     passage = prose(30, 25)
     extra = [(2000 + i, prose(40 + i, 15) + " " + passage[i : len(passage) - 2 * i] + prose(60 + i, 10)) for i in range(6)] + [(2010, "aaaa" * 60), (2011, "b" + "aaaa" * 40)]
