@@ -176,13 +176,64 @@ def test_quality_rules(docs, empty):
     assert perplexity.quality_rules(empty).count() == 0
 
 
-def test_model_is_a_distribution():
-    data = np.frombuffer(prose(9, 300).encode(), np.uint8)
-    code, n = np.unique(perplexity.codes(data, np.array([0, len(data)]))[0], return_counts=True)
-    model = perplexity.estimate(code, n)
-    for context in [0, *(code[::50] >> 6).tolist(), 12345]:
-        every = np.uint32(context << 6) | np.arange(64, dtype=np.uint32)
-        assert abs((2 ** model.log2(every)).sum() - 1) < 0.02
+def brute_bits(texts, frequent):
+    """Mean bits a word by the model's definition, in plain Python."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    ahead = collections.defaultdict(set)
+    for w in words:
+        for h, x in zip(["<s>", *w], w):
+            ahead[x].add(h)
+    count = {x: len(v) for x, v in ahead.items()}
+    total = sum(count.values())
+    cut = perplexity.discounts(*(sum(c == i for c in count.values()) for i in (1, 2, 3, 4)))
+    taken = sum(cut[min(c, 3)] for c in count.values())
+    own = {x: (c - cut[min(c, 3)]) / total + taken / total / len(count) for x, c in count.items()}
+    top = {x for x, c in count.items() if c >= max(2, -(-total // frequent))}
+    left, times, inside = collections.defaultdict(set), collections.Counter(), collections.Counter()
+    for w in words:
+        for g, h, x in zip(["<s>", "<s>", *w], ["<s>", *w], w):
+            if h in top:
+                times[h] += 1
+                inside[h] += x in top
+                if x in top:
+                    left[h, x].add(g)
+    cut2 = perplexity.discounts(*(sum(len(v) == i for v in left.values()) for i in (1, 2, 3, 4)))
+    kept = {k: len(v) - cut2[min(len(v), 3)] for k, v in left.items()}
+    weight = {h: max(sum(len(v) for (a, _), v in left.items() if a == h), 1) * max(times[h], 1) / max(inside[h], 1) for h in top}
+    rest = {h: min(max(1 - sum(v for (a, _), v in kept.items() if a == h) / weight[h], 1e-9), 1) for h in top}
+
+    def p(h, x):
+        return kept.get((h, x), 0) / weight[h] + rest[h] * own[x] if h in top else own[x]
+
+    for h in list(top)[:5]:
+        assert abs(sum(p(h, x) for x in own) - 1) < 1e-9  # a distribution
+    return [-sum(np.log2(p(h, x)) for h, x in zip(["<s>", *w], w)) / max(len(w), 1) for w in words], len(top)
+
+
+def test_perplexity_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    common = "the of and to in a is".split()
+    texts = [" ".join(rng.choice(common) if rng.random() < 0.5 else f"w{int(rng.expovariate(0.02))}" for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    texts += [texts[0], texts[0], "", None, " ".join("UPPER!!" for _ in range(30))]
+    monkeypatch.setattr(perplexity, "FREQUENT", 40)
+    want, n_top = brute_bits(texts, 40)
+    assert n_top > 3
+    table = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    for few in (10**6, 0):  # the table of words as a broadcast, and by a join
+        got = {r.doc_id: r for r in perplexity.quality_rules(table, few=few).collect()}
+        assert len(got) == len(texts) and all(abs(np.log2(got[i].perplexity) - x) < 1e-6 for i, x in enumerate(want))
+        for r in got.values():
+            assert r.kept == (not r.base_failed and r.low <= r.perplexity <= r.high)
+
+
+def test_bands_reject_other_text(spark):
+    rng = random.Random(9)
+    usual = lambda: " ".join(rng.choice("the of and to".split()) if rng.random() < 0.5 else f"w{rng.randrange(3000)}" for _ in range(150))
+    rows = [(i, usual(), "en") for i in range(200)] + [(1000 + i, " ".join(f"{x}***" for x in usual().split()), "en") for i in range(6)] + [(2000 + i, "the of " + " ".join(rng.choice("the of and to".split()) for _ in range(150)), "en") for i in range(4)]
+    got = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[i].kept for i in range(200)) > 190
+    most = max(got[i].perplexity for i in range(200))
+    assert all(got[1000 + i].perplexity > 1.5 * most for i in range(6)) and all(got[2000 + i].perplexity < got[2000 + i].low for i in range(4))
 
 
 def test_classifier_learns_and_holds_out(spark, empty):
