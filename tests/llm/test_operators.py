@@ -233,7 +233,7 @@ def test_bands_reject_other_text(spark):
     got = {r.doc_id: r for r in perplexity.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert sum(got[i].kept for i in range(200)) > 190
     most = max(got[i].perplexity for i in range(200))
-    assert all(got[1000 + i].perplexity > 1.5 * most for i in range(6)) and all(got[2000 + i].perplexity < got[2000 + i].low for i in range(4))
+    assert all(got[1000 + i].perplexity > most for i in range(6)) and all(got[2000 + i].perplexity < got[2000 + i].low for i in range(4))
 
 
 def test_classifier_learns_and_holds_out(spark, empty):
