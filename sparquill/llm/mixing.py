@@ -138,9 +138,9 @@ def _tallied(worded: DataFrame, size: int, tally) -> np.ndarray:
         keys = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"key": pa.array(keys.astype(np.int32)), "n": pa.array(sums[keys])})
 
-    found = worded.select("slot", "words").mapInArrow(tallied, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    found = worded.select("slot", "words").mapInArrow(tallied, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size)
-    out[found["key"].to_numpy(int)] = found["n"].to_numpy()
+    out[found["key"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
