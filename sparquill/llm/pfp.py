@@ -40,15 +40,22 @@ class Parse:
     dictionary_last: np.ndarray
 
 
+def triggers(data: np.ndarray) -> np.ndarray:
+    """Where W bytes begin whose hash is 0 modulo MODULUS."""
+    n = max(len(data) - W + 1, 0)
+    gram = np.zeros(n, np.uint32)
+    for j in range(W):
+        gram |= data[j : j + n].astype(np.uint32) << np.uint32(8 * j)
+    return np.flatnonzero((gram * np.uint32(0x9E3779B1) >> np.uint32(15)) % np.uint32(MODULUS) == 0)
+
+
 def parse(data: np.ndarray, bounds: np.ndarray) -> Parse:
     """The dictionary and the parse of the texts between the bounds."""
     sums = prefix_hashes(data)
-    n = max(len(data) - W + 1, 0)
-    every = np.arange(n)
-    trigger = span_hashes(sums, every, every + W) % U64(MODULUS) == 0
-    text = np.searchsorted(bounds, every, "right") - 1
-    trigger &= every + W <= bounds[text + 1]
-    start = np.union1d(bounds[:-1][np.diff(bounds) > 0], np.flatnonzero(trigger))
+    place = triggers(data)
+    text = np.searchsorted(bounds, place, "right") - 1
+    place = place[place + W <= bounds[text + 1]]
+    start = np.union1d(bounds[:-1][np.diff(bounds) > 0], place)
     text = np.searchsorted(bounds, start, "right") - 1
     last = np.r_[text[1:] != text[:-1], True] if len(text) else np.zeros(0, bool)
     end = np.where(last, bounds[text + 1], np.r_[start[1:], 0] + W)
@@ -60,12 +67,40 @@ def parse(data: np.ndarray, bounds: np.ndarray) -> Parse:
     return Parse(start, end, number, text, last, data[places], ends - length, last[first])
 
 
+def _first_ranks(key: np.ndarray) -> np.ndarray:
+    """For each key how many are smaller."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.r_[True, ordered[1:] != ordered[:-1]] if len(key) else np.zeros(0, bool)
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    return rank
+
+
 def _doubled(rank: np.ndarray, left: np.ndarray, step: int) -> np.ndarray:
-    """Ranks by the pairs of ranks at a place and step further on, where something is left there."""
-    beyond = np.zeros(len(rank), np.int64)
-    some = np.flatnonzero(left > step)
-    beyond[some] = rank[some + step] + 1
-    return np.unique((rank << 32) | beyond, return_inverse=True)[1]
+    """Ranks by the pairs of ranks at a place and step further on, where something is left there.
+
+    A rank is the number of smaller ones, so only places that share theirs are
+    sorted again, and of these only such as share it with one that goes on.
+    """
+    open_ = np.zeros(len(rank), bool)
+    open_[rank[left > step]] = True
+    open_ &= np.bincount(rank, minlength=len(rank)) > 1
+    tied = np.flatnonzero(open_[rank])
+    if not len(tied):
+        return rank
+    beyond = np.zeros(len(tied), np.int64)
+    some = np.flatnonzero(left[tied] > step)
+    beyond[some] = rank[tied[some] + step] + 1
+    key = (rank[tied] << 32) | beyond
+    order = np.argsort(key)
+    group, ordered = rank[tied[order]], key[order]
+    where = np.arange(len(order))
+    base = np.maximum.accumulate(np.where(np.r_[True, group[1:] != group[:-1]], where, 0))
+    first = np.maximum.accumulate(np.where(np.r_[True, ordered[1:] != ordered[:-1]], where, 0))
+    out = rank.copy()
+    out[tied[order]] = group + first - base
+    return out
 
 
 def dictionary_ranks(p: Parse) -> np.ndarray:
@@ -73,12 +108,15 @@ def dictionary_ranks(p: Parse) -> np.ndarray:
     n = len(p.dictionary)
     ends = np.r_[p.dictionary_start[1:], n]
     left = np.repeat(ends, np.diff(np.r_[p.dictionary_start, n])) - np.arange(n)
+    symbols = np.r_[p.dictionary.astype(np.int64) + 1, np.zeros(_SYMBOLS, np.int64)]
     key = np.zeros(n, np.int64)
     for j in range(_SYMBOLS):
-        symbol = np.zeros(n, np.int64)
-        symbol[: n - j] = p.dictionary[j:].astype(np.int64) + 1
-        key = (key << 9) | np.where(left > j, symbol, 0)
-    rank, step = np.unique(key, return_inverse=True)[1], _SYMBOLS
+        key <<= 9
+        key |= symbols[j : j + n]
+    over = np.flatnonzero(left < _SYMBOLS)
+    cut = 9 * (_SYMBOLS - left[over])
+    key[over] = (key[over] >> cut) << cut  # what stands beyond the end counts as 0
+    rank, step = _first_ranks(key), _SYMBOLS
     while step < left.max(initial=0):
         rank = _doubled(rank, left, step)
         step *= 2
@@ -88,7 +126,7 @@ def dictionary_ranks(p: Parse) -> np.ndarray:
 def parse_ranks(p: Parse, suffix_rank: np.ndarray) -> np.ndarray:
     """The rank, from 1, of the rest of its text's parse at each phrase."""
     phrase = 2 * suffix_rank[p.dictionary_start] + ~p.dictionary_last  # where a text ends comes first
-    rank = np.unique(phrase[p.number], return_inverse=True)[1]
+    rank = _first_ranks(phrase[p.number])
     n = len(rank)
     ends = np.flatnonzero(p.last) + 1
     left = ends[np.searchsorted(ends, np.arange(n), "right")] - np.arange(n)

@@ -52,23 +52,28 @@ _NONE = 255
 
 def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of anchors, ascending, and the hashes of their bytes."""
-    found = [np.zeros(0, np.int64)]
+    places, hashes = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
     for at in range(0, max(len(data) - LENGTH + 1, 0), BLOCK):
-        found.append(at + _anchors_within(data[at : at + BLOCK + LENGTH - 1], bounds - at))
-    place = np.unique(np.concatenate(found))
-    return place, hashes_of(data, place, place + GRAM)
+        place, found = _anchors_within(data[at : at + BLOCK + LENGTH - 1], bounds - at)
+        fresh = np.searchsorted(place + at, places[-1][-1], "right") if len(places[-1]) else 0  # some lie in the block before, too
+        places.append(place[fresh:] + at)
+        hashes.append(found[fresh:])
+        if not len(places[-1]):
+            places.pop()
+            hashes.pop()
+    return np.concatenate(places), np.concatenate(hashes)
 
 
-def _anchors_within(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _anchors_within(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Anchors of the windows that lie within these bytes and within one text."""
     n = len(data) - GRAM + 1
+    none = np.zeros(0, np.int64), np.zeros(0, U64)
     if len(data) < LENGTH:
-        return np.zeros(0, np.int64)
+        return none
     sums = prefix_hashes(data)
     rolling = (sums[GRAM:] - sums[:-GRAM]) * powers(len(sums))[1][:n]
-    rolling *= U64(0xD6E8FEB86659FD93)
     low = U64((1 << 26) - 1)
-    key = rolling & ~low
+    key = (rolling * U64(0xD6E8FEB86659FD93)) & ~low
     key |= low - np.arange(n, dtype=np.uint64)  # of equal ones the last
     least, width = key, 1
     while 2 * width <= REACH + 1:
@@ -84,9 +89,10 @@ def _anchors_within(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     np.add.at(crossing, np.clip(inner, 0, len(least)), -1)
     least = least[np.cumsum(crossing)[:-1] == 0]
     if not len(least):
-        return np.zeros(0, np.int64)
+        return none
     chosen = least[np.r_[True, least[1:] != least[:-1]]]
-    return np.unique((low - (chosen & low)).astype(np.int64))
+    place = np.unique((low - (chosen & low)).astype(np.int64))
+    return place, mix(rolling[place] + U64(GRAM))
 
 
 def pack_chunk(doc_ids: np.ndarray, bounds: np.ndarray, data: np.ndarray) -> bytes:
@@ -359,7 +365,7 @@ def _finish(parts: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, part_bytes: int = 16 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, part_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     docs = keyed(docs.select(F.col("doc_id").cast("long"), "text"), "text")
