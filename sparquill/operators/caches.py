@@ -53,3 +53,42 @@ def state_before(events: DataFrame, kind: str, before: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("event_type") == before, F.col("event_id")), ignorenulls=True).over(w)
     return events.withColumn("previous", last).where(F.col("event_type") == kind).select("event_id", "previous")
+
+
+def semantic_order(cache: DataFrame, n: int) -> DataFrame:
+    """The n entries with the least (log2 accesses + 1) * cluster score / (idle + 1): a bounded list."""
+    score = (F.log2("accesses") + 1) * F.coalesce("cluster", F.lit(1.0)) / (F.col("idle") + 1)
+    return cache.select("user_id", "event_type", F.round(score * 1e6, 6).alias("score")).orderBy("score", "user_id", "event_type").limit(n)
+
+
+def linear_order(cache: DataFrame, weights: tuple[float, float, float, float, float], ttl: int, n: int) -> DataFrame:
+    """The n entries with the least weighted sum of 1 / (idle + 1), log2 accesses, 1 / (size + 1), age and time to live."""
+    parts = (1 / (F.col("idle") + 1), F.log2("accesses"), 1 / (F.col("size") + 1), F.col("age"), ttl - F.col("age"))
+    score = sum((p * w for p, w in zip(parts, weights, strict=True)), F.lit(0.0))
+    return cache.select("user_id", "event_type", F.round(score, 6).alias("score")).orderBy("score", "user_id", "event_type").limit(n)
+
+
+def admitted(cache: DataFrame, against: DataFrame) -> DataFrame:
+    """Of candidates (key, victim) those whose frequency exceeds the victim's; cache: key, frequency."""
+    own = cache.select("key", "frequency")
+    x = against.join(own, "key", "left").join(own.toDF("victim", "victims"), "victim", "left")
+    return x.select("key", "victim", (F.coalesce("frequency", F.lit(0)) > F.coalesce("victims", F.lit(0))).alias("admit"))
+
+
+def insights(events: DataFrame, hit: str) -> DataFrame:
+    """Requests, hits, hit share, mean value and users of a cache by kind; hit: a condition."""
+    h = F.expr(hit)
+    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("requests"), F.sum(h.cast("long")).alias("hits"), F.round(F.avg(h.cast("double")), 6).alias("hit_share"), F.round(F.avg("value"), 6).alias("mean_value"), F.countDistinct("user_id").alias("users"))
+
+
+def repeated_texts(docs: DataFrame) -> DataFrame:
+    """Rows, different texts, and what keeping one of each saves."""
+    x = docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("size"))
+    return x.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_texts"), F.sum((F.col("n") - 1) * F.col("size")).alias("saved_bytes"))
+
+
+def compression(vectors: DataFrame) -> DataFrame:
+    """Bytes of all vectors plain and as one byte a place with scale and offset, and their ratio."""
+    n = F.size("embedding").cast("long")
+    x = vectors.agg(F.count(F.lit(1)).alias("n"), F.sum(4 * n).alias("plain"), F.sum(n + 8).alias("packed"))
+    return x.select("n", "plain", "packed", F.round(F.col("plain") / F.col("packed"), 6).alias("ratio"))

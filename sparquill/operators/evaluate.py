@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, sentences, set_jaccard, sum_of, syllables, words
+from ..functions.text import common_length, let, sentences, set_jaccard, sum_of, syllables, word_grams, words
 
 
 def retrieval_metrics(judged: DataFrame, totals: DataFrame, k: int) -> DataFrame:
@@ -86,3 +86,91 @@ def answer_metrics(turns: DataFrame) -> DataFrame:
         "conv_id", "turn", F.round(share(a, c), 6).alias("faithfulness"), F.round(set_jaccard(q, a), 6).alias("answer_relevancy"), F.round(set_jaccard(q, c), 6).alias("context_relevancy"),
         F.round(0.6 * share(q, a) + 0.4 * share(c, a), 6).alias("relevance"),
     )
+
+
+# Words that a claim without proof is made with, and that join sentences.
+BIASED_TERMS = ("always", "never", "all", "none", "everyone", "nobody", "obviously", "clearly", "definitely", "certainly")
+
+
+def _share(part: Column, of: Column) -> Column:
+    return F.coalesce(F.try_divide(part.cast("double"), of), F.lit(0.0))
+
+
+def text_cosine(a: Column, b: Column) -> Column:
+    """Cosine of the counts of two word lists; 0 if one is empty."""
+    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x)).cast("double")
+    norm = lambda xs: F.sqrt(sum_of(F.transform(F.array_distinct(xs), lambda x: count(xs, x) * count(xs, x))))
+    return F.coalesce(F.try_divide(sum_of(F.transform(F.array_intersect(a, b), lambda x: count(a, x) * count(b, x))), norm(a) * norm(b)), F.lit(0.0))
+
+
+def bleu(candidate: Column, reference: Column, n: int) -> Column:
+    """Share of the candidate's n-grams that the reference has, not clipped."""
+    return let(word_grams(reference, n), lambda r: let(word_grams(candidate, n), lambda c: _share(F.size(F.filter(c, lambda g: F.array_contains(r, g))), F.size(c))))
+
+
+def rouge_l(candidate: Column, reference: Column) -> Column:
+    """F1 of the longest common subsequence of words; 1 if both are empty."""
+
+    def f1(n: Column) -> Column:
+        p, r = _share(n, F.size(candidate)), _share(n, F.size(reference))
+        return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+
+    return F.when((F.size(candidate) == 0) & (F.size(reference) == 0), 1.0).otherwise(let(common_length(candidate, reference), f1))
+
+
+def entropy_rate(w: Column) -> Column:
+    """exp(entropy of the words / number of different ones)."""
+    n = F.size(w).cast("double")
+    kinds = F.array_distinct(w)
+    p = lambda x: F.size(F.filter(w, lambda y: y == x)) / n
+    return F.when(F.size(w) > 0, F.exp(-sum_of(F.transform(kinds, lambda x: p(x) * F.log(p(x)))) / F.size(kinds)))
+
+
+def pair_metrics(pairs: DataFrame, ids: list[str]) -> DataFrame:
+    """Cosine, BLEU of two words, ROUGE-L and entropy rate of texts a (candidate) and b (reference)."""
+    x = pairs.select(*ids, words(F.col("a")).alias("wa"), words(F.col("b")).alias("wb"))
+    a, b = F.col("wa"), F.col("wb")
+    return x.select(*ids, F.round(text_cosine(a, b), 6).alias("cosine"), F.round(bleu(a, b, 2), 6).alias("bleu_2"), F.round(rouge_l(a, b), 6).alias("rouge_l"), common_length(a, b).cast("long").alias("common"), F.round(entropy_rate(a), 6).alias("entropy_rate"))
+
+
+def answer_quality(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """Metrics of answers against a truth, a context and a question: columns query, context, truth, answer."""
+    x = rows.select(*ids, "answer", *(F.array_distinct(words(F.lower(F.col(k)))).alias(k[0]) for k in ("query", "context", "truth")), F.array_distinct(words(F.lower("answer"))).alias("a"), F.split("truth", "\\.").alias("parts"))
+    inter = lambda x, y: F.size(F.array_intersect(x, y))
+    a, c, q, t = (F.col(k) for k in ("a", "c", "q", "t"))
+    supported = F.filter("parts", lambda s: let(words(F.lower(s)), lambda w: (F.size(w) > 0) & (_share(F.size(F.filter(w, lambda z: F.array_contains(c, z))), F.size(w)) >= 0.7)))
+    recall = _share(inter(a, t), F.size(t))
+    return x.select(
+        *ids, F.round(_share(F.size(supported), F.size("parts")), 6).alias("context_recall"), F.round(_share(inter(q, c), F.size(q)), 6).alias("query_cover"), (_share(inter(q, c), F.size(q)) >= 0.5).cast("int").alias("context_precision"),
+        F.round(set_jaccard(a, t), 6).alias("similarity"), F.round(F.least(0.75 * recall + 0.25 * set_jaccard(a, t), F.lit(1.0)), 6).alias("correctness"), F.round(_share(inter(a, c), F.size(a)), 6).alias("factual"),
+    )
+
+
+def writing(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Fluency, diversity and bias of every text."""
+    t = F.col("text")
+    x = docs.select(id_column, "text", words(t).alias("w"), F.split(t, "\\.").alias("s"))
+    w, n = F.col("w"), F.size("w")
+    per = F.coalesce(F.try_divide(n.cast("double"), F.size("s")), F.lit(0.0))
+    marked = t.rlike("[.!?]") & t.rlike("\\p{Lu}")
+    variety = _share(F.size(F.array_distinct(w)), n)
+    fluency = 0.4 * F.when((per >= 5) & (per <= 25), 1.0).otherwise(0.7) + 0.3 * F.when(marked, 1.0).otherwise(0.6) + 0.3 * variety
+    return x.select(id_column, F.round(fluency, 6).alias("fluency"), F.round(variety, 6).alias("variety"), F.round(term_share(t, BIASED_TERMS), 6).alias("bias"))
+
+
+def repetition(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """Diversity: the mean of type by token and of 1 less 0.3 for each repeat of the commonest word."""
+    rows = docs.select(id_column, F.explode(words(F.lower("text"))).alias("w")).groupBy(id_column, "w").agg(F.count(F.lit(1)).alias("n"))
+    g = rows.groupBy(id_column).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"), F.max("n").alias("most"))
+    return g.select(id_column, F.round((F.col("kinds") / F.col("total") + F.greatest(F.lit(0.0), 1 - 0.3 * (F.col("most") - 1))) / 2, 6).alias("diversity"))
+
+
+def system_metrics(runs: DataFrame, most_ms: float = 2000.0, least_rate: float = 10.0, most_errors: float = 5.0) -> DataFrame:
+    """Of requests (kind, ms, failed): latency, rate, errors, consistency, and scores between 0 and 1 for each."""
+    g = runs.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg("ms").alias("mean_ms"), F.stddev_pop("ms").alias("sd"), F.sum("ms").alias("total"), F.avg(F.col("failed").cast("double")).alias("failed"))
+    rate, failed = F.col("n") * 1000.0 / F.col("total"), 100 * F.col("failed")
+    latency = F.when(F.col("mean_ms") <= most_ms, 1 - 0.2 * F.col("mean_ms") / most_ms).otherwise(F.greatest(F.lit(0.0), 0.8 - 0.5 * (F.col("mean_ms") - most_ms) / most_ms))
+    throughput = F.when(rate >= least_rate, F.least(rate / least_rate, F.lit(2.0)) / 2).otherwise(rate / least_rate)
+    errors = F.when(failed <= most_errors, 1 - failed / 1000).otherwise(F.greatest(F.lit(0.0), 0.9 - 2 * (failed - most_errors) / 100))
+    x = g.select("kind", "n", "mean_ms", rate.alias("rate"), (100 * F.col("failed")).alias("errors"), F.greatest(F.lit(0.0), 1 - F.col("sd") / F.col("mean_ms")).alias("consistency"), latency.alias("latency_score"), throughput.alias("rate_score"), errors.alias("error_score"))
+    return x.select("kind", "n", *(F.round(k, 6).alias(k) for k in ("mean_ms", "rate", "errors", "consistency", "latency_score", "rate_score", "error_score")))

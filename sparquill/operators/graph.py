@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.rounds import settled
+
 
 def valid_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges both ends of which are nodes."""
@@ -25,18 +27,25 @@ def neighbours(edges: DataFrame, start: str) -> DataFrame:
     return edges.where(F.col("src") == start).select(F.col("dst").alias("id")).union(edges.where(F.col("dst") == start).select("src")).distinct()
 
 
-def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """Scores after a fixed number of rounds: damping / n + (1 - damping) * what the neighbours give by weight.
+def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 1e-6, preferred: list[str] | None = None, standard: bool = False) -> DataFrame:
+    """Scores once they change by less than the tolerance in sum, after so many rounds at most.
 
-    This is the mixture that the engine's users know: damping weighs the base.
+    base / n + (1 - base) * what the neighbours give by weight, where base is
+    the damping itself (what the engine's users know), or one less it for the
+    standard form. preferred: nodes that share the base among them.
     """
-    n = nodes.count()
+    n, base = nodes.count(), (1 - damping if standard else damping)
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    flows = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("degree")).alias("part"))
-    scores = nodes.select("id", F.lit(1.0 / max(n, 1)).alias("score"))
+    flows = settled(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("degree")).alias("part")))
+    share = F.when(F.col("id").isin(*preferred), 1.0 / len(preferred)).otherwise(0.0) if preferred else F.lit(1.0 / max(n, 1))
+    scores = settled(nodes.select("id", share.alias("base"), F.lit(1.0 / max(n, 1)).alias("score")))
     for _ in range(rounds):
         given = flows.join(scores, flows["src"] == scores["id"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("part")).alias("given"))
-        scores = nodes.select("id").join(given, "id", "left").select("id", (damping / max(n, 1) + (1 - damping) * F.coalesce("given", F.lit(0.0))).alias("score"))
+        new = base * F.col("base") + (1 - base) * F.coalesce("given", F.lit(0.0))
+        scores = settled(scores.join(given, "id", "left").select("id", "base", new.alias("score"), F.abs(new - F.col("score")).alias("change")))
+        if (scores.agg(F.sum("change")).first()[0] or 0.0) < tolerance:
+            break
+        scores = scores.drop("change")
     return scores.select("id", F.round("score", 9).alias("score"))
 
 
@@ -46,7 +55,10 @@ def reachable(edges: DataFrame, start: str, depth: int) -> DataFrame:
     for step in range(1, depth + 1):
         front = seen.where(F.col("steps") == step - 1)
         new = edges.join(front, edges["src"] == front["id"]).select(F.col("dst").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
-        seen = seen.union(new.select("id", F.lit(step).alias("steps")))
+        new = settled(new.select("id", F.lit(step).alias("steps")))
+        if new.isEmpty():
+            break
+        seen = seen.union(new)
     return seen
 
 
@@ -59,13 +71,131 @@ def metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cheapest(edges: DataFrame, start: str, rounds: int) -> DataFrame:
-    """Least cost (1 / weight an edge) to the nodes within so many edges."""
-    costs = edges.select("src", "dst", (1 / F.greatest("weight", F.lit(0.001))).alias("cost"))
-    best = edges.sparkSession.createDataFrame([(start, 0.0)], "id string, total double")
+    """Least cost (1 / weight an edge), hops and nodes of the way to each node within so many edges; ties by the way's text."""
+    costs = edges.groupBy("src", "dst").agg(F.min(1 / F.greatest("weight", F.lit(0.001))).alias("cost"))
+    best = edges.sparkSession.createDataFrame([(start, 0.0, [start])], "id string, total double, way array<string>")
     for _ in range(rounds):
-        more = costs.join(best, costs["src"] == best["id"]).select(F.col("dst").alias("id"), (F.col("total") + F.col("cost")).alias("total"))
-        best = best.union(more).groupBy("id").agg(F.min("total").alias("total"))
-    return best.select("id", F.round("total", 6).alias("cost"))
+        more = costs.join(best, costs["src"] == best["id"]).select(F.col("dst").alias("id"), (F.col("total") + F.col("cost")).alias("total"), F.concat("way", F.array("dst")).alias("way"))
+        new = settled(best.union(more).groupBy("id").agg(F.min(F.struct("total", "way")).alias("b")).select("id", "b.total", "b.way"))
+        if new.exceptAll(best).isEmpty():
+            break
+        best = new
+    return best.select("id", F.round("total", 6).alias("cost"), (F.size("way") - 1).alias("hops"), F.array_join("way", ">").alias("way"))
+
+
+def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least node that each can reach, whichever way edges point."""
+    both = settled(edges.select("src", "dst").union(edges.select("dst", "src")).toDF("a", "b").distinct())
+    label = nodes.select("id", F.col("id").alias("component"))
+    while True:
+        near = both.join(label, both["b"] == label["id"]).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        new = label.join(near, "id", "left").select("id", F.least("component", F.coalesce("near", "component")).alias("new"), F.col("component").alias("old"))
+        # a label's own label is nearer still: paths halve in each round
+        shorter = new.select(F.col("id").alias("l_id"), F.col("new").alias("l_new"))
+        new = settled(new.join(shorter, new["new"] == shorter["l_id"], "left").select("id", F.least("new", F.coalesce("l_new", "new")).alias("component"), "old"))
+        done = new.where("component <> old").isEmpty()
+        label = new.select("id", "component")
+        if done:
+            return label
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least node of those that each can reach and be reached from.
+
+    In turns over what has no component yet: nodes without a way in or out are
+    alone; the others take the least label of what reaches them, and of these
+    labels' nodes, those that reach the label's own node form its component.
+    """
+    left, live = settled(nodes.select("id").distinct()), settled(edges.select("src", "dst").where("src <> dst").distinct())
+    found = None
+
+    def closed(rows: DataFrame, way: DataFrame) -> DataFrame:
+        """Least label that reaches each node along (a, b)."""
+        while True:
+            come = way.join(rows, way["a"] == rows["id"]).groupBy(F.col("b").alias("id")).agg(F.min("label").alias("come"))
+            new = settled(rows.join(come, "id", "left").select("id", F.least("label", F.coalesce("come", "label")).alias("label"), F.col("label").alias("old")))
+            done = new.where("label <> old").isEmpty()
+            rows = new.drop("old")
+            if done:
+                return rows
+
+    while not left.isEmpty():
+        color = closed(left.select("id", F.col("id").alias("label")), live.toDF("a", "b"))
+        same = live.join(color.toDF("src", "ls"), "src").join(color.toDF("dst", "ld"), "dst").where("ls = ld")
+        back = settled(same.select(F.col("dst").alias("a"), F.col("src").alias("b")))
+        seeds = color.select("id", F.when(F.col("id") == F.col("label"), F.col("label")).alias("label"))
+        reach = closed(seeds.select("id", F.coalesce("label", F.lit("\U0010ffff")).alias("label")), back)
+        part = settled(reach.where(F.col("label") != "\U0010ffff").select("id", F.col("label").alias("component")))
+        found = part if found is None else found.union(part)
+        left = settled(left.join(part, "id", "left_anti"))
+        live = settled(live.join(left.toDF("src"), "src", "left_semi").join(left.toDF("dst"), "dst", "left_semi"))
+    least = found.groupBy("component").agg(F.min("id").alias("least")) if found is not None else None
+    return found.join(least, "component").select("id", F.col("least").alias("component")) if found is not None else left.select("id", F.col("id").alias("component"))
+
+
+def clustering(edges: DataFrame) -> DataFrame:
+    """(id, neighbours, closed, coefficient): the share of pairs of a node's out-neighbours with an edge between them, either way."""
+    out = edges.select("src", "dst").where("src <> dst").distinct()
+    degree = out.groupBy("src").agg(F.count(F.lit(1)).alias("neighbours"))
+    link = edges.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).where("x <> y").distinct()
+    # each link looks for the nodes that have both its ends as out-neighbours: no list of all pairs
+    triangles = link.join(out.toDF("id", "x"), "x").join(out.toDF("id", "y"), ["id", "y"]).groupBy("id").agg(F.count(F.lit(1)).alias("closed"))
+    x = degree.withColumnRenamed("src", "id").join(triangles, "id", "left").withColumn("closed", F.coalesce("closed", F.lit(0)))
+    pairs = F.col("neighbours") * (F.col("neighbours") - 1) / 2
+    return x.select("id", "neighbours", "closed", F.round(F.when(F.col("neighbours") > 1, F.col("closed") / pairs).otherwise(0.0), 6).alias("coefficient"))
+
+
+def simple_paths(edges: DataFrame, start: str, goal: str, depth: int, type_weights: dict[str, float], least: float = 0.1, most: int = 10) -> DataFrame:
+    """Ways without repeats from start to goal by the sum of confidence * weight * type weight; steps under `least` are pruned. The `most` best: the operator's own bound."""
+    weight = F.coalesce(*(F.when(F.col("kind") == k, F.lit(float(v))) for k, v in type_weights.items()), F.lit(1.0))
+    steps = settled(edges.select("src", "dst", (F.col("confidence") * F.col("weight") * weight).alias("gain")).where(F.col("gain") >= least))
+    front = edges.sparkSession.createDataFrame([(start, 0.0, [start])], "id string, score double, way array<string>")
+    found = None
+    for _ in range(depth):
+        front = steps.join(front, steps["src"] == front["id"]).where(~F.array_contains("way", F.col("dst"))).select(F.col("dst").alias("id"), (F.col("score") + F.col("gain")).alias("score"), F.concat("way", F.array("dst")).alias("way"))
+        front = settled(front)
+        done = front.where(F.col("id") == goal)
+        found = done if found is None else found.union(done)
+        front = front.where(F.col("id") != goal)
+    return found.select(F.array_join("way", ">").alias("way"), F.round("score", 6).alias("score"), F.size("way").alias("nodes")).orderBy(F.desc("score"), "way").limit(most)
+
+
+def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without these nodes (id) and the edges that touch them."""
+    ids = gone.select("id")
+    return nodes.join(ids, "id", "left_anti"), edges.join(ids.toDF("src"), "src", "left_anti").join(ids.toDF("dst"), "dst", "left_anti").select(*edges.columns)
+
+
+def query_nodes(nodes: DataFrame, kinds: list[str], least_confidence: float, offset: int, limit: int) -> DataFrame:
+    """A page of the nodes of these kinds and at least such confidence, by id."""
+    return nodes.where(F.col("kind").isin(*kinds) & (F.col("confidence") >= least_confidence)).orderBy("id").offset(offset).limit(limit)
+
+
+def query_edges(edges: DataFrame, sources: list[str], kinds: list[str], low: float, high: float) -> DataFrame:
+    """Edges from these nodes, of these kinds, with a weight between the bounds."""
+    return edges.where(F.col("src").isin(*sources) & F.col("kind").isin(*kinds) & F.col("weight").between(low, high))
+
+
+def expand(nodes: DataFrame, edges: DataFrame, seeds: list[str], strategies: dict[str, float], least: float = 0.3, most: int = 20, focus: list[str] | None = None) -> DataFrame:
+    """Terms near the seeds: neighbours either way over edges of each strategy's kind, confidence times its weight, `least` or more.
+
+    A term keeps its best row; terms next to a focus node count half as much again. The `most` best terms: the operator's own bound.
+    """
+    both = edges.select("src", "dst", "kind", "confidence").union(edges.select("dst", "src", "kind", "confidence"))
+    weight = F.coalesce(*(F.when(F.col("kind") == k, F.lit(float(v))) for k, v in strategies.items()))
+    near = both.where(F.col("src").isin(*seeds) & ~F.col("dst").isin(*seeds) & F.col("kind").isin(*strategies)).withColumn("score", F.col("confidence") * weight).where(F.col("score") >= least)
+    boost = F.when(F.col("src").isin(*(focus or [])), 1.5).otherwise(1.0) if focus else F.lit(1.0)
+    rows = near.join(nodes.select(F.col("id").alias("dst"), F.lower("label").alias("term")), "dst").select("term", "kind", F.round(F.col("score") * boost, 6).alias("score"))
+    best = rows.groupBy("term").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
+    return best.orderBy(F.desc("score"), "term").limit(most)
+
+
+def text_search(nodes: DataFrame, query: str) -> DataFrame:
+    """Nodes whose label has all those words of the query that any label has."""
+    wanted = sorted(set(query.lower().split()))
+    tokens = nodes.select("id", F.explode(F.array_distinct(F.filter(F.transform(F.split(F.lower("label"), "\\s+"), lambda w: F.regexp_replace(w, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")), lambda w: w != ""))).alias("word")).where(F.col("word").isin(*wanted))
+    known = tokens.agg(F.countDistinct("word").alias("known"))
+    return tokens.groupBy("id").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(known)).where("n = known").select("id")  # known is one row
 
 
 def merge_nodes(mine: DataFrame, other: DataFrame) -> DataFrame:

@@ -105,3 +105,83 @@ def anomalies(events: DataFrame, reach: float) -> DataFrame:
     g = events.groupBy("user_id").agg(latest.alias("last"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("value").alias("n"))
     far = (F.col("n") >= 10) & (F.col("sd") > 0) & (F.abs(F.col("last") - F.col("mean")) > reach * F.col("sd"))
     return g.select("user_id", F.round("last", 6).alias("last"), far.alias("anomaly"))
+
+
+def trailing(events: DataFrame, minutes: int) -> DataFrame:
+    """Each event's trailing window by type: least, first and last value, mean, deviation, events and whole minutes."""
+    at = F.unix_timestamp("ts")
+    w = Window.partitionBy("event_type").orderBy(at).rangeBetween(-60 * minutes, 0)
+    first = F.min(F.struct(at.alias("t"), F.col("event_id").alias("i"), F.col("value").alias("v"))).over(w)
+    last = F.max(F.struct(at.alias("t"), F.col("event_id").alias("i"), F.col("value").alias("v"))).over(w)
+    return events.select("event_id", "event_type", F.min("value").over(w).alias("least"), first.alias("a"), last.alias("b"), F.avg("value").over(w).alias("mean"), F.stddev_pop("value").over(w).alias("sd"), F.count(F.lit(1)).over(w).alias("n"))
+
+
+def alerts(events: DataFrame, minutes: int, threshold: float, rate: float, reach: float) -> DataFrame:
+    """Alerts at each event over its trailing window: all values over the threshold; a change a minute over the rate; the last value beyond so many deviations; and whether all or any of these hold."""
+    x = trailing(events, minutes)
+    whole = F.floor((F.col("b.t") - F.col("a.t")) / 60)
+    steep = F.coalesce((F.col("n") >= 2) & (whole > 0) & (F.try_divide(F.col("b.v") - F.col("a.v"), whole.cast("double")) > rate), F.lit(False))
+    odd = F.coalesce((F.col("n") >= 5) & (F.col("sd") > 0) & (F.abs(F.try_divide(F.col("b.v") - F.col("mean"), F.col("sd"))) > reach), F.lit(False))
+    x = x.select("event_id", "event_type", (F.col("least") > threshold).alias("high"), steep.alias("steep"), odd.alias("odd"))
+    return x.select("event_id", "event_type", "high", "steep", "odd", (F.col("high") & F.col("steep") & F.col("odd")).alias("all_of"), (F.col("high") | F.col("steep") | F.col("odd")).alias("any_of"))
+
+
+def latest_values(events: DataFrame) -> DataFrame:
+    """Gauges: the last value of each type."""
+    return events.groupBy("event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+def ranked_percentiles(events: DataFrame, shares: tuple[float, ...], rule: str) -> DataFrame:
+    """Values at nearest ranks by type, from a rank of each row and the number of rows: nothing is gathered by type.
+
+    rule: "round" for round(p (n-1)), "floor" for floor(n p), 0 if there is no such row, "clipped" for the least of floor(n p) and n - 1.
+    """
+    place = F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")) - 1
+    sizes = events.groupBy("event_type").agg(F.count("value").alias("n"))
+    x = events.select("event_type", "value", place.alias("place")).join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "event_type")
+    n = F.col("n")
+    at = {"round": lambda p: F.round(p * (n - 1)), "floor": lambda p: F.floor(n * p), "clipped": lambda p: F.least(F.floor(n * p), n - 1)}[rule]
+    return x.groupBy("event_type").agg(*(F.coalesce(F.max(F.when(F.col("place") == at(p), F.col("value"))), F.lit(0.0)).alias(f"p{round(100 * p)}") for p in shares))
+
+
+def operations(events: DataFrame) -> DataFrame:
+    """Count, mean, extremes, deviation, and operations a second between first and last, by type."""
+    g = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.stddev_pop("value").alias("sd"), (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("seconds"))
+    kind = F.when(F.contains("event_type", F.lit("db")), "database").when(F.contains("event_type", F.lit("cache")), "cache").when(F.contains("event_type", F.lit("http")), "network").when(F.contains("event_type", F.lit("file")), "io").when(F.col("mean") > 1000, "algorithm").when(F.col("mean") > 500, "cpu").otherwise("memory")
+    return g.select("event_type", "n", F.round("mean", 6).alias("mean"), "low", "high", F.round("sd", 6).alias("sd"), F.round(F.col("n") / F.greatest("seconds", F.lit(1)), 6).alias("rate"), kind.alias("bottleneck"))
+
+
+def direction(events: DataFrame) -> DataFrame:
+    """Where each type's daily sums go: stable under half their deviation, else by the sign of last less first."""
+    day = events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.sum("value").alias("y"))
+    g = day.groupBy("event_type").agg(F.min_by("y", "day").alias("first"), F.max_by("y", "day").alias("last"), F.stddev_pop("y").alias("sd"), F.count(F.lit(1)).alias("n"))
+    change = F.col("last") - F.col("first")
+    name = F.when((F.col("n") < 2) | (F.abs(change) < 0.5 * F.col("sd")), "stable").when(F.col("sd") > 2 * F.abs(change), "volatile").when(change > 0, "increasing").otherwise("decreasing")
+    return g.select("event_type", F.round("sd", 4).alias("volatility"), F.round(change, 4).alias("change"), name.alias("direction"))
+
+
+def daily_by(events: DataFrame, column: str, start: str, days: int) -> DataFrame:
+    """Counts of each value of a column for every day of a calendar, also where there are none."""
+    days_ = events.sparkSession.range(days).select(F.date_add(F.lit(start).cast("date"), F.col("id").cast("int")).alias("day"))
+    kinds = events.select(column).distinct()
+    counts = events.groupBy(column, F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    every = kinds.join(F.broadcast(days_))  # a calendar of `days` rows
+    return every.join(counts, [column, "day"], "left").select(column, F.col("day").cast("string").alias("day"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def log_stats(events: DataFrame, as_of: str) -> DataFrame:
+    """Rows, errors, errors of the last day, oldest and newest of all events."""
+    err = F.col("event_type") == "error"
+    return events.agg(F.count(F.lit(1)).alias("n"), F.sum(err.cast("long")).alias("errors"), F.sum((err & (F.col("ts") >= F.lit(as_of).cast("timestamp") - F.expr("INTERVAL 1 DAY"))).cast("long")).alias("recent_errors"), F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm").alias("oldest"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm").alias("newest"))
+
+
+def metric_lines(events: DataFrame, since: str, until: str, kinds: list[str]) -> DataFrame:
+    """Lines of name, type, value and labels for a metrics file, between two instants and of some types."""
+    x = events.where((F.col("ts") >= F.lit(since).cast("timestamp")) & (F.col("ts") <= F.lit(until).cast("timestamp")) & F.col("event_type").isin(*kinds))
+    g = x.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"))
+    return g.select(F.concat(F.lit("events,counter,"), F.col("n").cast("string"), F.lit(',"type='), "event_type", F.lit(";user="), F.col("user_id").cast("string"), F.lit('"')).alias("line"))
+
+
+def long_form(summary: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, metric, value) rows of a wide table."""
+    return summary.unpivot([key], columns, "metric", "value")

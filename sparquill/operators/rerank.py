@@ -45,3 +45,77 @@ def combined(values: DataFrame, weights: dict[str, float], how: str = "weighted_
     x = values.withColumn("w", weight)
     score = {"weighted_sum": F.sum(F.col("w") * F.col("value")), "weighted_average": F.sum(F.col("w") * F.col("value")) / F.sum("w"), "max": F.max("value"), "min": F.min("value")}[how]
     return x.groupBy("doc_id").agg(F.round(score, 6).alias("score"), F.round(1 - F.least(F.stddev_pop("value"), F.lit(1.0)), 6).alias("confidence"))
+
+
+def token_likeness(a: Column, b: Column) -> Column:
+    """1 if equal but for case, 0.7 if one holds the other, else half the Jaccard of their characters."""
+    x, y = F.lower(a), F.lower(b)
+    return F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.7).otherwise(0.5 * set_jaccard(F.split(x, ""), F.split(y, "")))
+
+
+def cross_scores(pairs: DataFrame, ids: list[str], least: float = 0.3) -> DataFrame:
+    """Scores of (query, document) rows by the likeness of their words: plain, with a wave of the length, and with less for the query's length."""
+    q, d = words(F.col("query")), words(F.col("document"))
+    x = pairs.select(*ids, "query", "document", q.alias("q"), d.alias("d"))
+    likes = F.flatten(F.transform("q", lambda a: F.transform(F.col("d"), lambda b: token_likeness(a, b))))
+    x = x.select(*ids, "query", "document", F.size("q").alias("nq"), F.size("d").alias("nd"), F.filter(likes, lambda s: s > least).alias("hits"), likes.alias("every"))
+    total = F.aggregate("hits", F.lit(0.0), lambda s, v: s + v)
+    base = F.least(F.greatest(total / F.col("nq") / (1 + F.col("nd") / 100) + F.when(F.size("hits") / F.col("nq") > 0.5, 0.2).otherwise(0.0), F.lit(0.0)), F.lit(1.0))
+    third, second = _power_sum(3.0), _power_sum(2.0)
+    neural = 1 / (1 + F.exp(-4 * F.coalesce(F.try_divide(third, second), F.lit(0.0))))
+    wave = F.least(base + 0.05 * F.abs(F.sin(F.log10(F.octet_length("document").cast("double")))), F.lit(1.0))
+    small = F.greatest(F.lit(0.0), base - 0.02 * (F.octet_length("query") % 7) / 7)
+    return x.select(*ids, F.round(base, 6).alias("plain"), F.round(wave, 6).alias("wave"), F.round(small, 6).alias("small"), F.round(neural, 6).alias("neural"), F.round(F.least(1.05 * neural, F.lit(1.0)), 6).alias("neural_wide"))
+
+
+def _power_sum(power: float) -> Column:
+    return F.aggregate("every", F.lit(0.0), lambda s, v: s + F.pow(v, F.lit(power)))
+
+
+def candidates(found: DataFrame, how: str, value: float = 0.0, batch: int = 16) -> DataFrame:
+    """Which rows (id, score) go on: "top" so many, "threshold" this score or more, "adaptive" half a deviation under the mean or more, three batches at most."""
+    ordered = found.orderBy(F.desc("score"), "id")
+    if how == "top":
+        return ordered.limit(int(value))
+    if how == "threshold":
+        return found.where(F.col("score") >= value)
+    stats = found.agg((F.avg("score") - 0.5 * F.stddev_pop("score")).alias("least"))
+    return found.join(F.broadcast(stats)).where(F.col("score") >= F.col("least")).drop("least").orderBy(F.desc("score"), "id").limit(3 * batch)  # stats is one row
+
+
+def freshness(at: Column, as_of: str) -> Column:
+    """exp(-hours / 168), a time that is missing counting as 30 days, 1 at most."""
+    hours = F.coalesce((F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(at)) / 3600.0, F.lit(720.0))
+    return F.least(F.exp(-F.floor(hours) / 168.0), F.lit(1.0))
+
+
+def learned_scores(features: Column, trees: int, how: str = "trees") -> Column:
+    """Score of an array of features by the stand-in models: a sum over trees of 0.01 * mean(f_i * sin(0.1 + 0.01 * (tree + i))), or the mean, through a sigmoid."""
+    import math
+
+    n = F.size(features)
+    if how == "mean":
+        total = F.aggregate(features, F.lit(0.0), lambda s, v: s + v) / n
+    else:  # the trees' weights of each place summed up beforehand
+        weights = F.array(*[F.lit(0.01 * sum(math.sin(0.1 + 0.01 * (t + i)) for t in range(trees))) for i in range(16)])
+        total = F.aggregate(F.zip_with(features, F.slice(weights, 1, n), lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v) / n
+    return 1 / (1 + F.exp(-total))
+
+
+def within_row(features: Column) -> Column:
+    """Min-max over the features of one row; as they are if all are alike."""
+    low, high = F.array_min(features), F.array_max(features)
+    return F.when(high > low, F.transform(features, lambda v: (v - low) / (high - low))).otherwise(features)
+
+
+def learning_features(docs: DataFrame, query: str, trees: int = 100) -> DataFrame:
+    """Length, relative length, matches and coverage of query terms, and what the models make of them."""
+    terms = sorted(set(query.lower().split()))
+    x = docs.select("doc_id", words(F.lower("text")).alias("w"))
+    x = x.select("doc_id", F.size("w").alias("n"), *(F.size(F.array_intersect("w", F.array(F.lit(t)))).alias(f"has{i}") for i, t in enumerate(terms)), F.size(F.filter("w", lambda v: v.isin(*terms))).alias("hits"))
+    mean = x.agg(F.avg("n").alias("mean"))
+    x = x.join(F.broadcast(mean))  # one row
+    tf = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.col("n")), F.lit(0.0))
+    cover = sum((F.col(f"has{i}") for i in range(len(terms))), F.lit(0)) / float(len(terms))
+    features = F.array(F.col("n").cast("double"), F.col("n") / F.col("mean"), tf, cover)
+    return x.select("doc_id", "n", F.round(F.col("n") / F.col("mean"), 6).alias("relative"), F.round(tf, 6).alias("tf"), F.round(cover, 6).alias("coverage"), F.round(learned_scores(within_row(features), trees), 6).alias("trees"), F.round(learned_scores(within_row(features), trees, "mean"), 6).alias("mean_model"))

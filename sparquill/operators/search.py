@@ -1,7 +1,8 @@
 """Keyword and vector search, and fusion of ranked lists.
 
-Rankings are total: by rounded score, then id. Query sides are stated lists, so
-their tables are small literals that may be broadcast; corpus sides never are.
+Rankings are total: by rounded score, then id. Tables of queries are broadcast
+while they have at most FEW_QUERIES rows; beyond that they are set against
+blocks of the corpus by a shuffle.
 """
 
 from __future__ import annotations
@@ -11,27 +12,50 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import STOP_WORDS, alphanumerics, stem
-from ..functions.vectors import doubles, likeness
+from ..functions.text import STOP_WORDS, alphanumerics, let, stem
+from ..functions.vectors import dot, doubles, euclidean, manhattan, norm
+from ..plans.rounds import settled
+
+FEW_QUERIES = 20_000
+
+
+def term_list(text: Column) -> Column:
+    """The terms of a text: lower case, no stop words, stemmed."""
+    return F.transform(F.filter(alphanumerics(text), lambda w: ~w.isin(*sorted(set(STOP_WORDS)))), stem)
 
 
 def terms(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, term), a row for each token: lower case, no stop words, stemmed."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    kept = F.filter(alphanumerics(F.col(text)), lambda w: ~F.array_contains(stop, w))
-    return docs.select(F.col(id_column).alias("id"), F.explode(F.transform(kept, stem)).alias("term"))
+    """(id, term), a row for each token."""
+    return docs.select(F.col(id_column).alias("id"), F.explode(term_list(F.col(text))).alias("term"))
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(term, id, tf, df): the inverted index, each term's share of its document's terms, and its documents."""
+    counted = docs.select(F.col("doc_id").alias("id"), term_list(F.col("text")).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    tf = counted.groupBy("term", "id").agg((F.count(F.lit(1)) / F.max("len")).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return tf.join(df, "term")
 
 
 def term_statistics(docs: DataFrame) -> DataFrame:
-    """total_docs, unique_terms, avg_length of the index; documents without terms don't count."""
-    t = terms(docs)
-    return t.agg(F.countDistinct("id").alias("total_docs"), F.countDistinct("term").alias("unique_terms"), F.round(F.count(F.lit(1)) / F.countDistinct("id"), 6).alias("avg_length"))
+    """total_docs, unique_terms, avg_length of the index."""
+    total = docs.agg(F.count(F.lit(1)).alias("total_docs"))
+    t = terms(docs).agg(F.countDistinct("term").alias("unique_terms"), F.count(F.lit(1)).alias("n"))
+    return total.join(F.broadcast(t)).select("total_docs", "unique_terms", F.round(F.col("n") / F.col("total_docs"), 6).alias("avg_length"))  # one row each
 
 
 def bm25(docs: DataFrame, query: list[str], limit: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The best documents for query terms: tf is a share of the document's terms, the score a mean over the query."""
-    t = terms(docs)
-    lengths = t.groupBy("id").agg(F.count(F.lit(1)).alias("len"), *(F.sum((F.col("term") == q).cast("int")).alias(f"n{i}") for i, q in enumerate(query)))
+    """The best documents for query terms: tf is a share of the document's terms, the score a mean over the query.
+
+    Terms are counted within each row, once; the counts are written, a few
+    numbers a document, and only one row of totals is gathered from them.
+    """
+
+    def counts(t: Column) -> Column:
+        times = lambda q: F.size(F.filter(t, lambda x: x == q))
+        return F.struct(F.size(t).alias("len"), *(times(q).alias(f"n{i}") for i, q in enumerate(query)))
+
+    lengths = settled(docs.select(F.col("doc_id").alias("id"), let(term_list(F.col("text")), counts).alias("c")).select("id", "c.*"))
     totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"), *(F.sum((F.col(f"n{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(query))))
 
     def part(i: int) -> Column:
@@ -51,19 +75,34 @@ def ranked(scored: DataFrame, limit: int) -> DataFrame:
     return top.select("id", "score", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("rank"))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", min_score: float | None = None) -> DataFrame:
-    """(query_id, id, score, rank) of the k most alike of all vectors for each of a stated set of queries.
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", min_score: float | None = None, few: int = FEW_QUERIES, block_rows: int = 100_000) -> DataFrame:
+    """(query_id, id, score, rank) of the k most alike of all vectors for each query.
 
-    vectors and queries: vec_id, embedding. The query set is stated and small,
-    so it goes to all tasks; each task keeps k for each query at most before
-    anything moves.
+    vectors and queries: vec_id, embedding. Each task keeps k rows a query at
+    most before anything moves; norms are worked out once a vector. Few queries
+    go to all tasks; more are copied to blocks of the vectors.
     """
-    q = F.broadcast(queries.select(F.col("vec_id").alias("query_id"), doubles(F.col("embedding")).alias("q")))
-    pairs = vectors.join(q, vectors["vec_id"] != q["query_id"]).select("query_id", F.col("vec_id").alias("id"), F.round(likeness(doubles(F.col("embedding")), F.col("q"), metric), 6).alias("score"))
+    of = {"cosine": lambda: F.coalesce(F.try_divide(dot(F.col("v"), F.col("q")), F.col("nv") * F.col("nq")), F.lit(0.0)), "dot": lambda: dot(F.col("v"), F.col("q")), "clamped": lambda: F.least(F.greatest(dot(F.col("v"), F.col("q")), F.lit(0.0)), F.lit(1.0)),
+          "euclidean": lambda: 1 / (1 + euclidean(F.col("v"), F.col("q"))), "manhattan": lambda: 1 / (1 + manhattan(F.col("v"), F.col("q")))}
+    side = lambda d, key, v, n: d.select(F.col("vec_id").alias(key), doubles(F.col("embedding")).alias(v)).withColumn(n, norm(F.col(v)) if metric == "cosine" else F.lit(0.0))
+    v, q = side(vectors, "id", "v", "nv"), side(queries, "query_id", "q", "nq")
+    if queries.limit(few + 1).count() <= few:
+        pairs = v.join(F.broadcast(q), F.col("id") != F.col("query_id"))
+        top = _best(pairs.select("query_id", "id", F.round(of[metric](), 6).alias("score")), k, min_score)
+    else:
+        blocks = max(1, -(-vectors.count() // block_rows))
+        v = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+        q = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        pairs = v.join(q, "block").where("id <> query_id")
+        top = _best(pairs.select("query_id", "id", F.round(of[metric](), 6).alias("score")), k, min_score)
+    return top.select("query_id", "id", "score", (F.col("place") - 1).alias("rank"))
+
+
+def _best(pairs: DataFrame, k: int, min_score: float | None) -> DataFrame:
+    """The k best pairs of each query, with place from 1: a limit on the window that Spark takes ahead of the shuffle, too."""
     if min_score is not None:
         pairs = pairs.where(F.col("score") >= min_score)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return pairs.withColumn("rank", rank - 1).where(F.col("rank") < k)
+    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k)
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], limit: int, k: int = 60) -> DataFrame:
@@ -87,3 +126,39 @@ def weighted_fusion(lists: list[DataFrame], weights: list[float], limit: int, sc
         parts.append(x.join(F.broadcast(stats)).select("id", (scaled * (w / total if total > 0 else w)).alias("part")))
     every = reduce(DataFrame.unionByName, parts)
     return ranked(every.groupBy("id").agg(F.round(F.sum("part"), 6).alias("score")), limit)
+
+
+def learned_fusion(lists: list[DataFrame], weights: list[float], limit: int) -> DataFrame:
+    """Fused by a weighted sum of features: of each list 1 / (rank + 1), score and share of the list behind it; of each two, product, difference and greater of their scores."""
+    every = None
+    for i, x in enumerate(lists):
+        size = x.agg(F.count(F.lit(1)).alias(f"size{i}"))
+        own = x.join(F.broadcast(size)).select("id", (1 / (F.col("rank") + 1)).alias(f"r{i}"), F.col("score").alias(f"s{i}"), ((F.col(f"size{i}") - F.col("rank")) / F.col(f"size{i}")).alias(f"p{i}"))  # size is one row
+        every = own if every is None else every.join(own, "id", "full_outer")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    features = [zero(f"{c}{i}") for i in range(len(lists)) for c in "rsp"]
+    for i in range(len(lists)):
+        for j in range(i + 1, len(lists)):
+            a, b = zero(f"s{i}"), zero(f"s{j}")
+            features += [a * b, F.abs(a - b), F.greatest(a, b)]
+    score = reduce(lambda x, y: x + y, [f * float(w) for f, w in zip(features, weights, strict=False)])
+    return ranked(every.select("id", F.round(score, 6).alias("score")), limit)
+
+
+def combined(semantic: DataFrame, keyword: DataFrame, limit: int, share: float = 0.7) -> DataFrame:
+    """share of the semantic score and the rest of the keyword score, over documents that either has."""
+    x = semantic.select("id", F.col("score").alias("a")).join(keyword.select("id", F.col("score").alias("b")), "id", "full_outer")
+    return ranked(x.select("id", F.round(share * F.coalesce("a", F.lit(0.0)) + (1 - share) * F.coalesce("b", F.lit(0.0)), 6).alias("score")), limit)
+
+
+def boosted(found: DataFrame, as_of: str, semantic: float, metadata: float, recency: float, quality: float) -> DataFrame:
+    """Scores with what metadata, age and length add, 1 at most; found: id, score, meta (map), created_at, text."""
+    age = F.datediff(F.lit(as_of).cast("timestamp"), F.col("created_at"))
+    n = F.octet_length("text")
+    parts = F.col("score") * semantic + F.when(F.size("meta") > 0, 0.1 * metadata).otherwise(0.0) + F.coalesce(F.exp(-age / 30.0) * recency, F.lit(0.0)) + F.when((n > 100) & (n < 2000), 0.05 * quality).otherwise(0.0)
+    return found.select("id", F.round(F.least(parts, F.lit(1.0)), 6).alias("score"))
+
+
+def matching(rows: DataFrame, filters: dict[str, str], meta: str = "meta") -> DataFrame:
+    """Rows whose metadata has every key with just that value; a missing key rejects."""
+    return rows.where(reduce(lambda x, y: x & y, [F.coalesce(F.col(meta)[k] == v, F.lit(False)) for k, v in filters.items()], F.lit(True)))

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import words
 
 # Abbreviations and what they stand for, in the order they are replaced.
-ABBREVIATIONS = (("ML", "machine learning"), ("AI", "artificial intelligence"), ("NLP", "natural language processing"), ("API", "application programming interface"))
+ABBREVIATIONS = (
+    ("ML", "machine learning"), ("AI", "artificial intelligence"), ("NLP", "natural language processing"), ("API", "application programming interface"), ("UI", "user interface"), ("UX", "user experience"),
+)
 # Spellings put right as whole words.
 SPELLINGS = (("teh", "the"), ("adn", "and"), ("wat", "what"))
 WH_WORDS = ("what", "how", "why", "when", "where", "who", "which")
@@ -33,11 +35,17 @@ def complexity(q: Column) -> Column:
     )
 
 
+def spelled(q: Column) -> Column:
+    """The first of SPELLINGS that the query has, put right."""
+    out = F.when(F.lit(False), q)
+    for wrong, right in SPELLINGS:
+        out = out.when(q.rlike(f"\\b{wrong}\\b"), F.regexp_replace(q, f"\\b{wrong}\\b", right))
+    return out.otherwise(q)
+
+
 def rewritten(q: Column) -> Column:
     """Spelling, marks and spaces put right, abbreviations spelled out, a capital ahead."""
-    out = q
-    for wrong, right in SPELLINGS:
-        out = F.regexp_replace(out, f"\\b{wrong}\\b", right)
+    out = spelled(q)
     for short, long in ABBREVIATIONS:
         out = F.replace(out, F.lit(short), F.lit(long))
     out = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "!+", "!"), "\\?+", "?"), " +", " "))
@@ -58,3 +66,109 @@ def parts(queries: DataFrame, id_columns: list[str], text: str = "text", most: i
     """Sub-queries of a query at its connectors, in order, `most` at most: the operator's own bound."""
     cut = F.slice(F.filter(F.transform(F.split(F.lower(F.col(text)), "|".join(CONNECTORS)), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
     return queries.select(*id_columns, F.posexplode(cut).alias("part", "sub_query")).select(*id_columns, F.col("part").cast("long").alias("part"), F.md5("sub_query").alias("sub_query"))
+
+
+# Intents with their keywords (within a word), phrases and confidence, in order.
+INTENTS = (
+    ("definitional", ("define", "definition", "meaning"), ("what is", "what does", "define"), 0.9),
+    ("procedural", ("how", "step", "tutorial", "guide"), ("how to", "step by step", "how do i"), 0.9),
+    ("comparative", ("compare", "difference", "better", "versus"), ("vs", "compared to", "difference between"), 0.8),
+    ("troubleshooting", ("problem", "error", "fix", "issue", "broken"), ("not working", "how to fix", "troubleshoot"), 0.8),
+    ("factual", ("when", "where", "who", "which"), ("when did", "where is", "who created"), 0.7),
+)
+# Domains with their words, in order.
+DOMAINS = (
+    ("technology", ("code", "programming", "software", "api", "database", "algorithm", "computer")), ("science", ("research", "study", "experiment", "theory", "analysis", "data", "scientific")),
+    ("business", ("market", "sales", "revenue", "customer", "profit", "strategy", "management")), ("health", ("medical", "health", "disease", "treatment", "doctor", "medicine", "patient")),
+    ("education", ("learn", "study", "school", "university", "course", "education", "teach")),
+)
+# Words by which a query leans on what was said before.
+CONTEXT_WORDS = ("this", "that", "it", "they", "them", "previous", "above", "following", "these", "those")
+# Technical terms that queries name.
+TECH_TERMS = ("api", "sql", "json", "html", "css", "javascript", "python", "rust", "docker")
+# Synonyms, the first three of which a query is widened by.
+SYNONYMS = (
+    ("fast", ("quick", "rapid", "speedy")), ("big", ("large", "huge", "massive")), ("small", ("tiny", "little", "compact")), ("good", ("excellent", "great", "quality")), ("bad", ("poor", "terrible", "awful")),
+    ("simple", ("easy", "basic", "straightforward")), ("difficult", ("hard", "challenging", "complex")), ("method", ("approach", "technique", "way")), ("create", ("build", "make", "develop")), ("use", ("utilize", "employ", "apply")),
+)
+
+
+def _any(tokens: Column, part: str) -> Column:
+    return F.exists(tokens, lambda t: F.contains(t, F.lit(part)))
+
+
+def intent_scores(q: Column) -> Column:
+    """Intents and their scores: a point for each keyword and two for each phrase, by their number, times the confidence."""
+    low = F.lower(q)
+    tokens = words(low)
+    out = []
+    for name, keys, phrases, confidence in INTENTS:
+        points = sum((_any(tokens, k).cast("int") for k in keys), F.lit(0)) + sum((2 * F.contains(low, F.lit(p)).cast("int") for p in phrases), F.lit(0))
+        out.append(F.struct((points / (len(keys) + len(phrases)) * confidence).alias("score"), F.lit(-len(out)).alias("place"), F.lit(name).alias("name")))
+    return F.array(*out)
+
+
+def domain(q: Column) -> Column:
+    """The first domain with two words in the query, or one in a query of five words at most; null without."""
+    tokens = words(F.lower(q))
+    out = F.when(F.lit(False), "")
+    for name, keys in DOMAINS:
+        n = sum((_any(tokens, k).cast("int") for k in keys), F.lit(0))
+        out = out.when((n >= 2) | ((n == 1) & (F.size(tokens) <= 5)), name)
+    return out
+
+
+def needs_context(q: Column) -> Column:
+    tokens = words(F.lower(q))
+    return F.arrays_overlap(tokens, F.array(*map(F.lit, CONTEXT_WORDS))) | (F.size(tokens) <= 2)
+
+
+def is_vague(q: Column) -> Column:
+    low = F.lower(q)
+    return low.rlike(r"^(what|how|why|when|where)\s+is\s+\w+\?*$") | low.rlike(r"^(tell me about|about|info on)\s+\w+\?*$") | low.rlike(r"^\w{1,3}\?*$")
+
+
+def clarified(q: Column) -> Column:
+    """A plainer question for what starts in a known way; null for others."""
+    low = F.lower(q)
+    bare = F.regexp_replace(q, r"\?+$", "")
+    return F.when(F.startswith(low, F.lit("what is")), F.concat(bare, F.lit(" and how does it work?"))).when(F.startswith(low, F.lit("how")), F.concat(bare, F.lit(" step by step"))).when(F.startswith(low, F.lit("tell me about")), F.replace(low, F.lit("tell me about"), F.lit("explain the concept of")))
+
+
+def classified(queries: DataFrame, id_columns: list[str], text: str = "text") -> DataFrame:
+    """Intent and its score, domain, technical terms, and whether a query leans on others or is vague."""
+    q = F.col(text)
+    best = F.array_max(intent_scores(q))
+    tech = F.filter(words(F.lower(q)), lambda t: t.isin(*TECH_TERMS))
+    return queries.select(
+        *id_columns, F.when(best["score"] > 0, best["name"]).alias("intent"), F.round(best["score"], 6).alias("intent_score"), domain(q).alias("domain"), F.array_join(tech, " ").alias("entities"),
+        needs_context(q).alias("needs_context"), is_vague(q).alias("vague"), F.md5(clarified(q)).alias("clarified"),
+    )
+
+
+def characteristics(queries: DataFrame, id_columns: list[str], text: str = "text", base: float = 0.6) -> DataFrame:
+    """Words, marks of a question, of names and of technical terms, complexity, and the weight that vector search gets."""
+    q = F.col(text)
+    tokens = words(q)
+    x = queries.select(
+        *id_columns, F.size(tokens).alias("n"), (F.contains(q, F.lit("?")) | q.rlike("^(what|how|why|when|where|who)")).alias("question"), F.exists(tokens, lambda t: t.rlike("^\\p{Lu}")).alias("names"),
+        F.exists(tokens, lambda t: F.lower(t).isin("algorithm", "function", "method", "system", "protocol", "framework")).alias("technical"),
+    )
+    complexity = F.least(F.col("n") / 10, F.lit(1.0))
+    weight = base + F.when(F.col("question"), 0.1).otherwise(0.0) - F.when(F.col("names"), 0.1).otherwise(0.0) - F.when(F.col("technical"), 0.05).otherwise(0.0) + 0.1 * complexity
+    return x.select(*id_columns, "n", "question", "names", "technical", F.round(complexity, 6).alias("complexity"), F.round(F.least(F.greatest(weight, F.lit(0.0)), F.lit(1.0)), 6).alias("weight"))
+
+
+def expanded(queries: DataFrame, dictionary: DataFrame, id_columns: list[str], text: str = "text", most: int = 3) -> DataFrame:
+    """(ids, term, added) for the words of queries that a dictionary (term, place, added) widens, but what the query has already."""
+    x = queries.select(*id_columns, F.filter(F.transform(words(F.lower(F.col(text))), lambda t: F.regexp_replace(t, "^[^a-z0-9]+|[^a-z0-9]+$", "")), lambda t: F.octet_length(t) > 2).alias("t"))
+    each = x.select(*id_columns, "t", F.explode(F.array_distinct("t")).alias("term")).join(F.broadcast(dictionary.where(F.col("place") < most)), "term")  # a list of literals
+    return each.where(~F.array_contains("t", F.col("added"))).select(*id_columns, "term", "added")
+
+
+def topics(queries: DataFrame, id_columns: list[str], text: str = "text") -> DataFrame:
+    """A question for each capitalised word of three bytes or more but the last, where a query has more than one."""
+    w = words(F.col(text))
+    found = F.array_sort(F.array_distinct(F.filter(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda t: t.rlike("^\\p{Lu}") & (F.octet_length(t) > 2))))
+    x = queries.select(*id_columns, found.alias("t")).where(F.size("t") > 1)
+    return x.select(*id_columns, F.posexplode("t").alias("place", "topic")).select(*id_columns, F.col("place").cast("long").alias("place"), F.concat(F.lit("What is "), "topic", F.lit("?")).alias("question"))

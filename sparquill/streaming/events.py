@@ -28,3 +28,9 @@ def token_stream(texts: DataFrame) -> DataFrame:
     w = F.filter(F.split("text", "\\s+"), lambda x: x != "")
     tokens = F.concat(F.transform(w, lambda x: F.concat(x, F.lit(" "))), F.array(F.lit("")))
     return texts.select("doc_id", F.posexplode(tokens).alias("position", "token"))
+
+
+def collected(tokens: DataFrame) -> DataFrame:
+    """(doc_id, tokens, words, message): each text's tokens folded into one message, the last empty marker not counted as a word."""
+    g = tokens.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"), F.sum((F.col("token") != "").cast("long")).alias("words"), F.array_sort(F.collect_list(F.struct("position", "token"))).alias("t"))
+    return g.select("doc_id", "tokens", "words", F.md5(F.array_join(F.transform("t", lambda x: x["token"]), "")).alias("message"))
