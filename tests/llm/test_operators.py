@@ -318,8 +318,39 @@ def test_personal_data(docs, empty):
 
 
 def test_licenses(spark, empty):
-    docs = spark.createDataFrame([(1, "x\nThis work is licensed under the GNU General Public License, version 3.\ny"), (2, "Released under the MIT License"), (3, "nothing here"), (4, None), (5, "")], "doc_id long, text string")
-    assert {(r.doc_id, r.license, r.n_matches) for r in licenses.scan_licenses(docs).collect()} == {(1, "GPL-3.0", 2), (2, "MIT", 1), (3, None, 0), (4, None, 0), (5, None, 0)}
+    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and "granted" in t)
+    filler = "the ship sailed north and the crew kept a log of each day. " * 40
+    texts = [
+        "x\nThis work is licensed under the GNU General Public License, version 3.\ny",
+        "Released under the MIT License",
+        "nothing here",
+        None,
+        "",
+        "word",
+        filler + mit.replace(". ", ".\n# ") + filler,  # wrapped otherwise, in the middle of a text
+        f"A tool of our own. Released under the MIT License. {filler}",  # inside a line
+        filler + "// SPDX-License-Identifier: Apache-2.0\n" + filler,
+        filler + mit.replace("person", "party").replace("Software", "Package") + filler,
+        "All rights reserved. Licensed under CC BY 4.0.",
+        "é" * 5000 + " all rights reserved",
+    ]
+    docs = spark.createDataFrame([(n, t, "z") for n, t in enumerate(texts)], "doc_id long, text string, found string")
+    got = {r.doc_id: (r.license, r.dice, r.first_word, r.n_matches) for r in licenses.scan_licenses(docs).collect()}
+
+    def brute(text):
+        words, hits = licenses.words_of(text or ""), []
+        for t in licenses.templates():
+            last = max(len(words) - t["words"], 0)
+            for start in {*range(0, last + 1, t["step"]), last}:
+                h, g = set(licenses.bigrams_of(words[start : start + t["words"]])), set(t["grams"])
+                if 2.0 * len(h & g) / (len(h) + len(g)) >= licenses.THRESHOLD:
+                    hits.append((-2.0 * len(h & g) / (len(h) + len(g)), t["name"], start))
+        return (min(hits)[1], round(-min(hits)[0], 6), min(hits)[2], len({n for _, n, _ in hits})) if hits else (None, 0.0, None, 0)
+
+    assert got == {n: brute(t) for n, t in enumerate(texts)}
+    assert [got[n][0] for n in range(len(texts))] == ["GPL-3.0", "MIT", None, None, None, None, "MIT", "MIT", "Apache-2.0", got[9][0], "CC-BY-4.0", "Proprietary"]
+    twice = docs.where("doc_id = 1").union(docs.where("doc_id = 1")).withColumn("doc_id", F.lit(None).cast("long"))
+    assert [(r.doc_id, r.license) for r in licenses.scan_licenses(twice).collect()] == [(None, "MIT")] * 2
     assert licenses.scan_licenses(empty).count() == 0
 
 
