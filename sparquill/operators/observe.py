@@ -7,12 +7,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.rounds import settled
 
-def nearest_rank(values: Column, share: float, rule: str) -> Column:
-    """Of sorted values, the one at round(p (n-1)), floor(n p) or the whole part of n p, never interpolated."""
-    n = F.size(values)
-    place = {"round": F.round(share * (n - 1)), "floor": F.floor(n * share), "clipped": F.least(F.floor(n * share), n - 1)}[rule].cast("int")
-    return F.coalesce(F.get(values, place), F.lit(0.0))
+
+FEW_VALUES = 1_000_000  # different values of a group that one task may sort
+FEW_GROUPS = 100_000  # groups, a row of places each, that may be broadcast
+
+
+def at_places(events: DataFrame, places: dict[str, Column], by: str = "event_type", value: str = "value", few: int = FEW_VALUES, parts: int = 200) -> DataFrame:
+    """(by, one column for each name): the values at these places (from 0, of `n` sorted ones), null where there is none.
+
+    Values are counted first, so that repeats move as one row. A group of more
+    than `few` different values is cut into parts at approximate quantiles, the
+    numbers of rows a part say which parts hold the places, and only those are
+    sorted, each by itself: exact either way, and no task sorts a large group.
+    """
+    counts = events.groupBy(by, F.col(value).alias("v")).agg(F.count(value).alias("c"))
+    most, groups = counts.groupBy(by).agg(F.count(F.lit(1)).alias("d")).agg(F.max("d"), F.count(F.lit(1))).first()
+    hint = F.broadcast if groups <= FEW_GROUPS else (lambda d: d)
+    if (most or 0) <= few:
+        w = Window.partitionBy(by)
+        x = counts.select(by, "v", "c", F.sum("c").over(w.orderBy("v")).alias("last"), F.sum("c").over(w).alias("n"))
+        here = lambda p: (p >= F.col("last") - F.col("c")) & (p < F.col("last"))
+        return hint(x.groupBy(by).agg(*(F.max(F.when(here(p), F.col("v"))).alias(k) for k, p in places.items())))
+    same = lambda d: d.withColumnRenamed(by, "g")
+    cuts = settled(counts.groupBy(by).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10_000).alias("cuts"), F.sum("c").alias("n")))
+    x = counts.join(hint(same(cuts)), F.col(by).eqNullSafe(F.col("g"))).withColumn("part", F.size(F.filter("cuts", lambda e: e < F.col("v")))).select(by, "v", "c", "n", "part")
+    sizes = x.groupBy(by, "part").agg(F.sum("c").alias("size"), F.max("n").alias("n"))
+    ahead = F.sum("size").over(Window.partitionBy(by).orderBy("part")) - F.col("size")  # `parts` rows a group at most
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), p.cast("long").alias("place")) for k, p in places.items())))
+    at = sizes.withColumn("ahead", ahead).select(by, "part", "size", "ahead", wanted.alias("w")).where("w.place >= ahead and w.place < ahead + size")
+    holds = at.groupBy(by, "part").agg(F.max("ahead").alias("ahead"), F.collect_list("w").alias("w"))  # as many as there are places
+    hit = x.join(hint(same(holds).withColumnRenamed("part", "p")), F.col(by).eqNullSafe(F.col("g")) & (F.col("part") == F.col("p")))
+    last = F.col("ahead") + F.sum("c").over(Window.partitionBy(by, "part").orderBy("v"))
+    hit = hit.withColumn("last", last).select(by, "v", F.explode(F.filter("w", lambda w: (w["place"] >= F.col("last") - F.col("c")) & (w["place"] < F.col("last")))).alias("w"))
+    found = hit.groupBy(by).agg(*(F.max(F.when(F.col("w.name") == k, F.col("v"))).alias(k) for k in places))
+    return hint(settled(cuts.select(F.col(by).alias("g")).join(found, F.col("g").eqNullSafe(F.col(by)), "left").select(F.col("g").alias(by), *places)))
+
+
+def _discrete(share: float) -> Column:
+    """Place of the first of n sorted values by which this share of them is reached."""
+    return F.greatest(F.ceil(F.lit(share) * F.col("n")) - 1, F.lit(0))
+
+
+def _with(left: DataFrame, right: DataFrame, by: str = "event_type") -> DataFrame:
+    """left and right side by side, a null group meeting its like."""
+    return left.join(right.withColumnRenamed(by, "g"), F.col(by).eqNullSafe(F.col("g"))).drop("g")
 
 
 def histogram(events: DataFrame, bounds: Sequence[float]) -> DataFrame:
@@ -22,16 +62,9 @@ def histogram(events: DataFrame, bounds: Sequence[float]) -> DataFrame:
 
 
 def profile(events: DataFrame) -> DataFrame:
-    """count, mean, population deviation, least, greatest and exact percentiles by event type.
-
-    Percentiles come from percentile(): a map of distinct values, combined before
-    the shuffle, not from a list of all of a type's values.
-    """
-    p = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)")
-    return events.groupBy("event_type").agg(
-        F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"),
-        p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"),
-    )
+    """count, mean, population deviation, least, greatest and exact percentiles by event type."""
+    sums = events.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("sd"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return _with(sums, at_places(events, {"p50": _discrete(0.5), "p95": _discrete(0.95), "p99": _discrete(0.99)}))
 
 
 def bottlenecks(events: DataFrame, threshold: float) -> DataFrame:
@@ -56,9 +89,7 @@ def daily_trend(events: DataFrame) -> DataFrame:
 
 def outliers(events: DataFrame) -> DataFrame:
     """Events beyond 1.5 interquartile ranges of their type's quartiles, taken from exact discrete percentiles."""
-    q = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    fences = events.groupBy("event_type").agg(q(0.25).alias("q1"), q(0.75).alias("q3"))
-    x = events.join(F.broadcast(fences) if fences.count() <= 100_000 else fences, "event_type")
+    x = _with(events, at_places(events, {"q1": _discrete(0.25), "q3": _discrete(0.75)}))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return x.where((F.col("value") < F.col("q1") - reach) | (F.col("value") > F.col("q3") + reach)).select("event_id", "event_type", "value")
 
@@ -85,10 +116,9 @@ def search_events(events: DataFrame, kind: str, at_least: float, key: str, key_a
 def summary(events: DataFrame) -> DataFrame:
     """count, mean, median, population deviation and the 95 % interval of the mean by event type."""
     half = 1.96 * F.stddev_pop("value") / F.sqrt(F.count("value"))
-    return events.groupBy("event_type").agg(
-        F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.expr("percentile(value, 0.5)"), 6).alias("median"),
-        F.round(F.avg("value") - half, 6).alias("low"), F.round(F.avg("value") + half, 6).alias("high"),
-    )
+    sums = events.groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg("value") - half, 6).alias("low"), F.round(F.avg("value") + half, 6).alias("high"))
+    middle = at_places(events, {"m1": F.floor((F.col("n") - 1) / 2), "m2": F.floor(F.col("n") / 2)})
+    return _with(sums, middle).select("event_type", "n", "mean", F.round((F.col("m1") + F.col("m2")) / 2, 6).alias("median"), "low", "high")
 
 
 def forecast(events: DataFrame, days: int) -> DataFrame:
@@ -132,16 +162,14 @@ def latest_values(events: DataFrame) -> DataFrame:
 
 
 def ranked_percentiles(events: DataFrame, shares: tuple[float, ...], rule: str) -> DataFrame:
-    """Values at nearest ranks by type, from a rank of each row and the number of rows: nothing is gathered by type.
+    """Values at nearest ranks by type, never interpolated, 0 where there is no such place.
 
-    rule: "round" for round(p (n-1)), "floor" for floor(n p), 0 if there is no such row, "clipped" for the least of floor(n p) and n - 1.
+    rule: "round" for round(p (n-1)), "floor" for floor(n p), "clipped" for the least of floor(n p) and n - 1.
     """
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("value", "event_id")) - 1
-    sizes = events.groupBy("event_type").agg(F.count("value").alias("n"))
-    x = events.select("event_type", "value", place.alias("place")).join(F.broadcast(sizes) if sizes.count() <= 100_000 else sizes, "event_type")
     n = F.col("n")
     at = {"round": lambda p: F.round(p * (n - 1)), "floor": lambda p: F.floor(n * p), "clipped": lambda p: F.least(F.floor(n * p), n - 1)}[rule]
-    return x.groupBy("event_type").agg(*(F.coalesce(F.max(F.when(F.col("place") == at(p), F.col("value"))), F.lit(0.0)).alias(f"p{round(100 * p)}") for p in shares))
+    x = at_places(events, {f"p{round(100 * p)}": at(p) for p in shares})
+    return x.select("event_type", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in x.columns if c != "event_type"))
 
 
 def operations(events: DataFrame) -> DataFrame:

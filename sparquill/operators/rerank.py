@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import set_jaccard, words
+from ..plans.rounds import few_rows
 
 
 def document_quality(text: Column) -> Column:
@@ -28,15 +29,19 @@ def signals(candidates: DataFrame, query: str) -> DataFrame:
 
 
 def scaled(values: DataFrame, how: str) -> DataFrame:
-    """Each signal over all candidates: min-max, z-score with a sigmoid, or rank."""
-    w = Window.partitionBy("signal")
-    v, low, high, mean, sd = F.col("value"), F.min("value").over(w), F.max("value").over(w), F.avg("value").over(w), F.stddev_pop("value").over(w)
-    out = {
-        "min_max": F.when(high > low, (v - low) / (high - low)).otherwise(v),
-        "z_score": 1 / (1 + F.exp(-F.when(sd > 0, (v - mean) / sd).otherwise(F.lit(0.0)))),
-        "rank": 1 - (F.row_number().over(w.orderBy(F.desc("value"), "doc_id")) - 1) / F.count(F.lit(1)).over(w),
-    }[how]
-    return values.withColumn("value", out)
+    """Each signal over all candidates: min-max, z-score with a sigmoid, or rank.
+
+    The first two gather four numbers a signal; ranks sort a signal's values,
+    so they are meant for the candidates of a search.
+    """
+    v = F.col("value")
+    if how == "rank":
+        w = Window.partitionBy("signal")
+        return values.withColumn("value", 1 - (F.row_number().over(w.orderBy(F.desc("value"), "doc_id")) - 1) / F.count(F.lit(1)).over(w))
+    stats = values.groupBy("signal").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    low, high, mean, sd = map(F.col, ("low", "high", "mean", "sd"))
+    out = F.when(high > low, (v - low) / (high - low)).otherwise(v) if how == "min_max" else 1 / (1 + F.exp(-F.when(sd > 0, (v - mean) / sd).otherwise(F.lit(0.0))))
+    return values.join(few_rows(stats, 100_000), "signal").withColumn("value", out).select(*values.columns)
 
 
 def combined(values: DataFrame, weights: dict[str, float], how: str = "weighted_sum") -> DataFrame:

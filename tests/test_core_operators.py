@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import text as tx
 from sparquill.functions import vectors as vx
-from sparquill.operators import changes, evaluate, graph, memory, search
+from sparquill.operators import changes, evaluate, graph, memory, observe, search
 from sparquill.streaming import events as stream
 
 
@@ -84,3 +84,18 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert {(str(r.start), r.event_type, r.n) for r in spark.table("counts").collect()} == {(str(r.start), r.event_type, r.n) for r in batch.select("w.start", "event_type", "n").collect()}
     tokens = stream.token_stream(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).collect()
     assert [(r.position, r.token) for r in tokens] == [(0, "a "), (1, "b "), (2, "")]
+
+
+def test_places_of_a_large_group_are_exact(spark):
+    """Hot, tied and null groups, cut into parts and not, against a sort."""
+    rows = [("a", float(i * 37 % 1000 // 3)) for i in range(3000)] + [("a", 5.0)] * 900 + [("b", 1.5), ("c", None), (None, 2.0), (None, 4.0)]
+    events = spark.createDataFrame(rows, "event_type string, value double")
+    n = F.col("n")
+    places = {"first": F.lit(0), "middle": F.floor(n / 2), "last": n - 1, "beyond": n}
+    want = {}
+    for k in {k for k, _ in rows}:
+        v = sorted(x for g, x in rows if g == k and x is not None)
+        want[k] = (v[0], v[len(v) // 2], v[-1], None) if v else (None,) * 4
+    for few in (10, 1_000_000):
+        got = observe.at_places(events, places, few=few, parts=7).collect()
+        assert {r[0]: tuple(r)[1:] for r in got} == want
