@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import caches, changes, evaluate, graph, memory, observe, profile, rerank, search, understand
+from .operators import caches, changes, entities, evaluate, graph, memory, observe, profile, rerank, search, understand
 from .sources.files import html_text, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -455,9 +455,11 @@ def text_pairs(spark, d):
     return profile.pair_likeness(x, ["conv_id", "turn"])
 
 
-@query("WITH e AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}')) AS entity FROM documents" for k, p in profile.ENTITY_PATTERNS) + ") SELECT kind, entity, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM e GROUP BY 1, 2")
+# RE2 takes letters beyond ASCII for ends of words, so they become a sign that words hold
+@query("WITH t AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F\\p{Z}\\p{P}\\p{S}\\p{C}]', '_', 'g') AS text FROM documents), e AS (" + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {i} AS rule, unnest(regexp_extract_all(text, '{p}')) AS entity FROM t" for i, (k, p) in enumerate(entities.PATTERNS))
+       + ") SELECT kind, rule, regexp_replace(entity, '\\s+', ' ', 'g') AS entity, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM e GROUP BY ALL")
 def entity_mentions(spark, d):
-    return profile.entities(read_table(spark, d, "documents"))
+    return entities.mentions(read_table(spark, d, "documents"))
 
 
 @query(f"""WITH v AS (SELECT vec_id, {_VEC} AS v FROM embeddings), s AS (SELECT *, list_min(v) AS lo, (list_max(v) - list_min(v)) / 255 AS sc FROM v),
@@ -556,4 +558,4 @@ def semantic_cache_hits(spark, d):
 
 FLAGSHIP = bm25_search
 
-from . import catalog_more  # noqa: E402, F401  registers its queries
+from . import catalog_more, catalog_texts  # noqa: E402, F401  they register their queries

@@ -201,3 +201,9 @@ def text_search(nodes: DataFrame, query: str) -> DataFrame:
 def merge_nodes(mine: DataFrame, other: DataFrame) -> DataFrame:
     """Both sets of nodes by id; where both have one, mine stays."""
     return mine.unionByName(other.join(mine.select("id"), "id", "left_anti").select(*mine.columns))
+
+
+def kinds(nodes: DataFrame, edges: DataFrame, bytes_each: int = 1000) -> DataFrame:
+    """(item, kind, n, bytes): nodes and edges by kind, at a set size each."""
+    count = lambda x, item: x.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.lit(item).alias("item"), "kind", "n", (F.col("n") * bytes_each).alias("bytes"))
+    return count(nodes, "node").union(count(edges, "edge"))

@@ -25,3 +25,9 @@ def summaries(turns: DataFrame, keep: int) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     old = turns.withColumn("back", F.row_number().over(w)).where(F.col("back") > keep)
     return old.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor(F.octet_length("text") / 4)).cast("long").alias("tokens"), F.min("turn").alias("first"), F.max("turn").alias("last"))
+
+
+def overflowing(turns: DataFrame, most_messages: int, most_tokens: int) -> DataFrame:
+    """Conversations that are due for a summary: more messages or estimated tokens than these."""
+    x = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.floor(F.octet_length("text") / 4)).cast("long").alias("tokens"))
+    return x.where((F.col("messages") > most_messages) | (F.col("tokens") > most_tokens))

@@ -36,20 +36,6 @@ def pair_likeness(pairs: DataFrame, ids: list[str]) -> DataFrame:
     )
 
 
-# Patterns of entity kinds, with ASCII classes so that engines agree.
-ENTITY_PATTERNS = (("percentage", "[0-9]+(?:\\.[0-9]+)?%"), ("money", "\\$[0-9]+(?:,[0-9]{3})*(?:\\.[0-9]{2})?"), ("technical", "[A-Z]{3,}"), ("person", "[A-Z][a-z]+ [A-Z][a-z]+"), ("email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"))
-
-
-def entities(docs: DataFrame) -> DataFrame:
-    """(kind, entity, mentions, documents) over all texts."""
-
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("entity")))
-
-    found = F.concat(*(of(kind, pattern) for kind, pattern in ENTITY_PATTERNS))
-    return docs.select("doc_id", F.inline(found)).groupBy("kind", "entity").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("doc_id").alias("documents"))
-
-
 def quantised(vectors: DataFrame) -> DataFrame:
     """Greatest and mean error of 8-bit scalar quantisation of each vector."""
     v = doubles(F.col("embedding"))

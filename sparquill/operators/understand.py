@@ -172,3 +172,103 @@ def topics(queries: DataFrame, id_columns: list[str], text: str = "text") -> Dat
     found = F.array_sort(F.array_distinct(F.filter(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda t: t.rlike("^\\p{Lu}") & (F.octet_length(t) > 2))))
     x = queries.select(*id_columns, found.alias("t")).where(F.size("t") > 1)
     return x.select(*id_columns, F.posexplode("t").alias("place", "topic")).select(*id_columns, F.col("place").cast("long").alias("place"), F.concat(F.lit("What is "), "topic", F.lit("?")).alias("question"))
+
+
+# Words that are no subject, and words that are no noun.
+NO_SUBJECT = ("what", "when", "where", "how", "why", "who", "the", "and")
+NO_NOUN = ("the", "and", "or", "of", "in", "on", "at")
+# Words that carry no term, for answers made up beforehand.
+NO_TERM = (
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "have", "has", "had", "do", "does",
+    "did", "will", "would", "could", "should", "may", "might", "can", "what", "how", "why", "when", "where", "who", "which",
+)
+# Domains of answers with the parts of a query that name them, in order.
+ANSWER_DOMAINS = (
+    ("technology", ("code", "programming", "software", "api", "database", "algorithm", "computer", "tech")), ("science", ("research", "study", "experiment", "theory", "analysis", "scientific", "hypothesis")),
+    ("business", ("market", "sales", "revenue", "customer", "profit", "strategy", "management", "company")), ("health", ("medical", "health", "disease", "treatment", "doctor", "medicine", "patient", "healthcare")),
+    ("education", ("learn", "study", "school", "university", "course", "education", "teach", "academic")), ("finance", ("money", "investment", "financial", "bank", "trading", "economics", "cost", "price")),
+)
+
+
+def _bare(word: Column) -> Column:
+    """word without what is neither letter nor digit at its ends."""
+    return F.regexp_replace(word, "^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$", "")
+
+
+def subject(q: Column) -> Column:
+    """The first word of more than three bytes that may be a subject, or "this"."""
+    found = F.filter(words(q), lambda t: (F.octet_length(t) > 3) & ~F.lower(t).isin(*NO_SUBJECT))
+    return F.coalesce(_bare(F.get(found, F.lit(0))), F.lit("this"))
+
+
+def _noun(text: Column, last: bool) -> Column:
+    found = F.filter(words(text), lambda t: (F.octet_length(t) > 2) & ~F.lower(t).isin(*NO_NOUN))
+    return F.coalesce(F.get(F.reverse(found) if last else found, F.lit(0)), text)
+
+
+def compared(q: Column) -> Column:
+    """What a query compares: the nouns around " vs ", or the first two words after "compare"."""
+    low = F.lower(q)
+    at = F.instr(low, " vs ")
+    before, after = F.trim(F.substring(q, F.lit(1), at - 1)), F.trim(F.substring(q, at + 4, F.char_length(q)))
+    tokens = words(q)
+    place = F.array_position(F.transform(tokens, F.lower), "compare").cast("int")
+    rest = F.filter(F.slice(tokens, place + 1, F.size(tokens)), lambda t: (F.octet_length(t) > 2) & ~F.lower(t).isin("compare", "and", "with", "to"))
+    return F.when(at > 0, F.array(_noun(before, True), _noun(after, False))).when(place > 0, F.transform(F.slice(rest, 1, 2), _bare)).otherwise(F.array().cast("array<string>"))
+
+
+def answer_kind(q: Column) -> Column:
+    """What an answer to a question is like, by how the question starts."""
+    low = F.lower(q)
+    starts = lambda *heads: low.rlike("^(" + "|".join(heads) + ")")
+    return (
+        F.when(starts("what is", "define"), "definitional").when(starts("how"), "procedural").when(starts("when"), "temporal").when(starts("where"), "locational").when(starts("why"), "causal")
+        .when(low.rlike("compare|vs"), "comparative").otherwise("factual")
+    )
+
+
+def decomposed(queries: DataFrame, id_columns: list[str], text: str = "text") -> DataFrame:
+    """(ids, strategy, place, question, confidence, priority, answer): questions on time and on what a query compares."""
+    q = F.col(text)
+    x = queries.select(*id_columns, F.lower(q).alias("low"), subject(q).alias("s"), compared(q).alias("c"))
+    part = lambda strategy, question, confidence, priority: F.struct(F.lit(strategy).alias("strategy"), question.alias("question"), F.lit(confidence).alias("confidence"), F.lit(priority).alias("priority"))
+    ask = lambda cue, question: F.when(F.contains("low", F.lit(cue)), part("temporal", question, 0.7, 0.8))
+    times = F.filter(F.array(ask("when", F.format_string("When did %s happen?", "s")), ask("before", F.format_string("What happened before %s?", "s")), ask("after", F.format_string("What happened after %s?", "s"))), lambda e: e.isNotNull())
+    each = F.transform("c", lambda item: part("comparative", F.concat(F.lit("What are the features of "), item, F.lit("?")), 0.75, 0.8))
+    both = F.concat(each, F.array(part("comparative", F.concat(F.lit("Compare "), F.get("c", F.lit(0)), F.lit(" and "), F.get("c", F.lit(1))), 0.9, 1.0)))
+    found = F.concat(times, F.when(F.size("c") >= 2, both).otherwise(F.slice(both, 1, 0)))
+    return x.select(*id_columns, F.posexplode(found).alias("place", "e")).select(*id_columns, "e.strategy", F.col("place").cast("long").alias("place"), "e.question", "e.confidence", "e.priority", answer_kind(F.col("e.question")).alias("answer"))
+
+
+def key_terms(q: Column) -> Column:
+    """Words of three bytes or more that carry a term, bare."""
+    return F.filter(F.transform(words(q), _bare), lambda t: (F.octet_length(t) > 2) & ~F.lower(t).isin(*NO_TERM))
+
+
+def answer_type(q: Column) -> Column:
+    low = F.lower(q)
+    return (
+        F.when(low.rlike("^(what is|define)"), "definitional").when(low.rlike("^how to|step"), "procedural").when(low.rlike("compare|vs|difference"), "comparative").when(low.rlike("^(when|where|who)"), "factual")
+        .when(low.rlike("^why"), "causal").when(low.rlike("^list|examples"), "enumerative").otherwise("general")
+    )
+
+
+def answer_domain(q: Column) -> Column:
+    """The first domain with two of its parts in the query, or one in a query of five words at most; null without."""
+    low, out = F.lower(q), F.when(F.lit(False), "")
+    for name, keys in ANSWER_DOMAINS:
+        n = sum((F.contains(low, F.lit(k)).cast("int") for k in keys), F.lit(0))
+        out = out.when((n >= 2) | ((n == 1) & (F.size(words(low)) <= 5)), name)
+    return out
+
+
+def answer_confidence(pairs: DataFrame, id_columns: list[str], low: int = 50, high: int = 500) -> DataFrame:
+    """(ids, type, domain, subject, n_terms, confidence) of answers made up for queries: their length, the terms they take up, and a cue of the type. pairs: query, answer."""
+    q, a = F.col("query"), F.col("answer")
+    x = pairs.select(*id_columns, "answer", F.lower("answer").alias("la"), answer_type(q).alias("type"), answer_domain(q).alias("domain"), key_terms(q).alias("t"))
+    taken = F.size(F.filter("t", lambda t: F.contains("la", F.lower(t))))
+    has = lambda *cues: F.col("answer").rlike("|".join(cues))
+    cue = ((F.col("type") == "definitional") & has("is", "refers to")) | ((F.col("type") == "procedural") & has("step", "process")) | ((F.col("type") == "comparative") & has("compare", "difference"))
+    n = F.octet_length(a)
+    score = 0.5 + F.when(n.between(low, high), 0.1).otherwise(0.0) + F.coalesce(F.try_divide(taken.cast("double"), F.size("t")), F.lit(0.0)) * 0.3 + F.when(cue, 0.1).otherwise(0.0)
+    return x.select(*id_columns, "type", "domain", F.coalesce(F.get("t", F.lit(0)), F.lit("the topic")).alias("subject"), F.size("t").cast("long").alias("n_terms"), F.round(F.least(score, F.lit(1.0)), 6).alias("confidence"))

@@ -1,10 +1,12 @@
 """Small inputs with results worked out by hand."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from sparquill.functions import text as tx
 from sparquill.functions import vectors as vx
-from sparquill.operators import changes, evaluate, graph, memory, observe, search
+from sparquill.operators import changes, entities, evaluate, graph, memory, observe, search
+from sparquill.plans import steps
 from sparquill.streaming import events as stream
 
 
@@ -99,3 +101,24 @@ def test_places_of_a_large_group_are_exact(spark):
     for few in (10, 1_000_000):
         got = observe.at_places(events, places, few=few, parts=7).collect()
         assert {r[0]: tuple(r)[1:] for r in got} == want
+
+
+def test_entities_keep_the_fixed_patterns_and_long_runs_of_names(spark):
+    assert len(entities.PATTERNS) == 15 and len({k for k, _ in entities.PATTERNS}) == 7 and len(entities.CITIES.split("|")) == 108
+    text = "Dr. Ada Lovelace McCarthy met the  Big Red Foundation in Austin on 2024-05-06 and paid $1,200.50 for 5 percent of ACME SQL. Paris, TX."
+    docs = spark.createDataFrame([(1, text), (2, "Aa " * 200_000), (3, None), (4, "AB " * 100_000), (5, "100," * 100_000)], "doc_id long, text string")
+    found = {(r.kind, r.entity) for r in entities.mentions(docs.where("doc_id < 2 or doc_id = 3")).collect()}
+    assert {("person", "Dr. Ada Lovelace"), ("organization", "Ada Lovelace McCarthy met the Big Red Foundation"), ("location", "Austin"), ("location", "Paris, TX"), ("datetime", "2024-05-06"), ("money", "$1,200.50"), ("percentage", "5 percent"), ("technical", "ACME SQL"), ("technical", "SQL")} <= found
+    long = {(r.kind, r.rule, len(r.entity)): r.mentions for r in entities.mentions(docs.where("doc_id in (2, 4, 5)")).collect()}
+    assert long[("person", 0, 5)] == 100_000 and long[("technical", 13, 299_999)] == 1
+
+
+def test_steps_say_what_they_lack(spark):
+    df = spark.createDataFrame([(1, "A  b")], "doc_id long, text string")
+    bad = steps.Step("bad", lambda d: d.select("none"))
+    out, log = steps.run_steps(df, [bad, steps.Step("needy", lambda d: d, ("other",)), *steps.ingestion(F.length)], go_on=True)
+    assert [x[1] == "done" for x in log] == [False, False, True, True, True] and out.first()["chunk"] == "a b"
+    with pytest.raises(ValueError):
+        steps.run_steps(df, [steps.Step("needy", lambda d: d, ("other",))])
+    calls = spark.createDataFrame([("add", 1.0, 2.0), ("divide", 1.0, 0.0), (None, 1.0, 1.0)], "tool string, a double, b double")
+    assert [(r["result"], r["error"]) for r in steps.CALCULATOR.call(calls).collect()] == [(3.0, None), (None, "no result"), (None, "unknown tool")]
