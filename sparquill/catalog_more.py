@@ -323,10 +323,10 @@ def query_expansion(spark, d):
     return understand.expanded(docs, spark.createDataFrame(rows, "term string, place int, added string"), ["doc_id"])
 
 
-@query(f"""WITH x AS (SELECT doc_id, {_WORDS.format('left(text, 300)')} AS w FROM documents), t AS (SELECT doc_id, list_sort(list_distinct(list_filter(w[:len(w) - 1], lambda t: regexp_matches(t, '^\\p{{Lu}}') AND strlen(t) > 2))) AS t FROM x)
-SELECT doc_id, i AS place, 'What is ' || t[i + 1] || '?' AS question FROM t, range(200) r(i) WHERE len(t) > 1 AND i < len(t)""")
+@query(f"""WITH x AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), t AS (SELECT doc_id, list_sort(list_distinct(list_filter(w[:len(w) - 1], lambda t: regexp_matches(t, '^\\p{{Lu}}') AND strlen(t) > 2))) AS t FROM x)
+SELECT doc_id, i AS place, 'What is ' || t[i + 1] || '?' AS question FROM (SELECT doc_id, t, unnest(range(0, len(t))) AS i FROM t WHERE len(t) > 1)""")
 def query_topics(spark, d):
-    return understand.topics(read_table(spark, d, "documents").select("doc_id", F.substring("text", 1, 300).alias("text")), ["doc_id"])  # the heads of documents serve as queries
+    return understand.topics(read_table(spark, d, "documents"), ["doc_id"])  # documents serve as queries
 
 
 # graphs
@@ -605,9 +605,9 @@ def vector_stand_ins(spark, d):
 # tokens of streams
 
 
-@query(f"""WITH x AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents WHERE doc_id % 2 = 0), t AS (SELECT doc_id, i AS position, CASE WHEN i < len(w) THEN w[i + 1] || ' ' ELSE '' END AS token FROM x, range(30000) r(i) WHERE i <= len(w))
+@query(f"""WITH x AS (SELECT doc_id, {_WORDS.format('text')} AS w FROM documents), i AS (SELECT doc_id, w, unnest(range(0, len(w) + 1)) AS i FROM x), t AS (SELECT doc_id, i AS position, CASE WHEN i < len(w) THEN w[i + 1] || ' ' ELSE '' END AS token FROM i)
 SELECT doc_id, count(*) AS tokens, count(*) FILTER (token <> '') AS words, md5(string_agg(token, '' ORDER BY position)) AS message FROM t GROUP BY 1""")
 def stream_messages(spark, d):
     from .streaming.events import collected, token_stream
 
-    return collected(token_stream(read_table(spark, d, "documents").where("doc_id % 2 = 0")))
+    return collected(token_stream(read_table(spark, d, "documents")))

@@ -20,7 +20,7 @@ _BARE = "regexp_replace({0}, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '',
 _NOUNS = "list_filter(" + _WORDS + ", lambda t: strlen(t) > 2 AND lower(t) NOT IN ('the', 'and', 'or', 'of', 'in', 'on', 'at'))"
 
 
-@query(f"""WITH x AS (SELECT doc_id, left(text, 200) || {_ASK} AS q FROM documents), y AS (SELECT doc_id, q, lower(q) AS low, instr(lower(q), ' vs ') AS vs, {_WORDS.format('q')} AS w FROM x),
+@query(f"""WITH x AS (SELECT doc_id, text || {_ASK} AS q FROM documents), y AS (SELECT doc_id, q, lower(q) AS low, instr(lower(q), ' vs ') AS vs, {_WORDS.format('q')} AS w FROM x),
 z AS (SELECT *, coalesce({_BARE.format("list_filter(w, lambda t: strlen(t) > 3 AND lower(t) NOT IN ('what', 'when', 'where', 'how', 'why', 'who', 'the', 'and'))[1]")}, 'this') AS s, coalesce(list_position(list_transform(w, lambda t: lower(t)), 'compare'), 0) AS p, trim(left(q, vs - 1)) AS a, trim(substr(q, vs + 4)) AS b FROM y),
 c AS (SELECT *, CASE WHEN vs > 0 THEN [coalesce({_NOUNS.format('a')}[-1], a), coalesce({_NOUNS.format('b')}[1], b)] WHEN p > 0 THEN list_transform(list_filter(w[p + 1 :], lambda t: strlen(t) > 2 AND lower(t) NOT IN ('compare', 'and', 'with', 'to'))[1:2], lambda t: {_BARE.format('t')}) ELSE [] END AS items FROM z),
 o AS (SELECT doc_id, 0 AS k, 'temporal' AS strategy, 'When did ' || s || ' happen?' AS question, 0.7 AS confidence, 0.8 AS priority FROM c WHERE contains(low, 'when') UNION ALL SELECT doc_id, 1, 'temporal', 'What happened before ' || s || '?', 0.7, 0.8 FROM c WHERE contains(low, 'before')
@@ -30,7 +30,7 @@ SELECT doc_id, strategy, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1
 WHEN starts_with(lower(question), 'when') THEN 'temporal' WHEN starts_with(lower(question), 'where') THEN 'locational' WHEN starts_with(lower(question), 'why') THEN 'causal' WHEN contains(lower(question), 'compare') OR contains(lower(question), 'vs') THEN 'comparative' ELSE 'factual' END AS answer FROM o""")
 def query_decomposition(spark, d):
     tail = F.element_at(F.array(*map(F.lit, _TAILS)), (F.col("doc_id") % 4 + 1).cast("int"))
-    return understand.decomposed(read_table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 200), tail).alias("text")), ["doc_id"])  # the heads of documents serve as queries
+    return understand.decomposed(read_table(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("text")), ["doc_id"])  # documents serve as queries
 
 
 _HEADS = ("What is ", "How to build ", "Compare the cost and the price of ", "")
@@ -39,7 +39,7 @@ _NO_TERM = "('the', 'a', 'an', 'and', 'or', 'but', 'in', 'on', 'at', 'to', 'for'
 _DOMAIN = "CASE " + " ".join(f"WHEN {n} >= 2 OR ({n} = 1 AND len({_WORDS.format('low')}) <= 5) THEN '{name}'" for name, keys in understand.ANSWER_DOMAINS for n in ["(" + " + ".join(f"contains(low, '{k}')::INT" for k in keys) + ")"]) + " END"
 
 
-@query(f"""WITH x AS (SELECT conv_id, turn, {_HEAD} || left(text, 60) AS q, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations), y AS (SELECT *, lower(q) AS low, lower(a) AS la, list_filter(list_transform({_WORDS.format('q')}, lambda t: {_BARE.format('t')}), lambda t: strlen(t) > 2 AND lower(t) NOT IN {_NO_TERM}) AS t FROM x WHERE a IS NOT NULL),
+@query(f"""WITH x AS (SELECT conv_id, turn, {_HEAD} || text AS q, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS a FROM conversations), y AS (SELECT *, lower(q) AS low, lower(a) AS la, list_filter(list_transform({_WORDS.format('q')}, lambda t: {_BARE.format('t')}), lambda t: strlen(t) > 2 AND lower(t) NOT IN {_NO_TERM}) AS t FROM x WHERE a IS NOT NULL),
 z AS (SELECT *, CASE WHEN starts_with(low, 'what is') OR starts_with(low, 'define') THEN 'definitional' WHEN starts_with(low, 'how to') OR contains(low, 'step') THEN 'procedural' WHEN contains(low, 'compare') OR contains(low, 'vs') OR contains(low, 'difference') THEN 'comparative' WHEN starts_with(low, 'when') OR starts_with(low, 'where') OR starts_with(low, 'who') THEN 'factual'
 WHEN starts_with(low, 'why') THEN 'causal' WHEN starts_with(low, 'list') OR contains(low, 'examples') THEN 'enumerative' ELSE 'general' END AS type FROM y)
 SELECT conv_id, turn, type, {_DOMAIN} AS domain, coalesce(t[1], 'the topic') AS subject, len(t) AS n_terms, round(least(1.0::DOUBLE, 0.5::DOUBLE + CASE WHEN strlen(a) BETWEEN 50 AND 500 THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN len(t) > 0 THEN len(list_filter(t, lambda v: contains(la, lower(v))))::DOUBLE / len(t) ELSE 0 END * 0.3::DOUBLE
@@ -47,7 +47,7 @@ SELECT conv_id, turn, type, {_DOMAIN} AS domain, coalesce(t[1], 'the topic') AS
 def answer_profiles(spark, d):
     head = F.element_at(F.array(*map(F.lit, _HEADS)), (F.col("turn") % 4 + 1).cast("int"))
     after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    x = read_table(spark, d, "conversations").select("conv_id", "turn", F.concat(head, F.substring("text", 1, 60)).alias("query"), after.alias("answer"))  # turns stand in for what a model would make up
+    x = read_table(spark, d, "conversations").select("conv_id", "turn", F.concat(head, "text").alias("query"), after.alias("answer"))  # turns stand in for what a model would make up
     return understand.answer_confidence(x.where("answer IS NOT NULL"), ["conv_id", "turn"])
 
 
