@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import _EDGES, _VEC, _WORDS, _events, _graph, query  # noqa: PLC2701
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import graph, memory, report, understand
+from .operators import caches, graph, memory, report, understand
 from .plans import steps
 from .sources.files import read_table
 
@@ -141,3 +141,17 @@ def vectors_resized(spark, d):
     v = vx.doubles(F.col("embedding"))
     x = read_table(spark, d, "embeddings").select("vec_id", vx.joined([vx.unit(v)], 16).alias("a"), vx.joined([vx.unit(v)], 100).alias("b"))
     return x.select("vec_id", F.round(vx.dot(F.col("a"), F.col("a")), 6).alias("kept"), F.size("a").cast("long").alias("short"), F.size("b").cast("long").alias("long"))
+
+
+# caches
+
+
+_CELL = "('0x' || substr(md5(user_id::VARCHAR || ':' || i), 1, 8))::BIGINT % 256"
+
+
+@query(f"""WITH s AS (SELECT i, {_CELL} AS cell, count(*) AS n FROM events, range(4) r(i) WHERE user_id IS NOT NULL GROUP BY 1, 2), k AS (SELECT user_id, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1)
+SELECT user_id, min(s.n) AS estimate, any_value(k.n) AS n FROM (SELECT user_id, n, i, {_CELL} AS cell FROM k, range(4) r(i)) k JOIN s USING (i, cell) GROUP BY 1""")
+def cache_sketch(spark, d):
+    x = _events(spark, d)
+    counts = x.where("user_id IS NOT NULL").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return caches.estimates(counts, "user_id", caches.frequency_sketch(x, "user_id")).join(counts, "user_id").select("user_id", "estimate", "n")

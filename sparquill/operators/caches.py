@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -92,3 +92,22 @@ def compression(vectors: DataFrame) -> DataFrame:
     n = F.size("embedding").cast("long")
     x = vectors.agg(F.count(F.lit(1)).alias("n"), F.sum(4 * n).alias("plain"), F.sum(n + 8).alias("packed"))
     return x.select("n", "plain", "packed", F.round(F.col("plain") / F.col("packed"), 6).alias("ratio"))
+
+
+def _cells(key: Column, depth: int, width: int) -> Column:
+    """A cell in each row of the sketch, from the first 32 bits of a seeded hash."""
+    seeded = lambda i: F.conv(F.substring(F.md5(F.concat(key, F.lit(f":{i}"))), 1, 8), 16, 10).cast("long") % width
+    return F.array(*(F.struct(F.lit(i).alias("row"), seeded(i).alias("cell")) for i in range(depth)))
+
+
+def frequency_sketch(rows: DataFrame, key: str, depth: int = 4, width: int = 256) -> DataFrame:
+    """(row, cell, n): the count-min sketch of a column's values, depth * width rows at most; null counts as no value."""
+    x = rows.where(F.col(key).isNotNull()).select(F.inline(_cells(F.col(key).cast("string"), depth, width)))
+    return x.groupBy("row", "cell").agg(F.count(F.lit(1)).alias("n"))
+
+
+def estimates(keys: DataFrame, key: str, sketch: DataFrame, depth: int = 4, width: int = 256) -> DataFrame:
+    """(key, estimate): the least of a key's cells, 0 if one is empty; never below its count."""
+    x = keys.select(key, F.inline(_cells(F.col(key).cast("string"), depth, width)))
+    x = x.join(F.broadcast(sketch), ["row", "cell"], "left")  # depth * width rows at most
+    return x.groupBy(key).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
