@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, licenses, pii
+from . import byte_cnn, conversations, fill_middle, licenses, pii, sharding
 from .common import documents
 from .imatch import fingerprints
 from .mixing import mix_sources
@@ -55,6 +55,18 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(documents(spark, sf_dir), text=False)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -66,6 +78,9 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_repeats": op10_repeats,
     "op4_token_files": op4_token_files,
+    "op11_conversations": op11_conversations,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_sharding": op13_sharding,
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_licenses": licenses.oracle_sql(),
