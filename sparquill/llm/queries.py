@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_cnn, conversations, fill_middle, licenses, pii, sharding
+from . import byte_cnn, conversations, fill_middle, licenses, oracles, pii, sharding
 from .common import documents
 from .imatch import fingerprints
 from .mixing import mix_sources
@@ -84,4 +84,7 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op8_licenses": licenses.oracle_sql(),
+    "op11_conversations": oracles.repairs(),
+    "op12_fill_middle": oracles.fill_in_middle(),
+    "op13_sharding": oracles.shards(),
 }

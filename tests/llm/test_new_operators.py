@@ -176,3 +176,17 @@ def test_sharding(spark, tmp_path):
     sharding.write_shards(docs, str(tmp_path / "out"), shards=3, seed=9, rows_a_file=50)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.slot, r.shard, r.doc_id or 0) for r in back.collect()) == sorted((r.slot, r.shard, r.doc_id or 0) for r in whole.collect())
+
+
+@pytest.mark.parametrize("name", ["op11_conversations", "op12_fill_middle", "op13_sharding"])
+def test_queries_equal_their_twins(spark, name):
+    import duckdb
+
+    from sparquill.llm import queries
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, folder), con.execute(queries.ORACLE_SQL[name])
+    assert got.columns == [c[0] for c in want.description]
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want.fetchall())
