@@ -5,8 +5,9 @@ white space begins and where an ASCII letter meets an ASCII sign. The pieces
 between such cuts repeat; each worker keeps the ids of those it has met, by a
 64-bit hash in sorted arrays of bounded size, and only new ones reach the
 tokenizers library, many at a time. Rows with white space outside ASCII, where
-the first rule is not enough, are encoded in one go. Long texts go block by
-block, parted where an ASCII character meets white space or a letter a sign, so
+the first rule is not enough, and rows that hold the string of a special token,
+which the library takes out before it parts a text, are encoded in one go. Long
+texts go block by block, parted where an ASCII character meets white space or a letter a sign, so
 that memory grows with the ids alone; a text without such a place is one block.
 """
 
@@ -47,15 +48,35 @@ def wide_space(data: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def long_text_blocks(data: np.ndarray) -> np.ndarray:
-    """Bounds of blocks of about BLOCK bytes that can be encoded by themselves."""
+def places_of(raw: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words begin and end in raw, by their beginning; overlaps count."""
+    starts, ends = [], []
+    for word in words:
+        at = raw.find(word)
+        while at >= 0:
+            starts.append(at)
+            ends.append(at + len(word))
+            at = raw.find(word, at + 1)
+    order = np.argsort(starts, kind="stable")
+    return np.array(starts, np.int64)[order], np.array(ends, np.int64)[order]
+
+
+def long_text_blocks(data: np.ndarray, words: list[bytes] = ()) -> np.ndarray:
+    """Bounds of blocks of about BLOCK bytes that can be encoded by themselves; none parts one of the words."""
     cuts = [0]
+    starts, ends = places_of(data.tobytes(), words)
+    within = np.zeros(len(data) + 1, bool)
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        within[a + 1 : b] = True
+    begins = np.zeros(len(data) + 1, bool)
+    begins[starts] = True
     while len(data) - cuts[-1] > 2 * BLOCK:
         at = cuts[-1] + BLOCK
         while at < len(data):
             some = data[at - 1 : at + BLOCK]
             left, right = some[:-1], some[1:]
-            safe = np.flatnonzero(((left < 128) & ~SPACE[left] & SPACE[right]) | (_LETTER[left] & _SIGN[right]))
+            here = slice(at, at + len(left))
+            safe = np.flatnonzero((((left < 128) & ~SPACE[left] & SPACE[right]) | (_LETTER[left] & _SIGN[right]) | begins[here]) & ~within[here])
             if len(safe):
                 cuts.append(at + int(safe[0]))
                 break
@@ -74,14 +95,15 @@ def gather(pool: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray
 
 
 class Encoder:
-    """Encodes texts; strings of special tokens in a text are ordinary text."""
+    """Encodes texts as the tokenizers library does by default: the string of a special token in a text becomes that token."""
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True  # for pieces: rows with such strings don't use them
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
         vocab = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)  # a token's characters stand for a byte each
@@ -98,20 +120,23 @@ class Encoder:
         """The ids of one text, straight from the tokenizers library."""
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
+    def _encode_plain(self, text: str) -> np.ndarray:
+        return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
     def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, one behind the other, and how many each has."""
         ids, counts = [], np.zeros(len(pieces), np.int64)
         for i in range(0, len(pieces), 256):
             some = pieces[i : i + 256]
             if any(SPACE[x[-1]] for x in some):
-                each = [self.encode(x.decode()) for x in some]
+                each = [self._encode_plain(x.decode()) for x in some]
                 counts[i : i + 256] = [len(x) for x in each]
                 ids += each
                 continue
             # a line feed ahead of what has no space ahead is a token of its own
             own = np.array([not SPACE[x[0]] for x in some])
             text = b"".join([b"\n" + x if o else x for x, o in zip(some, own, strict=True)])
-            got = self.encode(text.decode())
+            got = self._encode_plain(text.decode())
             sizes = np.array([len(x) for x in some]) + own
             ends = np.searchsorted(np.cumsum(self.bytes_of[got]), np.cumsum(sizes)) + 1
             first = np.r_[0, ends[:-1]]
@@ -130,7 +155,7 @@ class Encoder:
             if len(some) <= 2 * BLOCK:
                 got, n = self._encode_rows(some, bounds[row : stop + 1] - bounds[row])
             else:  # one long row
-                got, n = self._encode_rows(some, long_text_blocks(some))
+                got, n = self._encode_rows(some, long_text_blocks(some, self.special))
                 n = n.sum(keepdims=True)
             ids.append(got)
             counts.append(n)
@@ -147,7 +172,8 @@ class Encoder:
         rows = len(bounds) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(rows, np.int64)
-        odd = np.unique(np.searchsorted(bounds, wide_space(data), "right") - 1) if len(data) > 1 else []
+        odd = np.concatenate([wide_space(data), places_of(data.tobytes(), self.special)[0]]) if len(data) > 1 else []
+        odd = np.unique(np.searchsorted(bounds, odd, "right") - 1) if len(odd) else []
         white = SPACE[data]
         cut = np.empty(len(data), bool)
         cut[0] = True

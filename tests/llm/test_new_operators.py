@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sparquill.llm import conversations, fill_middle, sharding
+from sparquill.llm import conversations, fill_middle, sharding, tokens
 
 TURNS = "conv_id long, turn long, role string, text string, audit string, code int, pack long"
 DOCS = "doc_id long, text string, lang string, shard string, slot int, n int, output string"
@@ -190,3 +190,14 @@ def test_queries_equal_their_twins(spark, name):
     got, want = queries.QUERIES[name](spark, folder), con.execute(queries.ORACLE_SQL[name])
     assert got.columns == [c[0] for c in want.description]
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want.fetchall())
+
+
+def test_long_texts_with_special_strings(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "BLOCK", 64)
+    library, rng = Tokenizer.from_file(tokens.default_tokenizer()), random.Random(6)
+    enc = tokens.Encoder(tokens.default_tokenizer())
+    for text in ["<|endoftext|>" * 60, "a" * 300 + "<|endoftext|>" * 30, *("".join(rng.choice(["word ", "it's", "<|endoftext|>", "<|end", "|>", "\n\n", "é", "3"]) for _ in range(200)) for _ in range(20))]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert enc.encode_run(data, np.array([0, len(data)]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
