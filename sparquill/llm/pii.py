@@ -9,7 +9,9 @@ was parsed is passed over.
 Base kinds (email, ip, card, phone) follow fixed patterns, leftmost and without
 overlap, and matches that fail their validation are dropped. The parsers add
 what these patterns lose or don't know: phones and cards whose digits run into
-a neighbour's, URLs, accounts, secrets and street addresses.
+a neighbour's, URLs, accounts, secrets and street addresses. A secret reaches
+from its cue, in any letter case, to white space or a quote; one in quotes to
+the closing quote of its line.
 
 Null texts count as empty: no spans. Rows keep their doc_id, null or repeated;
 no rows give no rows. Other columns are not read.
@@ -38,7 +40,12 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _GROUP = re.compile(r"[0-9]+")
 _URL_REST = re.compile(r"[^\s<>\"'`|\\^{}]+")
 _ACCOUNT_REST = re.compile(r"(?:\s{1,3}(?:number|no\.?|nr\.?|id|code))?\s{0,3}[:=#]\s{0,3}[\"']?([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){4,}+)")
-_SECRET_REST = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_/+.~-]{8,}+)")
+_SECRET_SIGN = re.compile(r"[\"'`]?\s{0,3}(?:(?:=>|:=)(?=[\s\"'`])|[:=])\s{0,3}")
+_SECRET_REST = re.compile(r"[^\s\"'`]{8,}+")
+_QUOTES = frozenset("\"'`")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+-.")
+_HOUSE_REACH = 7 + 3 * 32 + 31 + 1  # the longest match, and what it must not follow
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
 _HOUSE = re.compile(r"(?<![0-9])[0-9]{1,5}[A-Za-z]? (?:[A-Z][\w'.-]{0,30} ){0,3}[A-Z][\w'.-]{0,30}\Z")
 
@@ -48,19 +55,19 @@ SECRET_CUES = ("password", "passwd", "pwd", "token", "secret", "api_key", "apike
 STREET_CUES = (" Street", " Avenue", " Road", " Lane", " Boulevard", " Drive")
 
 
+_ASCII_LOWER = {x: x + 32 for x in range(65, 91)}
+
+
 @cache
 def _automaton():
     import ahocorasick
 
     out = ahocorasick.Automaton()
-    for cue, what in (("@", EMAIL), ("+", PHONE), ("://", URL), ("AKIA", -1), *((str(x), CARD) for x in range(10))):
+    for cue, what in (("@", EMAIL), ("+", PHONE), ("://", URL), ("akia", -1), *((str(x), CARD) for x in range(10))):
         out.add_word(cue, (what, len(cue)))
-    for cues, what in ((ACCOUNT_CUES, ACCOUNT), (SECRET_CUES, SECRET)):
+    for cues, what in ((ACCOUNT_CUES, ACCOUNT), (SECRET_CUES, SECRET), (STREET_CUES, ADDRESS)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-                out.add_word(form, (what, len(form)))
-    for cue in STREET_CUES:
-        out.add_word(cue, (ADDRESS, len(cue)))
+            out.add_word(cue.lower(), (what, len(cue)))
     out.make_automaton()
     return out
 
@@ -125,12 +132,36 @@ def _digits_end(text: str, start: int, end: int) -> int:
     return m.end() if m and sum(x.isdigit() for x in m[0]) >= 5 else 0
 
 
+def _lower(text: str) -> str:
+    """text in lower case, a character for each: where a letter has no single lower one, only A to Z change."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_ASCII_LOWER)
+
+
+def _secret(text: str, at: int, last_quote: dict[str, int]) -> tuple[int, int]:
+    """The secret that begins behind a cue and its sign, at `at`: to the closing quote of its line, else to white space or a quote; (0, 0) if too short."""
+    quote = text[at : at + 1]
+    if quote in _QUOTES and quote:
+        if quote not in last_quote:
+            last_quote[quote] = text.rfind(quote)
+        at += 1
+        if last_quote[quote] >= at:  # else no search could find one
+            end = text.find(quote, at)
+            while end > at and text[end - 1] == "\\" and (end - len(text[at:end].rstrip("\\")) - at) % 2:
+                end = text.find(quote, end + 1)
+            if end >= at + 6 and "\n" not in text[at:end]:
+                return at, end
+    m = _SECRET_REST.match(text, at)
+    return m.span() if m else (0, 0)
+
+
 def find_spans(text: str) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start, then kind."""
     base: list[Span] = []
     more: list[Span] = []
-    email_end = phone_end = number_end = digits_end = ip_end = 0
-    for last, (what, size) in _automaton().iter(text):
+    email_end = phone_end = number_end = digits_end = ip_end = url_end = secret_end = iban_end = 0
+    last_quote: dict[str, int] = {}
+    for last, (what, size) in _automaton().iter(_lower(text)):
         at = last + 1 - size
         if what == CARD:
             if at >= digits_end:  # the first digit of its run
@@ -139,6 +170,10 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
                     ip_end = m.end()
                     if all(len(x.lstrip("0")) <= 3 and int(x[-4:] or 0) <= 255 for x in m[0].split(".")):
                         base.append((at, IP, ip_end))
+                start = at - 2
+                if start >= iban_end and (start == 0 or not text[start - 1].isalnum()) and (m := _IBAN.match(text, start)) and (end := _iban_end(text, start, m.end())):
+                    iban_end = end
+                    more.append((start, ACCOUNT, end))
             if at >= number_end and (m := _CARD.match(text, at)):
                 number_end = m.end()
                 digits = m[0].replace(" ", "").replace("-", "") if number_end - at >= 7 else ""
@@ -158,13 +193,18 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
                     base.append((at, PHONE, phone_end))
                 elif end := _phone_prefix(text, at, phone_end):
                     more.append((at, PHONE, end))
+        elif what == URL and at < url_end:
+            continue  # within another
         elif what == URL:
             start = at
-            while start > max(0, at - 12) and (text[start - 1].isascii() and text[start - 1].isalpha()):
+            while start > url_end and text[start - 1] in _SCHEME:
                 start -= 1
-            m = _URL_REST.match(text, last + 1)
-            if start <= at - 2 and m and ("." in m[0] or m[0].startswith("localhost")):
-                more.append((start, URL, last + 1 + len(m[0].rstrip(".,;:!?)]"))))
+            while start < at and not text[start].isalpha():
+                start += 1
+            m = _URL_REST.match(text, last + 1) if start <= at - 2 else None
+            if m and (any(x in m[0] for x in ".@:/") or m[0].startswith("localhost")):
+                url_end = last + 1 + len(m[0].rstrip(".,;:!?)]"))
+                more.append((start, URL, url_end))
         elif what == ACCOUNT:
             if (at == 0 or not text[at - 1].isalnum()) and (m := _ACCOUNT_REST.match(text, last + 1)):
                 token = m[1].split(" ", 1)[0]
@@ -173,11 +213,14 @@ def find_spans(text: str) -> tuple[list[Span], list[Span]]:
                 elif sum(x.isdigit() for x in token) >= 4:
                     more.append((m.start(1), ACCOUNT, m.start(1) + len(token)))
         elif what == SECRET:
-            if (at == 0 or not text[at - 1].isalnum()) and (m := _SECRET_REST.match(text, last + 1)) and any(x.isdigit() for x in m[1]):
-                more.append((m.start(1), SECRET, m.end(1)))
+            if at >= secret_end and (at == 0 or not text[at - 1].isalnum()) and (m := _SECRET_SIGN.match(text, last + 1)):
+                start, end = _secret(text, m.end(), last_quote)
+                if end > start:
+                    secret_end = end
+                    more.append((start, SECRET, end))
         elif what == ADDRESS:
-            if last + 1 == len(text) or not text[last + 1].isalnum():
-                low = max(0, at - 100)
+            if text[at + 1].isupper() and (last + 1 == len(text) or not text[last + 1].isalnum()):
+                low = max(0, at - _HOUSE_REACH)
                 if m := _HOUSE.search(text[low:at]):
                     more.append((low + m.start(), ADDRESS, last + 1))
         elif m := _ACCESS_KEY.match(text, at):

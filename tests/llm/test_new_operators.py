@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sparquill.llm import conversations, fill_middle, sharding, tokens
+from sparquill.llm import conversations, fill_middle, pii, sharding, tokens
 
 TURNS = "conv_id long, turn long, role string, text string, audit string, code int, pack long"
 DOCS = "doc_id long, text string, lang string, shard string, slot int, n int, output string"
@@ -201,3 +201,44 @@ def test_long_texts_with_special_strings(monkeypatch):
     for text in ["<|endoftext|>" * 60, "a" * 300 + "<|endoftext|>" * 30, *("".join(rng.choice(["word ", "it's", "<|endoftext|>", "<|end", "|>", "\n\n", "é", "3"]) for _ in range(200)) for _ in range(20))]:
         data = np.frombuffer(text.encode(), np.uint8)
         assert enc.encode_run(data, np.array([0, len(data)]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def masked(text):
+    return pii.redacted(text, pii.find_spans(text)[1])
+
+
+def test_no_part_of_a_secret_survives():
+    rng = random.Random(1)
+    signs = [chr(x) for x in range(33, 127) if chr(x) not in "\"'`"]
+    for _ in range(3000):
+        value = "".join(rng.choice(signs) for _ in range(rng.randint(8, 40)))
+        cue = "".join(rng.choice((c, c.upper())) for c in rng.choice(pii.SECRET_CUES))
+        sign = rng.choice([": ", "=", " = ", ":", " := ", " => "])
+        ahead, behind = rng.choice(["", "the ", "x; "]), rng.choice(["", " and on", "\nnext"])
+        # a secret that looks like an address, too, may bear that name
+        assert re.sub(r"\[[A-Z]+\]", "[SECRET]", masked(f"{ahead}{cue}{sign}{value}{behind}")) == f"{ahead}{cue}{sign}[SECRET]{behind}", value
+        quote = rng.choice("\"'`")
+        spaced = value + " " + value
+        if not spaced.endswith("\\"):
+            assert re.sub(r"\[[A-Z]+\]", "[SECRET]", masked(f"{ahead}{cue}{sign}{quote}{spaced}{quote}{behind}")) == f"{ahead}{cue}{sign}{quote}[SECRET]{quote}{behind}", spaced
+    assert masked('{"password": "correct horse", "b": 1}') == '{"password": "[SECRET]", "b": 1}'
+    assert masked("password: correcthorsebattery") == "password: [SECRET]" and masked("İ PassWord: Tr0ub4dor&3xyzzy!") == "İ PassWord: [SECRET]"
+    assert masked('secret = "unclosed9&9 and on') == 'secret = "[SECRET] and on' and masked('token="a\\"b\\"c1234" x') == 'token="[SECRET]" x'
+    assert masked("a password is needed; the token: short") == "a password is needed; the token: short"
+
+
+def test_schemes_accounts_and_addresses_whole():
+    assert masked("see s3://bucket.example.com/key, git+ssh://host.example.org/x.git.") == "see [URL], [URL]."
+    assert masked("a-very.long+scheme2://host/path") == "[URL]" and masked("1http://host.example") == "1[URL]" and masked("c ://x.y") == "c ://x.y"
+    assert masked("Pay DE89 3704 0044 0532 0130 00 now") == "Pay [ACCOUNT] now" and masked("XDE89370400440532013000") != "X[ACCOUNT]"
+    long = "12345 " + " ".join(["A" + "b" * 28] * 4) + " Street"
+    assert masked(f"at {long}, then") == "at [ADDRESS], then" and masked("a street, 12 main street") == "a street, 12 main street"
+
+
+def test_long_runs_of_cues_take_linear_time():
+    import time
+
+    for part in ("password='", 'token="x', "://", "a+", "secret=secret=", "DE8 ", " Street"):
+        began = time.perf_counter()
+        pii.find_spans(part * 40_000)
+        assert time.perf_counter() - began < 5, part
