@@ -41,21 +41,21 @@ PATTERNS = (
 
 
 # What a start that fails passes over, since no start within it can do better: else long runs would be read anew from each of their words.
-_PASSED = {
+PASSED = {
     PATTERNS[3][1]: r"\b(?:the\s+)?[A-Z][a-zA-Z\s]*+[^a-zA-Z\s]?",
     PATTERNS[4][1]: r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*+",
     PATTERNS[10][1]: r"\b\d+(?:,\d{3}\b)*+",
 }
 
 
-def _without_recursion(pattern: str) -> str:
+def without_recursion(pattern: str) -> str:
     """The same matches from repeats that never step back: each ends where a word does, so long runs of names can't exhaust the stack."""
     return pattern.replace(r")*\b", r"\b)*+\b").replace(")*,", ")*+,")
 
 
 def _found(pattern: str) -> Column:
     """All matches in the text, in time that grows with its length."""
-    own, passed = _without_recursion(pattern), _PASSED.get(pattern)
+    own, passed = without_recursion(pattern), PASSED.get(pattern)
     if not passed:
         return F.regexp_extract_all("text", F.lit(own), F.lit(0))
     return F.filter(F.regexp_extract_all("text", F.lit(f"{own}|{passed}"), F.lit(0)), lambda x: x.rlike(f"^(?:{own})\\z"))
