@@ -1,8 +1,6 @@
 """Keyword and vector search, and fusion of ranked lists.
 
-Rankings are total: by rounded score, then id. Tables of queries are broadcast
-while they have at most FEW_QUERIES rows; beyond that they are set against
-blocks of the corpus by a shuffle.
+Rankings are total: by rounded score, then id.
 """
 
 from __future__ import annotations
@@ -13,10 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, alphanumerics, let, stem
-from ..functions.vectors import dot, doubles, euclidean, manhattan, norm
 from ..plans.rounds import settled
-
-FEW_QUERIES = 20_000
+from .nearest import nearest
 
 
 def term_list(text: Column) -> Column:
@@ -75,34 +71,9 @@ def ranked(scored: DataFrame, limit: int) -> DataFrame:
     return top.select("id", "score", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("rank"))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", min_score: float | None = None, few: int = FEW_QUERIES, block_rows: int = 100_000) -> DataFrame:
-    """(query_id, id, score, rank) of the k most alike of all vectors for each query.
-
-    vectors and queries: vec_id, embedding. Each task keeps k rows a query at
-    most before anything moves; norms are worked out once a vector. Few queries
-    go to all tasks; more are copied to blocks of the vectors.
-    """
-    of = {"cosine": lambda: F.coalesce(F.try_divide(dot(F.col("v"), F.col("q")), F.col("nv") * F.col("nq")), F.lit(0.0)), "dot": lambda: dot(F.col("v"), F.col("q")), "clamped": lambda: F.least(F.greatest(dot(F.col("v"), F.col("q")), F.lit(0.0)), F.lit(1.0)),
-          "euclidean": lambda: 1 / (1 + euclidean(F.col("v"), F.col("q"))), "manhattan": lambda: 1 / (1 + manhattan(F.col("v"), F.col("q")))}
-    side = lambda d, key, v, n: d.select(F.col("vec_id").alias(key), doubles(F.col("embedding")).alias(v)).withColumn(n, norm(F.col(v)) if metric == "cosine" else F.lit(0.0))
-    v, q = side(vectors, "id", "v", "nv"), side(queries, "query_id", "q", "nq")
-    if queries.limit(few + 1).count() <= few:
-        pairs = v.join(F.broadcast(q), F.col("id") != F.col("query_id"))
-        top = _best(pairs.select("query_id", "id", F.round(of[metric](), 6).alias("score")), k, min_score)
-    else:
-        blocks = max(1, -(-vectors.count() // block_rows))
-        v = v.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        q = q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        pairs = v.join(q, "block").where("id <> query_id")
-        top = _best(pairs.select("query_id", "id", F.round(of[metric](), 6).alias("score")), k, min_score)
-    return top.select("query_id", "id", "score", (F.col("place") - 1).alias("rank"))
-
-
-def _best(pairs: DataFrame, k: int, min_score: float | None) -> DataFrame:
-    """The k best pairs of each query, with place from 1: a limit on the window that Spark takes ahead of the shuffle, too."""
-    if min_score is not None:
-        pairs = pairs.where(F.col("score") >= min_score)
-    return pairs.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("place") <= k)
+def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", min_score: float | None = None) -> DataFrame:
+    """(query_id, id, score, rank) of the k most alike of all vectors for each query; both vec_id, embedding."""
+    return nearest(vectors, queries, k, metric, min_score).select("query_id", "id", "score", (F.col("place") - 1).alias("rank"))
 
 
 def reciprocal_rank_fusion(lists: list[DataFrame], limit: int, k: int = 60) -> DataFrame:
