@@ -196,15 +196,15 @@ def answer_quality(spark, d):
 
 
 @query(f"""WITH x AS (SELECT doc_id, text, {_WORDS.format('text')} AS w, len(string_split(text, '.')) AS s FROM documents)
-SELECT doc_id, round(0.4::DOUBLE * CASE WHEN len(w)::DOUBLE / s BETWEEN 5 AND 25 THEN 1 ELSE 0.7::DOUBLE END + 0.3::DOUBLE * CASE WHEN regexp_matches(text, '[.!?]') AND regexp_matches(text, '\\p{{Lu}}') THEN 1 ELSE 0.6::DOUBLE END + 0.3::DOUBLE * coalesce(len(list_distinct(w))::DOUBLE / nullif(len(w), 0), 0), 6) AS fluency,
+SELECT doc_id, round(CASE WHEN text = '' OR text IS NULL THEN 0 ELSE 0.4::DOUBLE * CASE WHEN len(w)::DOUBLE / s BETWEEN 5 AND 25 THEN 1 ELSE 0.7::DOUBLE END + 0.3::DOUBLE * CASE WHEN regexp_matches(text, '[.!?]') AND regexp_matches(text, '\\p{{Lu}}') THEN 1 ELSE 0.6::DOUBLE END + 0.3::DOUBLE * coalesce(len(list_distinct(w))::DOUBLE / nullif(len(w), 0), 0) END, 6) AS fluency,
 round(coalesce(len(list_distinct(w))::DOUBLE / nullif(len(w), 0), 0), 6) AS variety,
 round(coalesce(len(list_filter(w, lambda y: regexp_matches(lower(y), 'always|never|all|none|everyone|nobody|obviously|clearly|definitely|certainly')))::DOUBLE / nullif(len(w), 0), 0), 6) AS bias FROM x""")
 def text_writing(spark, d):
     return evaluate.writing(read_table(spark, d, "documents"))
 
 
-@query(f"""WITH x AS (SELECT doc_id, unnest({_WORDS.format('lower(text)')}) AS w FROM documents), g AS (SELECT doc_id, w, count(*) AS n FROM x GROUP BY 1, 2)
-SELECT doc_id, round((count(*)::DOUBLE / sum(n) + greatest(0, 1 - 0.3::DOUBLE * (max(n) - 1))) / 2, 6) AS diversity FROM g GROUP BY 1""")
+@query(f"""WITH x AS (SELECT doc_id, unnest({_WORDS.format('text')}) AS w FROM documents), g AS (SELECT doc_id, w, count(*) AS n FROM x GROUP BY 1, 2), s AS (SELECT doc_id, count(*)::DOUBLE / sum(n) AS kinds, max(n) AS most FROM g GROUP BY 1)
+SELECT doc_id, round(CASE WHEN coalesce(text, '') = '' THEN 0 ELSE (coalesce(kinds, 0) + greatest(0, 1 - 0.3::DOUBLE * (coalesce(most, 1) - 1))) / 2 END, 6) AS diversity FROM documents LEFT JOIN s USING (doc_id)""")
 def text_repetition(spark, d):
     return evaluate.repetition(read_table(spark, d, "documents"))
 
@@ -298,7 +298,8 @@ _DOMAIN_SQL = "CASE " + " ".join(f"WHEN ({_has(k)}) >= 2 OR (({_has(k)}) = 1 AND
 
 
 @query(f"""WITH {_USER}, i AS (SELECT *, list_max([{_INTENT_SQL}]) AS b, {_DOMAIN_SQL} AS domain FROM u)
-SELECT conv_id, turn, CASE WHEN b.score > 0 THEN b.name END AS intent, round(b.score, 6) AS intent_score, domain, coalesce(array_to_string(list_filter(l, lambda t: t IN ('api', 'sql', 'json', 'html', 'css', 'javascript', 'python', 'rust', 'docker')), ' '), '') AS entities,
+SELECT conv_id, turn, CASE WHEN b.score >= 0.3::DOUBLE THEN b.name WHEN regexp_matches(low, '^(what is|define)') THEN 'definitional' WHEN regexp_matches(low, '^how to|step') THEN 'procedural' WHEN regexp_matches(low, 'compare|vs|difference') THEN 'comparative' WHEN b.score > 0 THEN b.name ELSE 'factual' END AS intent,
+round(CASE WHEN b.score < 0.3::DOUBLE AND regexp_matches(low, '^(what is|define|how to)|step|compare|vs|difference') THEN 0.6::DOUBLE ELSE greatest(b.score, 0) END, 6) AS intent_score, domain, coalesce(array_to_string(list_filter(l, lambda t: t IN ('api', 'sql', 'json', 'html', 'css', 'javascript', 'python', 'rust', 'docker')), ' '), '') AS entities,
 len(list_intersect(l, ['this', 'that', 'it', 'they', 'them', 'previous', 'above', 'following', 'these', 'those'])) > 0 OR len(l) <= 2 AS needs_context,
 regexp_matches(low, '^(what|how|why|when|where)\\s+is\\s+\\w+\\?*$') OR regexp_matches(low, '^(tell me about|about|info on)\\s+\\w+\\?*$') OR regexp_matches(low, '^\\w{{1,3}}\\?*$') AS vague,
 md5(CASE WHEN starts_with(low, 'what is') THEN regexp_replace(text, '\\?+$', '') || ' and how does it work?' WHEN starts_with(low, 'how') THEN regexp_replace(text, '\\?+$', '') || ' step by step' WHEN starts_with(low, 'tell me about') THEN replace(low, 'tell me about', 'explain the concept of') END) AS clarified FROM i""")
@@ -506,7 +507,7 @@ def event_floor_ranks(spark, d):
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, round(stddev_pop(value), 6) AS sd, round(count(*)::DOUBLE / greatest(floor(epoch(max(ts))) - floor(epoch(min(ts))), 1), 6) AS rate,
-CASE WHEN contains(event_type, 'db') THEN 'database' WHEN contains(event_type, 'cache') THEN 'cache' WHEN contains(event_type, 'http') THEN 'network' WHEN contains(event_type, 'file') THEN 'io' WHEN avg(value) > 1000 THEN 'algorithm' WHEN avg(value) > 500 THEN 'cpu' ELSE 'memory' END AS bottleneck FROM events GROUP BY 1""")
+CASE WHEN regexp_matches(lower(event_type), 'database|db') THEN 'database' WHEN contains(lower(event_type), 'cache') THEN 'cache' WHEN regexp_matches(lower(event_type), 'network|http') THEN 'network' WHEN regexp_matches(lower(event_type), 'io|file') THEN 'io' WHEN avg(value) > 1000 THEN 'algorithm' WHEN avg(value) > 500 THEN 'cpu' ELSE 'memory' END AS bottleneck FROM events GROUP BY 1""")
 def event_operations(spark, d):
     return observe.operations(_events(spark, d))
 

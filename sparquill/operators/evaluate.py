@@ -154,15 +154,19 @@ def writing(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     per = F.coalesce(F.try_divide(n.cast("double"), F.size("s")), F.lit(0.0))
     marked = t.rlike("[.!?]") & t.rlike("\\p{Lu}")
     variety = _share(F.size(F.array_distinct(w)), n)
-    fluency = 0.4 * F.when((per >= 5) & (per <= 25), 1.0).otherwise(0.7) + 0.3 * F.when(marked, 1.0).otherwise(0.6) + 0.3 * variety
+    spoken = 0.4 * F.when((per >= 5) & (per <= 25), 1.0).otherwise(0.7) + 0.3 * F.when(marked, 1.0).otherwise(0.6) + 0.3 * variety
+    fluency = F.when(t != "", spoken).otherwise(0.0)
     return x.select(id_column, F.round(fluency, 6).alias("fluency"), F.round(variety, 6).alias("variety"), F.round(term_share(t, BIASED_TERMS), 6).alias("bias"))
 
 
 def repetition(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Diversity: the mean of type by token and of 1 less 0.3 for each repeat of the commonest word."""
-    rows = docs.select(id_column, F.explode(words(F.lower("text"))).alias("w")).groupBy(id_column, "w").agg(F.count(F.lit(1)).alias("n"))
-    g = rows.groupBy(id_column).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("total"), F.max("n").alias("most"))
-    return g.select(id_column, F.round((F.col("kinds") / F.col("total") + F.greatest(F.lit(0.0), 1 - 0.3 * (F.col("most") - 1))) / 2, 6).alias("diversity"))
+    """Diversity: the mean of type by token and of 1 less 0.3 for each repeat of the commonest word, as words stand; 0 for empty texts and nulls."""
+    rows = docs.select(id_column, (F.coalesce("text", F.lit("")) != "").alias("text"), F.explode_outer(words(F.col("text"))).alias("w")).groupBy(id_column, "text", "w").agg(F.count(F.lit(1)).alias("n"))
+    said = F.col("w").isNotNull()
+    g = rows.groupBy(id_column).agg(F.count("w").alias("kinds"), F.sum(F.when(said, F.col("n"))).alias("total"), F.max(F.when(said, F.col("n"))).alias("most"), F.max("text").alias("text"))
+    repeats = F.greatest(F.lit(0.0), 1 - 0.3 * (F.coalesce("most", F.lit(1)) - 1))
+    diversity = (F.coalesce(F.try_divide("kinds", "total"), F.lit(0.0)) + repeats) / 2
+    return g.select(id_column, F.round(F.when(F.col("text"), diversity).otherwise(0.0), 6).alias("diversity"))
 
 
 def system_metrics(runs: DataFrame, most_ms: float = 2000.0, least_rate: float = 10.0, most_errors: float = 5.0) -> DataFrame:

@@ -175,7 +175,8 @@ def ranked_percentiles(events: DataFrame, shares: tuple[float, ...], rule: str)
 def operations(events: DataFrame) -> DataFrame:
     """Count, mean, extremes, deviation, and operations a second between first and last, by type."""
     g = events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.stddev_pop("value").alias("sd"), (F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("seconds"))
-    kind = F.when(F.contains("event_type", F.lit("db")), "database").when(F.contains("event_type", F.lit("cache")), "cache").when(F.contains("event_type", F.lit("http")), "network").when(F.contains("event_type", F.lit("file")), "io").when(F.col("mean") > 1000, "algorithm").when(F.col("mean") > 500, "cpu").otherwise("memory")
+    has = lambda *parts: F.lower("event_type").rlike("|".join(parts))
+    kind = F.when(has("database", "db"), "database").when(has("cache"), "cache").when(has("network", "http"), "network").when(has("io", "file"), "io").when(F.col("mean") > 1000, "algorithm").when(F.col("mean") > 500, "cpu").otherwise("memory")
     return g.select("event_type", "n", F.round("mean", 6).alias("mean"), "low", "high", F.round("sd", 6).alias("sd"), F.round(F.col("n") / F.greatest("seconds", F.lit(1)), 6).alias("rate"), kind.alias("bottleneck"))
 
 

@@ -135,13 +135,26 @@ def clarified(q: Column) -> Column:
     return F.when(F.startswith(low, F.lit("what is")), F.concat(bare, F.lit(" and how does it work?"))).when(F.startswith(low, F.lit("how")), F.concat(bare, F.lit(" step by step"))).when(F.startswith(low, F.lit("tell me about")), F.replace(low, F.lit("tell me about"), F.lit("explain the concept of")))
 
 
+def intent(q: Column) -> Column:
+    """(name, score) of a query's intent: the best by score; below 0.3 what its first words or a comparing one say, at 0.6; factual if nothing speaks."""
+    low, best = F.lower(q), F.array_max(intent_scores(q))
+    found = lambda name, score: F.struct(F.lit(name).alias("name"), F.lit(score).alias("score"))
+    return (
+        F.when(best["score"] >= 0.3, F.struct(best["name"].alias("name"), best["score"].alias("score")))
+        .when(F.startswith(low, F.lit("what is")) | F.startswith(low, F.lit("define")), found("definitional", 0.6))
+        .when(F.startswith(low, F.lit("how to")) | F.contains(low, F.lit("step")), found("procedural", 0.6))
+        .when(F.contains(low, F.lit("compare")) | F.contains(low, F.lit("vs")) | F.contains(low, F.lit("difference")), found("comparative", 0.6))
+        .when(best["score"] > 0, F.struct(best["name"].alias("name"), best["score"].alias("score")))
+        .otherwise(found("factual", 0.0))
+    )
+
+
 def classified(queries: DataFrame, id_columns: list[str], text: str = "text") -> DataFrame:
     """Intent and its score, domain, technical terms, and whether a query leans on others or is vague."""
     q = F.col(text)
-    best = F.array_max(intent_scores(q))
     tech = F.filter(words(F.lower(q)), lambda t: t.isin(*TECH_TERMS))
-    return queries.select(
-        *id_columns, F.when(best["score"] > 0, best["name"]).alias("intent"), F.round(best["score"], 6).alias("intent_score"), domain(q).alias("domain"), F.array_join(tech, " ").alias("entities"),
+    return queries.withColumn("__intent", intent(q)).select(
+        *id_columns, F.col("__intent.name").alias("intent"), F.round("__intent.score", 6).alias("intent_score"), domain(q).alias("domain"), F.array_join(tech, " ").alias("entities"),
         needs_context(q).alias("needs_context"), is_vague(q).alias("vague"), F.md5(clarified(q)).alias("clarified"),
     )
 
