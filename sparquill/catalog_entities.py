@@ -1,12 +1,17 @@
-"""Queries over entities, relations and the graphs they make, with their SQL twins."""
+"""Queries over entities, relations and the graphs they make, and over stored versions, with their SQL twins."""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from .catalog import query
-from .operators import entities, entity_graph, relations
+from .catalog import _EDGES, _graph, query  # noqa: PLC2701
+from .operators import entities, entity_graph, graph, relations
+from .plans.rounds import shared_folder
 from .sources.files import read_table
+from .sources.snapshots import Snapshots
 
 _LEAST = 0.4  # all kinds but money and percentages are at 0.45 and above
 
@@ -84,3 +89,31 @@ SELECT key, max(struct_pack(n := len(string_split(seen, ' ')), name := seen)).na
 def entity_names(spark, d):
     found = relations.spans(read_table(spark, d, "documents"), least=_LEAST)
     return entity_graph.resolved(found.select(entity_graph.folded(F.col("entity")).alias("key")))
+
+
+# shortest ways through the nations' graph, and versions of stored entries
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), w AS (SELECT id AS s, id AS v, 0 AS d FROM nodes UNION ALL SELECT s, dst, d + 1 FROM w JOIN e ON v = src WHERE d < 5),
+l AS (SELECT s, v, d, count(*) AS ways FROM w GROUP BY s, v, d QUALIFY d = min(d) OVER (PARTITION BY s, v)),
+b AS (SELECT a.v AS id, sum(a.ways * b.ways / c.ways::DOUBLE) AS x FROM l a JOIN l b ON a.v = b.s JOIN l c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d WHERE a.s <> a.v AND b.v <> a.v AND a.s <> b.v GROUP BY 1)
+SELECT id, round(coalesce(x, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2), 9) AS betweenness FROM nodes LEFT JOIN b USING (id)""")
+def graph_betweenness(spark, d):
+    return graph.betweenness(*_graph(spark, d))
+
+
+@query("""WITH marked AS (SELECT d.doc_id, coalesce(source, '') AS source, text, l.toxic, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)),
+v AS (SELECT 1 AS version, source, text FROM marked UNION ALL SELECT 2, source, CASE WHEN toxic = 1 THEN '' ELSE text END FROM marked
+  UNION ALL SELECT v, source, CASE WHEN toxic = 1 THEN '' ELSE text END FROM marked, (VALUES (3), (4)) t(v) WHERE coalesce(quality, 1) <> 0)
+SELECT version, source, count(*) AS n, sum(length(text))::BIGINT AS chars FROM v GROUP BY ALL""")
+def snapshot_versions(spark, d):
+    """All documents stored; toxic ones emptied; poor ones deleted; all live ones written as one: each version as it reads at the end."""
+    docs, labels = read_table(spark, d, "documents"), read_table(spark, d, "labels")
+    entries = docs.select(F.coalesce("source", F.lit("")).alias("source"), "doc_id", "text")
+    store = Snapshots(spark, f"{shared_folder(spark)}/sparquill/snapshots-{uuid.uuid4().hex}", ("source", "doc_id"), ("source",))
+    store.put(entries)
+    store.put(entries.join(labels.where("toxic = 1"), "doc_id", "left_semi").withColumn("text", F.lit("")))
+    store.delete(entries.join(labels.where("quality = 0"), "doc_id", "left_semi"))
+    store.compact()
+    versions = [store.read(v).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars")).withColumn("version", F.lit(v)) for v in (1, 2, 3, 4)]
+    return reduce(lambda a, b: a.unionByName(b), versions)

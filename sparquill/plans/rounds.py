@@ -4,10 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own_folder: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; in local mode without one, a folder of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="sparquill-"))
+    return _own_folder[0]
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint in the folder that spark.checkpoint.dir names; in local mode without one, a folder of our own."""
     context = df.sparkSession.sparkContext
