@@ -23,7 +23,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Parts between white space, none of them empty."""
-    return F.filter(F.split(text, "\\s+"), lambda x: x != "")
+    return F.array_remove(F.split(text, "\\s+"), "")
 
 
 def alphanumerics(text: Column) -> Column:

@@ -70,11 +70,29 @@ TOXIC_TERMS = ("hate", "stupid", "idiot", "kill", "die")
 
 
 def text_quality(docs: DataFrame) -> DataFrame:
-    """Readability, diversity, coherence and toxicity of every document."""
-    t = F.col("text")
-    return docs.select(
-        "doc_id", F.round(readability(t), 6).alias("readability"), F.round(lexical_diversity(t), 6).alias("lexical_diversity"),
-        F.round(coherence(t), 6).alias("coherence"), F.round(term_share(t, TOXIC_TERMS), 6).alias("toxicity"),
+    """Readability, diversity, coherence and toxicity of every document, as the functions above have them.
+
+    Words are split once, sentences' word sets made once, and what only counts,
+    syllables and toxic words, is counted over the whole text: a run of vowels
+    never reaches beyond a word, a word without one has a syllable all the same,
+    and from its first toxic part on the rest of a word is passed over.
+    """
+    t, low, w, n = F.col("text"), F.col("low"), F.col("w"), F.size("w")
+    count = lambda pattern: F.size(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)))
+    parts = F.char_length(t) - F.char_length(F.replace(t, F.lit("."), F.lit(""))) + 1
+    x = docs.select("doc_id", "text", F.lower(t).alias("low"), words(t).alias("w"), F.transform(sentences(t), lambda s: F.array_distinct(words(s))).alias("sets"))
+    spoken = count("[aeiouy]+") + count(r"(?<!\S)[^aeiouy\s]++(?!\S)")
+    ease = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 206.835 - 1.015 * n / parts - 84.6 * (spoken / n))))
+    m = F.size("sets")
+
+    def likeness(one: Column, two: Column) -> Column:
+        return let(F.size(F.array_intersect(one, two)), lambda both: F.coalesce(F.try_divide(both.cast("double"), F.size(one) + F.size(two) - both), F.lit(0.0)))
+
+    linked = F.when(m < 2, 1.0).otherwise(sum_of(F.zip_with(F.slice("sets", 1, F.greatest(m - 1, F.lit(0))), F.slice("sets", 2, F.greatest(m - 1, F.lit(0))), likeness)) / (m - 1))
+    toxic = count("(?:" + "|".join(TOXIC_TERMS) + r")\S*+")
+    return x.select(
+        "doc_id", F.round(ease, 6).alias("readability"), F.round(F.coalesce(F.try_divide(F.size(F.array_distinct(w)).cast("double"), n), F.lit(0.0)), 6).alias("lexical_diversity"),
+        F.round(linked, 6).alias("coherence"), F.round(F.coalesce(F.try_divide(toxic.cast("double"), n), F.lit(0.0)), 6).alias("toxicity"),
     )
 
 

@@ -36,6 +36,9 @@ LINKS = (
 )
 LINKED, NEAR, REACH = 0.7, 0.3, 100  # confidence of a patterned relation and of nearness; bytes
 
+# where one of the fixed patterns can begin: a capital or a digit ahead of which a word begins, a dollar sign, "the" before a capital
+_STARTS = re.compile(r"[A-Z0-9$t](?:(?<=\b[A-Z0-9])|(?<=\$)(?=\d)|(?<=\bt)he(?=\s+[A-Z]))")
+
 SPANS = "row long, doc_id long, rule int, start long, end long, first long, last long, entity string, behind string"
 
 
@@ -43,6 +46,18 @@ def confidence(kind: str, counts: Mapping[str, float] = COUNTS) -> float:
     return min(round(SURE.get(kind, OTHER_SURE) * counts.get(kind, OTHER_COUNTS), 6), 1.0)
 
 
+def _hits(pattern: re.Pattern, text: str, starts: list[int] | None) -> Iterator[re.Match]:
+    """Matches in order, none within another; only from the starts, if these are all that it can begin at."""
+    if starts is None:
+        yield from pattern.finditer(text)
+        return
+    end = 0
+    for at in starts:
+        if at >= end and (m := pattern.match(text, at)):
+            end = m.end()
+            yield m
+
+
 def spans(docs: DataFrame, patterns: Sequence[tuple[str, str]] = PATTERNS, least: float = 0.5, longest: int = 100, counts: Mapping[str, float] = COUNTS) -> DataFrame:
     """(row, doc_id, rule, kind, start, end, entity, confidence, ...) of the entities in whole texts, a row a mention.
 
@@ -62,8 +77,9 @@ def spans(docs: DataFrame, patterns: Sequence[tuple[str, str]] = PATTERNS, least
             out: list[tuple] = []
             for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                 places = {}
+                starts = [m.start() for m in _STARTS.finditer(text)] if patterns is PATTERNS else None
                 for rule, pattern in compiled:
-                    for m in pattern.finditer(text):
+                    for m in _hits(pattern, text, starts):
                         if m[1] and m.span() not in places:
                             entity = " ".join(m[0].split())
                             if len(m[0].strip().encode()) <= longest and not stop.issuperset(entity.lower().split()):
