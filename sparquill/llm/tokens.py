@@ -101,8 +101,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True  # for pieces: rows with such strings don't use them
+        self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
         vocab = self.tokenizer.get_vocab()
@@ -118,10 +117,13 @@ class Encoder:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of one text, straight from the tokenizers library."""
+        self.tokenizer.encode_special_tokens = False
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _encode_plain(self, text: str) -> np.ndarray:
-        return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        """The ids of pieces, in which strings of special tokens are ordinary text: rows that hold them don't use these."""
+        self.tokenizer.encode_special_tokens = True
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, one behind the other, and how many each has."""
