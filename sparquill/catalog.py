@@ -173,7 +173,7 @@ def hybrid_z_score(spark, d):
 totals AS (SELECT a.vec_id AS query_id, count(*) AS t FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.{ASKED} GROUP BY 1),
 seen AS (SELECT *, sum(relevant) OVER (PARTITION BY query_id ORDER BY rank) AS s FROM judged),
 g AS (SELECT query_id, count(*) AS n, sum(relevant) AS hits, sum(relevant * s::DOUBLE / (rank + 1)) AS ap, min(rank) FILTER (relevant = 1) AS first, sum(relevant / log2(rank + 2)) AS dcg FROM seen GROUP BY 1),
-m AS (SELECT *, hits::DOUBLE / least(n, 10) AS p, hits::DOUBLE / t AS r FROM g JOIN totals USING (query_id))
+m AS (SELECT query_id, t, coalesce(hits, 0) AS hits, coalesce(ap, 0) AS ap, first, coalesce(dcg, 0) AS dcg, coalesce(hits::DOUBLE / least(n, 10), 0) AS p, coalesce(hits, 0)::DOUBLE / t AS r FROM g RIGHT JOIN totals USING (query_id))
 SELECT query_id, round(p, 6) AS precision_at_k, round(r, 6) AS recall_at_k, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1_at_k, round(ap / t, 6) AS average_precision,
 round(coalesce(1.0::DOUBLE / (first + 1), 0), 6) AS reciprocal_rank, round(dcg / list_sum(list_transform(range(1, least(t, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg_at_k, (hits > 0)::INT AS hit FROM m""")
 def retrieval_evaluation(spark, d):

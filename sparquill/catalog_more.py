@@ -277,9 +277,9 @@ def search_boosted(spark, d):
 
 
 @query(f"""WITH {_BM25.split(",\nlengths AS")[0].removeprefix("WITH ")}, t AS (SELECT id, term, count(*) AS n FROM terms GROUP BY 1, 2), l AS (SELECT id, sum(n) AS len FROM t GROUP BY 1), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1)
-SELECT term, count(*) AS df, round(sum(n::DOUBLE / len), 4) AS weight FROM t JOIN l USING (id) JOIN d USING (term) WHERE df >= 20 GROUP BY 1""")
+SELECT term, count(*) AS df, round(sum(n::DOUBLE / len), 4) AS weight FROM t JOIN l USING (id) JOIN d USING (term) GROUP BY 1""")
 def index_postings(spark, d):
-    return search.postings(read_table(spark, d, "documents")).where("df >= 20").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.round(F.sum("tf"), 4).alias("weight"))
+    return search.postings(read_table(spark, d, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.round(F.sum("tf"), 4).alias("weight"))
 
 
 # query understanding

@@ -51,10 +51,10 @@ def answer_profiles(spark, d):
     return understand.answer_confidence(x.where("answer IS NOT NULL"), ["conv_id", "turn"])
 
 
-@query("WITH x AS (SELECT conv_id, regexp_replace(regexp_replace(text, '\\b[0-9]+\\b', '{NUM}', 'g'), '\"[^\"]*\"', '{STR}', 'g') AS t FROM conversations WHERE role = 'user') SELECT md5(t) AS template, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM x GROUP BY 1 ORDER BY n DESC, template LIMIT 100")
+@query("WITH x AS (SELECT conv_id, regexp_replace(regexp_replace(text, '\\b[0-9]+\\b', '{NUM}', 'g'), '\"[^\"]*\"', '{STR}', 'g') AS t FROM conversations WHERE role = 'user') SELECT md5(t) AS template, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM x GROUP BY 1")
 def query_patterns(spark, d):
     x = read_table(spark, d, "conversations").where("role = 'user'").select("conv_id", F.md5(understand.template(F.col("text"))).alias("template"))
-    return x.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations")).orderBy(F.desc("n"), "template").limit(100)  # the operator keeps 100
+    return x.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"))
 
 
 # reports

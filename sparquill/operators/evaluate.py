@@ -11,7 +11,9 @@ from ..functions.text import common_length, let, sentences, set_jaccard, sum_of,
 def retrieval_metrics(judged: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     """Per query: precision, recall, F1, average precision, reciprocal rank, NDCG and hits at k.
 
-    judged: query_id, rank (from 0), relevant (0 or 1); totals: query_id, total_relevant.
+    judged: query_id, rank (from 0), relevant (0 or 1); totals: query_id,
+    total_relevant. Each query of totals has its row, with zeros if nothing was
+    found for it.
     """
     top = judged.where(F.col("rank") < k)
     from pyspark.sql import Window
@@ -22,9 +24,9 @@ def retrieval_metrics(judged: DataFrame, totals: DataFrame, k: int) -> DataFrame
         F.count(F.lit(1)).alias("n"), F.sum("relevant").alias("hits"), F.sum(F.col("relevant") * F.col("seen") / (F.col("rank") + 1)).alias("ap"),
         F.min(F.when(F.col("relevant") == 1, F.col("rank"))).alias("first"), F.sum(F.col("relevant") / F.log2(F.col("rank") + 2)).alias("dcg"),
     )
-    x = agg.join(totals, "query_id")
+    x = agg.join(totals, "query_id", "right").fillna(0, ["n", "hits"]).fillna(0.0, ["ap", "dcg"])
     ideal = sum_of(F.transform(F.sequence(F.lit(1), F.least("total_relevant", F.lit(k))), lambda i: 1 / F.log2(i + 1)))
-    precision = F.col("hits") / F.least("n", F.lit(k))
+    precision = F.coalesce(F.try_divide(F.col("hits").cast("double"), F.least("n", F.lit(k))), F.lit(0.0))
     recall = F.when(F.col("total_relevant") == 0, 1.0).otherwise(F.col("hits") / F.col("total_relevant"))
     f1 = F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
     return x.select(

@@ -22,3 +22,11 @@ def test_kinds_of_bottlenecks(spark):
     names = {"DB_read": "database", "my_database": "database", "Cache": "cache", "NETWORK": "network", "http_get": "network", "IO": "io", "profile": "io", "else": "memory"}
     events = spark.createDataFrame([(n, 1.0, "2024-01-01") for n in names], "event_type string, value double, day string").selectExpr("event_type", "value", "cast(day as timestamp) as ts")
     assert {r.event_type: r.bottleneck for r in observe.operations(events).collect()} == names
+
+
+def test_a_query_without_hits_keeps_its_row(spark):
+    judged = spark.createDataFrame([(1, 0, 1), (1, 1, 0)], "query_id long, rank int, relevant int")
+    totals = spark.createDataFrame([(1, 2), (2, 3), (3, 0)], "query_id long, total_relevant long")
+    got = {r.query_id: r for r in evaluate.retrieval_metrics(judged, totals, 10).collect()}
+    assert (got[1].precision_at_k, got[1].recall_at_k, got[1].hit) == (0.5, 0.5, 1)
+    assert tuple(got[2])[1:] == (0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0) and (got[3].recall_at_k, got[3].precision_at_k, got[3].hit) == (1.0, 0.0, 0)
