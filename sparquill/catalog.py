@@ -562,4 +562,4 @@ def semantic_cache_hits(spark, d):
 
 FLAGSHIP = bm25_search
 
-from . import catalog_entities, catalog_lookup, catalog_more, catalog_texts  # noqa: E402, F401  they register their queries
+from . import catalog_alerts, catalog_entities, catalog_lookup, catalog_more, catalog_texts  # noqa: E402, F401  they register their queries
