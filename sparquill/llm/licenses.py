@@ -4,13 +4,14 @@ A text is normalised (ASCII letters in lower case, all other ASCII but digits
 taken as spaces) and windows of its words are compared with licence templates,
 notices and whole texts alike, by the Dice coefficient of the sets of word
 bigrams. A template of w words is held against windows of w words that start at
-every w // 8 words (every word below 16), and against the last w; a text with
-fewer words is one window. So a notice is found in the middle of a line, over
-several lines and inside other text.
+every word; a text with fewer words is one window. So a notice is found in the
+middle of a line, over several lines and inside other text.
 
 Sizes prune. With b bigrams in a template, a coefficient of t needs t * b / (2 - t)
 bigrams in common: a text without so many of a template's bigrams anywhere, or a
 window whose number of bigrams is out of bounds, can't match and isn't compared.
+Nor are the windows that start within w // 8 words of each other where the span
+that they cover together has not so many: what one window shares, its span does.
 
 A row names its best template (by coefficient, name, then place), the first word
 of that window, counted from 0, and the number of licences that match. Versions
@@ -146,7 +147,7 @@ def bigrams_of(words: list[str]) -> list[str]:
 
 
 def templates(threshold: float = THRESHOLD) -> list[dict]:
-    """Of each template: name, words of a window, step, bigrams, least in common, most in a window."""
+    """Of each template: name, words of a window, starts in a span, bigrams, least in common, most in a window."""
     out = []
     for name, text in TEMPLATES:
         words = words_of(text)
@@ -154,7 +155,7 @@ def templates(threshold: float = THRESHOLD) -> list[dict]:
         b = len(grams)
         need = next(i for i in range(1, b + 1) if 2.0 * i / (i + b) >= threshold)
         most = max(a for a in range(b, 4 * b + 8) if 2.0 * b / (a + b) >= threshold)
-        out.append({"name": name, "words": len(words), "step": max(1, len(words) // 8), "grams": grams, "need": need, "most": most})
+        out.append({"name": name, "words": len(words), "span": max(1, len(words) // 8), "grams": grams, "need": need, "most": most})
     return out
 
 
@@ -162,7 +163,7 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, dice, first_word and n_matches of every document."""
     known = templates(threshold)
     table = F.array(*[
-        F.struct(F.lit(t["name"]).alias("name"), *(F.lit(t[k]).alias(k) for k in ("words", "step", "need", "most")), F.array(*map(F.lit, t["grams"])).alias("grams"))
+        F.struct(F.lit(t["name"]).alias("name"), *(F.lit(t[k]).alias(k) for k in ("words", "span", "need", "most")), F.array(*map(F.lit, t["grams"])).alias("grams"))
         for t in known
     ])
     vocabulary = F.array(*map(F.lit, sorted({g for t in known for g in t["grams"]})))
@@ -176,7 +177,12 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def windows(t: Column) -> Column:
         """The windows of a text that match a template."""
         last = F.greatest(F.size("grams") + 1 - t["words"], F.lit(0))
-        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, t["step"]), F.array(last)))
+
+        def dense(start: Column) -> Column:
+            return F.size(F.array_intersect(F.slice("grams", start + 1, t["words"] + t["span"] - 2), t["grams"])) >= t["need"]
+
+        spans = F.filter(F.sequence(F.lit(0), last, t["span"]), dense)
+        starts = F.flatten(F.transform(spans, lambda start: F.sequence(start, F.least(start + t["span"] - 1, last))))
 
         def scored(start: Column) -> Column:
             window = F.array_distinct(F.slice("grams", start + 1, t["words"] - 1))
@@ -198,17 +204,17 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def oracle_sql(threshold: float = THRESHOLD) -> str:
     """The same over the documents table, in DuckDB SQL."""
-    rows = ", ".join(f"({k}, '{t['name']}', {t['words']}, {t['step']}, {t['need']}, {t['grams']!r})" for k, t in enumerate(templates(threshold)))
+    rows = ", ".join(f"({k}, '{t['name']}', {t['words']}, {t['need']}, {t['grams']!r})" for k, t in enumerate(templates(threshold)))
     signs = _SIGNS.replace("'", "''")
     return f"""
-WITH template(k, name, words, step, need, grams) AS (VALUES {rows}),
+WITH template(k, name, words, need, grams) AS (VALUES {rows}),
 plain AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{_UPPER}{signs}', '{_LOWER}{" " * len(_SIGNS)}') AS t FROM documents),
 worded AS (SELECT r, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM plain),
 grams AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM worded WHERE len(w) >= 2),
 pairs AS (
-  SELECT r, k, name, words, grams, g, step, greatest(len(g) + 1 - words, 0) AS last
+  SELECT r, k, name, words, grams, g, greatest(len(g) + 1 - words, 0) AS last
   FROM grams JOIN template ON len(list_intersect(grams, g)) >= need),
-starts AS (SELECT r, k, name, words, grams, g, unnest(list_distinct(list_append(range(0, last + 1, step), last))) AS s FROM pairs),
+starts AS (SELECT r, k, name, words, grams, g, unnest(range(0, last + 1)) AS s FROM pairs),
 windows AS (SELECT r, name, s, grams, list_distinct(g[s + 1 : s + words - 1]) AS h FROM starts),
 scored AS (SELECT r, name, s, 2.0::DOUBLE * len(list_intersect(h, grams)) / (len(h) + len(grams)) AS dice FROM windows),
 best AS (SELECT r, count(DISTINCT name) AS n, min(struct_pack(minus := -dice, name := name, s := s)) AS b FROM scored WHERE dice >= {threshold!r} GROUP BY r)
