@@ -137,9 +137,20 @@ def clustering(edges: DataFrame) -> DataFrame:
     """(id, neighbours, closed, coefficient): the share of pairs of a node's out-neighbours with an edge between them, either way."""
     out = edges.select("src", "dst").where("src <> dst").distinct()
     degree = out.groupBy("src").agg(F.count(F.lit(1)).alias("neighbours"))
-    link = edges.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).where("x <> y").distinct()
-    # each link looks for the nodes that have both its ends as out-neighbours: no list of all pairs
-    triangles = link.join(out.toDF("id", "x"), "x").join(out.toDF("id", "y"), ["id", "y"]).groupBy("id").agg(F.count(F.lit(1)).alias("closed"))
+    rises = F.col("src") < F.col("dst")
+    link = settled(out.groupBy(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).agg(F.bool_or(rises).alias("xy"), F.bool_or(~rises).alias("yx")))
+    # each link leaves its end with fewer links, so that a node leaves at most the square root of twice all links, hubs included
+    links = link.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    ends = link.join(links.toDF("x", "nx"), "x").join(links.toDF("y", "ny"), "y")
+    first = F.struct("nx", "x") < F.struct("ny", "y")
+    leave = settled(ends.select(
+        F.when(first, F.col("x")).otherwise(F.col("y")).alias("u"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("v"),
+        F.when(first, F.col("xy")).otherwise(F.col("yx")).alias("uv"), F.when(first, F.col("yx")).otherwise(F.col("xy")).alias("vu"),
+    ))
+    wedges = leave.toDF("u", "x", "ux", "xu").join(leave.toDF("u", "y", "uy", "yu"), "u").where("x < y")
+    corner = lambda way, node: F.when(way, F.col(node))
+    ways = F.array(corner(F.col("ux") & F.col("uy"), "u"), corner(F.col("xu") & F.col("xy"), "x"), corner(F.col("yu") & F.col("yx"), "y"))
+    triangles = wedges.join(link, ["x", "y"]).select(F.explode(F.array_compact(ways)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("closed"))
     x = degree.withColumnRenamed("src", "id").join(triangles, "id", "left").withColumn("closed", F.coalesce("closed", F.lit(0)))
     pairs = F.col("neighbours") * (F.col("neighbours") - 1) / 2
     return x.select("id", "neighbours", "closed", F.round(F.when(F.col("neighbours") > 1, F.col("closed") / pairs).otherwise(0.0), 6).alias("coefficient"))

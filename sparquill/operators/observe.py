@@ -137,13 +137,27 @@ def anomalies(events: DataFrame, reach: float) -> DataFrame:
     return g.select("user_id", F.round("last", 6).alias("last"), far.alias("anomaly"))
 
 
-def trailing(events: DataFrame, minutes: int) -> DataFrame:
-    """Each event's trailing window by type: least, first and last value, mean, deviation, events and whole minutes."""
-    at = F.unix_timestamp("ts")
-    w = Window.partitionBy("event_type").orderBy(at).rangeBetween(-60 * minutes, 0)
-    first = F.min(F.struct(at.alias("t"), F.col("event_id").alias("i"), F.col("value").alias("v"))).over(w)
-    last = F.max(F.struct(at.alias("t"), F.col("event_id").alias("i"), F.col("value").alias("v"))).over(w)
-    return events.select("event_id", "event_type", F.min("value").over(w).alias("least"), first.alias("a"), last.alias("b"), F.avg("value").over(w).alias("mean"), F.stddev_pop("value").over(w).alias("sd"), F.count(F.lit(1)).over(w).alias("n"))
+def trailing(events: DataFrame, minutes: int, spans: int = 8) -> DataFrame:
+    """Each event's trailing window by type: least, first and last value, mean, deviation, events and whole minutes.
+
+    A type's time is cut into stretches of `spans` windows. The events of a
+    stretch's last window are copied into the next one, where they are seen but
+    have no row of their own: so a type that holds most events is dealt to as
+    many tasks as there are stretches.
+    """
+    reach = 60 * minutes
+    length = max(reach, 1) * spans
+    x = events.select("event_id", "event_type", "value", F.unix_timestamp("ts").alias("at")).withColumn("stretch", F.floor(F.col("at") / length))
+    own = F.struct("stretch", F.lit(True).alias("own"))
+    seen = F.when(F.col("at") >= (F.col("stretch") + 1) * length - reach, F.struct((F.col("stretch") + 1).alias("stretch"), F.lit(False).alias("own")))
+    x = x.select("event_id", "event_type", "value", "at", F.explode(F.array_compact(F.array(own, seen))).alias("s"))
+    w = Window.partitionBy("event_type", "s.stretch").orderBy("at").rangeBetween(-reach, 0)
+    place = F.struct(F.col("at").alias("t"), F.col("event_id").alias("i"), F.col("value").alias("v"))
+    found = x.select(
+        "event_id", "event_type", F.min("value").over(w).alias("least"), F.min(place).over(w).alias("a"), F.max(place).over(w).alias("b"), F.avg("value").over(w).alias("mean"),
+        F.stddev_pop("value").over(w).alias("sd"), F.count(F.lit(1)).over(w).alias("n"), F.col("s.own").alias("own"),
+    )
+    return found.where("own").drop("own")
 
 
 def alerts(events: DataFrame, minutes: int, threshold: float, rate: float, reach: float) -> DataFrame:

@@ -149,3 +149,19 @@ def test_stream_equals_batch_at_every_trigger_and_after_restarts(spark, tmp_path
         before, told = cut, len(want)
     assert told > 50
     assert spark.read.parquet(folder["log"]).where(F.col("at") > at(2100)).count() == 0
+
+
+@pytest.mark.parametrize("spans", [1, 3])
+def test_trailing_windows_over_stretches_are_those_over_all_events(spark, spans):
+    from sparquill.operators.observe import trailing
+
+    rng = random.Random(spans)
+    events = [(n, START + dt.timedelta(seconds=rng.choice((0, 300, 600, 900, rng.randrange(20000)))), "hot" if n % 3 else "other", float(rng.randrange(50))) for n in range(600)]
+    events += [(600 + n, None, "hot", 1.0) for n in range(3)]
+    found = {r.event_id: (r.event_type, r.least, r.a.i, r.b.i, round(r["mean"], 9), r.n) for r in trailing(spark.createDataFrame(events, "event_id long, ts timestamp, event_type string, value double"), 5, spans).collect()}
+    assert len(found) == len(events)
+    for i, t, k, _v in events:
+        reach = [(u, j, w) for j, u, m, w in events if m == k and (u is None if t is None else u is not None and 0 <= (t - u).total_seconds() <= 300)]
+        order = sorted(reach, key=lambda x: (x[0] or START, x[1]))
+        values = [w for _, _, w in reach]
+        assert found[i] == (k, min(values), order[0][1], order[-1][1], round(sum(values) / len(values), 9), len(values))
