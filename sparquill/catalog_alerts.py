@@ -103,6 +103,10 @@ def alert_life_streamed(spark, d):
     table = _events(spark, d)
     events = read_events(spark, f"{d}/events.parque[t]", table.schema)  # a pattern, since a stream takes no single file
     root = f"{shared_folder(spark)}/sparquill/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(path)
+    files.deleteOnExit(path)  # what is left goes when the session ends
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
