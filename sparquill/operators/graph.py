@@ -220,38 +220,60 @@ def kinds(nodes: DataFrame, edges: DataFrame, bytes_each: int = 1000) -> DataFra
     return count(nodes, "node").union(count(edges, "edge"))
 
 
+BATCH_ROWS = 20_000_000  # (source, node) pairs that a batch of betweenness() aims at
+TWIN_LINKS = 32  # links of a source that is looked for twins
+
+
+def _sources(ids: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, weight): the nodes, but of those that nothing links to and that link to the same nodes only the least, with their number."""
+    out = links.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= TWIN_LINKS).select("src")
+    roots = out.join(links.select(F.col("dst").alias("src")), "src", "left_anti")
+    near = links.join(roots, "src", "left_semi").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("near"))
+    twins = near.join(ids, "id", "left_semi").groupBy("near").agg(F.min("id").alias("id"), F.count(F.lit(1)).cast("double").alias("weight"))
+    others = ids.join(near.select("id"), "id", "left_anti")
+    return twins.select("id", "weight").unionByName(others.withColumn("weight", F.lit(1.0)))
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, batch: int = 256) -> DataFrame:
     """(id, betweenness): the share of shortest ways between two others that pass each node, summed over these, over (n - 1)(n - 2).
 
     Sources go in batches. From each source, ways are counted level by level;
     then what nodes owe to those behind them flows back, one level at a time. A
-    level is a table of (source, node, ways), so that a batch holds `batch` times
-    the nodes at most. Edges that repeat count once, loops not at all.
+    level is a table of (source, node, ways), so that a batch of `batch` sources
+    holds that many times the nodes at most. Batches grow while sources reach few
+    nodes, up to BATCH_ROWS pairs or so. Sources that no way can pass or end at
+    and that link to the same nodes owe them the same: one stands for all.
+    Edges that repeat count once, loops not at all.
     """
     ids = settled(nodes.select("id").distinct())
     links = settled(edges.select("src", "dst").where("src <> dst").distinct())
     n = ids.count()
-    parts = max(1, -(-n // batch))
-    owed = None
-    for part in range(parts):
-        sources = ids.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)
-        levels = [settled(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("ways")))]
+    every = settled(_sources(ids, links))
+    m = max(every.count(), 1)
+    place = F.pmod(F.xxhash64("id"), F.lit(m))
+    owed, at, size = None, 0, batch
+    while at < m:
+        sources = every.where((place >= at) & (place < at + size))
+        levels = [settled(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("ways"), "weight"))]
         seen = levels[0].select("s", "v")
+        pairs = 0
         while True:
-            ahead = links.join(levels[-1], links["src"] == levels[-1]["v"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("ways").alias("ways"))
+            ahead = links.join(levels[-1], links["src"] == levels[-1]["v"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum("ways").alias("ways"), F.max("weight").alias("weight"))
             level = settled(ahead.join(seen, ["s", "v"], "left_anti"))
-            if level.isEmpty():
+            if not (rows := level.count()):
                 break
+            pairs += rows
             levels.append(level)
             seen = seen.union(level.select("s", "v"))
         back = None
         for level, before in zip(levels[:0:-1], levels[-2::-1], strict=True):
-            here = level.withColumn("owed", F.lit(0.0)) if back is None else level.join(back, ["s", "v"], "left").select("s", "v", "ways", F.coalesce("owed", F.lit(0.0)).alias("owed"))
-            each = links.join(here.select("s", F.col("v").alias("dst"), ((1 + F.col("owed")) / F.col("ways")).alias("part")), "dst").select("s", F.col("src").alias("v"), "part")
+            here = level.withColumn("owed", F.lit(0.0)) if back is None else level.join(back.select("s", "v", "owed"), ["s", "v"], "left").select("s", "v", "ways", "weight", F.coalesce("owed", F.lit(0.0)).alias("owed"))
+            each = links.join(here.select("s", F.col("v").alias("dst"), ((F.col("weight") + F.col("owed")) / F.col("ways")).alias("part")), "dst").select("s", F.col("src").alias("v"), "part")
             back = settled(before.join(each, ["s", "v"]).groupBy("s", "v").agg((F.first("ways") * F.sum("part")).alias("owed")))
             middle = back.where("s <> v").groupBy("v").agg(F.sum("owed").alias("owed"))
             owed = middle if owed is None else owed.union(middle)
         owed = owed and settled(owed.groupBy("v").agg(F.sum("owed").alias("owed")))
+        at, size = at + size, max(batch, min(16 * size, BATCH_ROWS * size // max(pairs, 1)))
     scale = float((n - 1) * (n - 2)) if n > 2 else 1.0
     if owed is None:
         return ids.select("id", F.lit(0.0).alias("betweenness"))

@@ -90,3 +90,20 @@ def test_betweenness_equals_brute_force(spark, batch):
     assert got == pytest.approx(brute_betweenness(nodes, edges)) and max(got.values()) > 0
     alone = graph.betweenness(table([("a",), ("b",)], "id string"), table([], "src string, dst string"), batch)
     assert {tuple(r) for r in alone.collect()} == {("a", 0.0), ("b", 0.0)}
+
+
+def test_betweenness_takes_sources_alike_as_one(spark, monkeypatch):
+    """A star of many sources is one batch, and counts as often as it has sources; hubs and near twins keep their own."""
+    rng = random.Random(7)
+    nodes = [f"n{i}" for i in range(6)] + [f"s{i}" for i in range(14)]
+    edges = [(rng.choice(nodes[:6]), rng.choice(nodes[:6])) for _ in range(12)] + [(f"s{i}", f"n{i % 3}") for i in range(12)] + [("s12", "n0"), ("s12", "n1"), ("s13", "n1"), ("s13", "n0")]
+    rounds = []
+    settle = graph.settled
+    monkeypatch.setattr(graph, "settled", lambda df: rounds.append(df) or settle(df))
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    for links in (32, 1):  # with 1, the sources of two links stand for themselves
+        monkeypatch.setattr(graph, "TWIN_LINKS", links)
+        rounds.clear()
+        got = {r.id: r.betweenness for r in graph.betweenness(table([(n,) for n in nodes], "id string"), table(edges, "src string, dst string"), 4).collect()}
+        assert got == pytest.approx(brute_betweenness(nodes, edges)) and max(got.values()) > 0
+        assert len(rounds) < 30
