@@ -140,24 +140,44 @@ def anomalies(events: DataFrame, reach: float) -> DataFrame:
 def trailing(events: DataFrame, minutes: int, spans: int = 8) -> DataFrame:
     """Each event's trailing window by type: least, first and last value, mean, deviation, events and whole minutes.
 
-    A type's time is cut into stretches of `spans` windows. The events of a
-    stretch's last window are copied into the next one, where they are seen but
-    have no row of their own: so a type that holds most events is dealt to as
-    many tasks as there are stretches.
+    A type's time is cut into blocks as long as a window, so that a window is the
+    end of one block and the beginning of the next. Both only ever grow, the one
+    backwards and the other forwards, so each event is added to each once,
+    however many others are in its window. The halves' deviations are merged by
+    their means. A task gets a stretch of `spans` blocks, and copies of the
+    events of the block ahead of it, which have no row of their own.
     """
     reach = 60 * minutes
-    length = max(reach, 1) * spans
-    x = events.select("event_id", "event_type", "value", F.unix_timestamp("ts").alias("at")).withColumn("stretch", F.floor(F.col("at") / length))
-    own = F.struct("stretch", F.lit(True).alias("own"))
-    seen = F.when(F.col("at") >= (F.col("stretch") + 1) * length - reach, F.struct((F.col("stretch") + 1).alias("stretch"), F.lit(False).alias("own")))
-    x = x.select("event_id", "event_type", "value", "at", F.explode(F.array_compact(F.array(own, seen))).alias("s"))
-    w = Window.partitionBy("event_type", "s.stretch").orderBy("at").rangeBetween(-reach, 0)
+    length = max(reach, 0) + 1  # seconds from the oldest to the newest in reach, both counted
+    block, after = F.floor(F.col("at") / length), F.floor(F.col("at") / length) + 1
+    of = lambda b: F.floor(b / spans)
+    x = events.select("event_id", "event_type", "value", F.unix_timestamp("ts").alias("at"))
+    next_one = F.when(of(after) > of(block), F.struct(of(after).alias("stretch"), F.lit(False).alias("mine")))
+    x = x.select("event_id", "event_type", "value", "at", F.inline(F.array_compact(F.array(F.struct(of(block).alias("stretch"), F.lit(True).alias("mine")), next_one))))
+    x = x.repartition("event_type", "stretch")
+    # seen from the block after, an event is in reach of all up to `reach` behind it
+    own = F.when(F.col("mine"), F.struct(block.alias("block"), F.col("at").alias("key"), F.lit(True).alias("own")))
+    old = F.when(of(after) == F.col("stretch"), F.struct(after.alias("block"), (F.col("at") + reach).alias("key"), F.lit(False).alias("own")))
+    x = x.select("event_id", "event_type", "value", "at", "stretch", F.inline(F.array_compact(F.array(own, old))))
+    w = Window.partitionBy("event_type", "stretch", "block")
+    up_to = lambda order: w.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     place = F.struct(F.col("at").alias("t"), F.col("event_id").alias("i"), F.col("value").alias("v"))
-    found = x.select(
-        "event_id", "event_type", F.min("value").over(w).alias("least"), F.min(place).over(w).alias("a"), F.max(place).over(w).alias("b"), F.avg("value").over(w).alias("mean"),
-        F.stddev_pop("value").over(w).alias("sd"), F.count(F.lit(1)).over(w).alias("n"), F.col("s.own").alias("own"),
+    halves = {"1": (up_to(F.asc("key")), F.col("own")), "2": (up_to(F.desc("key")), ~F.col("own"))}
+    seen = []
+    for k, (frame, part) in halves.items():
+        v = F.when(part, F.col("value"))
+        each = {"low": F.min(v), "high": F.max(v), "a": F.min(F.when(part, place)), "b": F.max(F.when(part, place)), "mean": F.avg(v), "var": F.var_pop(v), "c": F.count(v), "n": F.count(F.when(part, F.lit(1)))}
+        seen += [f.over(frame).alias(name + k) for name, f in each.items()]
+    x = x.select("event_id", "event_type", "own", *seen).where("own")
+    both = lambda f, name: f(F.col(f"{name}1"), F.col(f"{name}2"))
+    c1, c2, m1, m2, v1, v2 = (F.coalesce(F.col(k), F.lit(0)) for k in ("c1", "c2", "mean1", "mean2", "var1", "var2"))
+    mean = F.when(c2 == 0, F.col("mean1")).when(c1 == 0, F.col("mean2")).otherwise((c1 * m1 + c2 * m2) / (c1 + c2))
+    spread = F.try_divide(c1 * v1 + c2 * v2 + F.coalesce(F.try_divide(c1 * c2 * (m1 - m2) * (m1 - m2), c1 + c2), F.lit(0.0)), c1 + c2)
+    alike = both(F.least, "low") == both(F.greatest, "high")  # equal values have no deviation, whatever their means round to
+    return x.select(
+        "event_id", "event_type", both(F.least, "low").alias("least"), both(F.least, "a").alias("a"), both(F.greatest, "b").alias("b"), mean.alias("mean"),
+        F.when(alike, 0.0).otherwise(F.sqrt(spread)).alias("sd"), (F.col("n1") + F.col("n2")).alias("n"),
     )
-    return found.where("own").drop("own")
 
 
 def alerts(events: DataFrame, minutes: int, threshold: float, rate: float, reach: float) -> DataFrame:

@@ -165,3 +165,26 @@ def test_trailing_windows_over_stretches_are_those_over_all_events(spark, spans)
         order = sorted(reach, key=lambda x: (x[0] or START, x[1]))
         values = [w for _, _, w in reach]
         assert found[i] == (k, min(values), order[0][1], order[-1][1], round(sum(values) / len(values), 9), len(values))
+
+
+@pytest.mark.parametrize("spans", [1, 4])
+def test_trailing_windows_meet_each_event_twice_at_most(spark, spans):
+    """Deviations of windows over two blocks, equal values, nulls; and no frame of the plan slides, which would read a window anew for each event."""
+    from sparquill.operators.observe import trailing
+
+    rng = random.Random(spans)
+    values = [0.1, 0.1, 0.1, 0.1, 1e6 + 0.1, None]
+    events = [(n, dt.datetime(1969, 12, 31, 23, 50) + dt.timedelta(seconds=rng.randrange(4000)), rng.choice(["a", "b", None]), rng.choice(values if n % 2 else values[:1])) for n in range(300)]
+    events += [(300 + n, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=100 * n), "same", 0.1) for n in range(30)]
+    table = spark.createDataFrame(events, "event_id long, ts timestamp, event_type string, value double")
+    found = {r.event_id: r for r in trailing(table, 5, spans).collect()}
+    assert len(found) == len(events)
+    for i, t, k, _v in events:
+        here = [(u, j, w) for j, u, m, w in events if m == k and 0 <= (t - u).total_seconds() <= 300]
+        some = [w for *_, w in here if w is not None]
+        r = found[i]
+        assert (r.n, r.a.i, r.b.i, r.least) == (len(here), min(here, key=lambda x: x[:2])[1], max(here, key=lambda x: x[:2])[1], min(some, default=None))
+        mean = sum(some) / len(some) if some else None
+        assert (r["mean"] == pytest.approx(mean, rel=1e-12) if some else r["mean"] is None) and r.sd == (pytest.approx((sum((w - mean) ** 2 for w in some) / len(some)) ** 0.5, rel=1e-9) if len(set(some)) > 1 else 0.0 if some else None)
+    frames = trailing(table, 5, spans)._jdf.queryExecution().optimizedPlan().toString()
+    assert "specifiedwindowframe(RangeFrame, unboundedpreceding$(), currentrow$())" in frames and "RangeFrame, -" not in frames
