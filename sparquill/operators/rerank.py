@@ -2,38 +2,46 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import set_jaccard, words
-from ..plans.rounds import few_rows
+from ..plans.rounds import few_rows, settled
 
 
-def document_quality(text: Column) -> Column:
-    """Mean of three bands: bytes, bytes a word, words a part between full stops."""
-    n, w, s = F.octet_length(text), F.size(words(text)), F.size(F.split(text, "\\."))
+def document_quality(text: Column, w: Column | None = None) -> Column:
+    """Mean of three bands: bytes, bytes a word, words a part between full stops. w: how many words the text has, if that is known."""
+    n, s = F.octet_length(text), F.char_length(text) - F.char_length(F.replace(text, F.lit("."), F.lit(""))) + 1
+    w = F.size(words(text)) if w is None else w
     per_word, per_part = n / F.greatest(w, F.lit(1)), w / F.greatest(s, F.lit(1))
     inside = lambda x, low, high: (x > low) & (x < high)
     return (F.when(inside(n, 100, 5000), 1.0).otherwise(0.5) + F.when(inside(per_word, 3, 15), 1.0).otherwise(0.7) + F.when(inside(per_part, 5, 30), 1.0).otherwise(0.8)) / 3
 
 
 def signals(candidates: DataFrame, query: str) -> DataFrame:
-    """(doc_id, signal, value): overlap with the query, quality, and length of each candidate."""
+    """(doc_id, signal, value): overlap with the query, quality, and length of each candidate. Texts are split into words once."""
     q = F.array(*map(F.lit, query.split()))
-    t = F.col("text")
+    t, w = F.col("text"), F.col("w")
     values = F.array(
-        F.struct(F.lit("overlap").alias("signal"), set_jaccard(words(t), q).alias("value")), F.struct(F.lit("quality").alias("signal"), document_quality(t).alias("value")),
-        F.struct(F.lit("length").alias("signal"), F.size(words(t)).cast("double").alias("value")),
+        F.struct(F.lit("overlap").alias("signal"), set_jaccard(w, q).alias("value")), F.struct(F.lit("quality").alias("signal"), document_quality(t, F.size(w)).alias("value")),
+        F.struct(F.lit("length").alias("signal"), F.size(w).cast("double").alias("value")),
     )
-    return candidates.select("doc_id", F.inline(values))
+    return candidates.select("doc_id", "text", words(t).alias("w")).select("doc_id", F.inline(values))
 
 
 def scaled(values: DataFrame, how: str) -> DataFrame:
     """Each signal over all candidates: min-max, z-score with a sigmoid, or rank.
 
     The first two gather four numbers a signal; ranks sort a signal's values,
-    so they are meant for the candidates of a search.
+    so they are meant for the candidates of a search. Values are written once:
+    what they come from is not read again for these numbers.
     """
+    values = settled(values)
     v = F.col("value")
     if how == "rank":
         w = Window.partitionBy("signal")
@@ -58,23 +66,70 @@ def token_likeness(a: Column, b: Column) -> Column:
     return F.when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.7).otherwise(0.5 * set_jaccard(F.split(x, ""), F.split(y, "")))
 
 
-def cross_scores(pairs: DataFrame, ids: list[str], least: float = 0.3) -> DataFrame:
-    """Scores of (query, document) rows by the likeness of their words: plain, with a wave of the length, and with less for the query's length."""
-    q, d = words(F.col("query")), words(F.col("document"))
-    x = pairs.select(*ids, "query", "document", q.alias("q"), d.alias("d"))
-    likes = F.flatten(F.transform("q", lambda a: F.transform(F.col("d"), lambda b: token_likeness(a, b))))
-    x = x.select(*ids, "query", "document", F.size("q").alias("nq"), F.size("d").alias("nd"), F.filter(likes, lambda s: s > least).alias("hits"), likes.alias("every"))
-    total = F.aggregate("hits", F.lit(0.0), lambda s, v: s + v)
-    base = F.least(F.greatest(total / F.col("nq") / (1 + F.col("nd") / 100) + F.when(F.size("hits") / F.col("nq") > 0.5, 0.2).otherwise(0.0), F.lit(0.0)), F.lit(1.0))
-    third, second = _power_sum(3.0), _power_sum(2.0)
-    neural = 1 / (1 + F.exp(-4 * F.coalesce(F.try_divide(third, second), F.lit(0.0))))
-    wave = F.least(base + 0.05 * F.abs(F.sin(F.log10(F.octet_length("document").cast("double")))), F.lit(1.0))
-    small = F.greatest(F.lit(0.0), base - 0.02 * (F.octet_length("query") % 7) / 7)
-    return x.select(*ids, F.round(base, 6).alias("plain"), F.round(wave, 6).alias("wave"), F.round(small, 6).alias("small"), F.round(neural, 6).alias("neural"), F.round(F.least(1.05 * neural, F.lit(1.0)), 6).alias("neural_wide"))
+def _word_pairs(least: float, rows: int = 500, most: int = 500_000):
+    """For each row's word lists q and d: sum and number of the likenesses above `least` of all pairs, and the sums of cubes and squares of all.
+
+    Different words meet once and count as often as they stand there. Likenesses
+    are kept for later rows, `most` of them, as texts share most of their words.
+    """
+
+    def likeness(x: str, y: str) -> float:
+        if x in y or y in x:
+            return 1.0 if x == y else 0.7
+        a, b = set(x), set(y)
+        both = len(a & b)
+        return 0.5 * (both / (len(a) + len(b) - both))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[str, float]] = {}
+        held = 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
+                out = []
+                for q, d in zip(batch.column("q").to_pylist(), batch.column("d").to_pylist(), strict=True):
+                    if q is None or d is None:
+                        out.append((None, None, None, None))
+                        continue
+                    total = third = second = 0.0
+                    hits = 0
+                    theirs = list(Counter(d).items())
+                    for x, nx in Counter(q).items():
+                        of_x = known.setdefault(x, {})
+                        for y, ny in theirs:
+                            v = of_x.get(y)
+                            if v is None:
+                                v = of_x[y] = likeness(x, y)
+                                held += 1
+                            n = nx * ny
+                            second += n * v * v
+                            third += n * v * v * v
+                            if v > least:
+                                hits += n
+                                total += n * v
+                    out.append((total, hits, third, second))
+                    if held > most:
+                        known, held = {}, 0
+                sums = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.float64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
+                own = batch.drop_columns(["q", "d"])
+                yield pa.RecordBatch.from_arrays([*own.columns, *sums], names=[*own.schema.names, "total", "hits", "third", "second"])
+
+    return run
 
 
-def _power_sum(power: float) -> Column:
-    return F.aggregate("every", F.lit(0.0), lambda s, v: s + F.pow(v, F.lit(power)))
+def cross_scores(pairs: DataFrame, ids: list[str], least: float = 0.3) -> DataFrame:
+    """Scores of (query, document) rows by the likeness of their words, as token_likeness() has it: plain, with a wave of the length, and with less for the query's length."""
+    q, d = (F.transform(words(F.col(k)), F.lower) for k in ("query", "document"))
+    x = pairs.select(*ids, F.octet_length("query").alias("q_bytes"), F.octet_length("document").alias("d_bytes"), q.alias("q"), d.alias("d"))
+    x = x.select(*ids, "q_bytes", "d_bytes", F.size("q").alias("nq"), F.size("d").alias("nd"), "q", "d")
+    kinds = StructType([f for f in x.schema.fields if f.name not in ("q", "d")]).add("total", "double").add("hits", "long").add("third", "double").add("second", "double")
+    x = x.mapInArrow(_word_pairs(least), kinds)
+    base = F.try_divide("total", "nq") / (1 + F.col("nd") / 100) + F.when(F.try_divide("hits", "nq") > 0.5, 0.2).otherwise(0.0)
+    base = F.least(F.greatest(base, F.lit(0.0)), F.lit(1.0))
+    neural = 1 / (1 + F.exp(-4 * F.coalesce(F.try_divide("third", "second"), F.lit(0.0))))
+    wave = F.least(base + 0.05 * F.abs(F.sin(F.log10(F.col("d_bytes").cast("double")))), F.lit(1.0))
+    small = F.greatest(F.lit(0.0), base - 0.02 * (F.col("q_bytes") % 7) / 7)
+    return x.select(*ids, F.round(base, 6).alias("plain"), F.round(wave, 6).alias("wave"), F.round(small, 6).alias("small"), F.round(neural, 6).alias("neural"), F.round(F.least(1.05 * neural, F.lit(1.0)), 6).alias("neural_wide"))
 
 
 def candidates(found: DataFrame, how: str, value: float = 0.0, batch: int = 16) -> DataFrame:
