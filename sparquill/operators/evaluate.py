@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import common_length, let, sentences, set_jaccard, sum_of, syllables, word_grams, words
 
@@ -146,11 +153,53 @@ def entropy_rate(w: Column) -> Column:
     return F.when(F.size(w) > 0, F.exp(-sum_of(F.transform(kinds, lambda x: p(x) * F.log(p(x)))) / F.size(kinds)))
 
 
+def _longest_common(a: list[str], b: list[str]) -> int:
+    """Length of the longest common subsequence, the table's rows as bits of one number."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for y in b:
+        if here := row & places.get(y, 0):
+            row = (row + here | row - here) & full
+    return len(a) - row.bit_count()
+
+
+def _text_pair(a: list[str] | None, b: list[str] | None) -> tuple[float, float, float, int | None, float | None]:
+    """Cosine, BLEU of two words, ROUGE-L, longest common subsequence and entropy rate, as the column functions above have them."""
+    mine = Counter(a or ())
+    rate = math.exp(-sum(n / len(a) * math.log(n / len(a)) for n in mine.values()) / len(mine)) if mine else None
+    if a is None or b is None:
+        return 0.0, 0.0, 0.0, None, rate
+    theirs = Counter(b)
+    norms = math.sqrt(sum(n * n for n in mine.values())) * math.sqrt(sum(n * n for n in theirs.values()))
+    cosine = sum(n * theirs[w] for w, n in mine.items() if w in theirs) / norms if norms else 0.0
+    grams = set(itertools.pairwise(b))
+    pairs = max(len(a) - 1, 0)
+    common = _longest_common(a, b)
+    p, r = (common / len(x) if x else 0.0 for x in (a, b))
+    return cosine, sum(g in grams for g in itertools.pairwise(a)) / pairs if pairs else 0.0, 1.0 if not a and not b else 2 * p * r / (p + r) if common else 0.0, common, rate
+
+
+def _text_pairs(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    kinds = {"cosine": pa.float64(), "bleu_2": pa.float64(), "rouge_l": pa.float64(), "common": pa.int64(), "entropy_rate": pa.float64()}
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            batch = whole.slice(at, rows)
+            found = zip(*map(_text_pair, batch.column("wa").to_pylist(), batch.column("wb").to_pylist()), strict=True)
+            ids = batch.drop_columns(["wa", "wb"])
+            yield pa.RecordBatch.from_arrays([*ids.columns, *(pa.array(c, k) for c, k in zip(found, kinds.values(), strict=True))], names=[*ids.schema.names, *kinds])
+
+
 def pair_metrics(pairs: DataFrame, ids: list[str]) -> DataFrame:
     """Cosine, BLEU of two words, ROUGE-L and entropy rate of texts a (candidate) and b (reference)."""
     x = pairs.select(*ids, words(F.col("a")).alias("wa"), words(F.col("b")).alias("wb"))
-    a, b = F.col("wa"), F.col("wb")
-    return x.select(*ids, F.round(text_cosine(a, b), 6).alias("cosine"), F.round(bleu(a, b, 2), 6).alias("bleu_2"), F.round(rouge_l(a, b), 6).alias("rouge_l"), common_length(a, b).cast("long").alias("common"), F.round(entropy_rate(a), 6).alias("entropy_rate"))
+    kinds = StructType([x.schema[k] for k in ids])
+    for name, kind in (("cosine", "double"), ("bleu_2", "double"), ("rouge_l", "double"), ("common", "long"), ("entropy_rate", "double")):
+        kinds.add(name, kind)
+    rounded = (F.round(k, 6).alias(k) if k != "common" else F.col(k) for k in ("cosine", "bleu_2", "rouge_l", "common", "entropy_rate"))
+    return x.mapInArrow(_text_pairs, kinds).select(*ids, *rounded)
 
 
 def answer_quality(rows: DataFrame, ids: list[str]) -> DataFrame:
