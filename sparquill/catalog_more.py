@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .catalog import _AS_OF, _BM25, _EDGES, _ENTRIES, _SNAPSHOTS, _VEC, ASKED, ONE, _events, _graph, _jaccard_sql, _keyword, _knn_sql, _snapshots, _WORDS, _semantic, query  # noqa: PLC2701
 from .functions import text as tx
 from .functions import vectors as vx
-from .operators import caches, changes, evaluate, graph, observe, rerank, search, storage, understand
+from .operators import caches, changes, evaluate, graph, observe, profile, rerank, search, storage, understand
 from .sources import tables
 from .sources.files import read_table
 
@@ -42,9 +42,7 @@ def text_prepared(spark, d):
 
 @query("""WITH g AS (SELECT doc_id, substr(text, i, 3) AS g FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 3 + 2, 1))) AS i FROM documents WHERE length(text) >= 3)) SELECT doc_id, count(*) AS n, count(DISTINCT g) AS kinds FROM g WHERE trim(g, ' ') <> '' GROUP BY 1""")
 def char_grams(spark, d):
-    g = tx.char_grams(F.col("text"), 3)
-    x = read_table(spark, d, "documents").select("doc_id", F.size(g).cast("long").alias("n"), F.size(F.array_distinct(g)).cast("long").alias("kinds"))
-    return x.where("n > 0")
+    return profile.gram_counts(read_table(spark, d, "documents"), 3)
 
 
 @query("SELECT page_id, md5(string_split(html, '<')[1] || coalesce(array_to_string(list_transform(string_split(html, '<')[2:], lambda p: CASE WHEN contains(p, '>') THEN substr(p, instr(p, '>') + 1) ELSE '' END), ''), '')) AS hash FROM pages")
@@ -279,7 +277,7 @@ def search_boosted(spark, d):
 @query(f"""WITH {_BM25.split(",\nlengths AS")[0].removeprefix("WITH ")}, t AS (SELECT id, term, count(*) AS n FROM terms GROUP BY 1, 2), l AS (SELECT id, sum(n) AS len FROM t GROUP BY 1), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1)
 SELECT term, count(*) AS df, round(sum(n::DOUBLE / len), 4) AS weight FROM t JOIN l USING (id) JOIN d USING (term) GROUP BY 1""")
 def index_postings(spark, d):
-    return search.postings(read_table(spark, d, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.round(F.sum("tf"), 4).alias("weight"))
+    return search.term_shares(read_table(spark, d, "documents")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.round(F.sum("tf"), 4).alias("weight"))
 
 
 # query understanding

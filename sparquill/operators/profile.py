@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,33 @@ def columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*names)))
 
 
+def gram_counts(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n, kinds): how many runs of n characters char_grams() has of each text, and how many different ones; texts without any have no row."""
+
+    def counted(raw: bytes | None) -> tuple[int, int]:
+        chars = np.frombuffer((raw or b"").decode().encode("utf-32-le"), "<u4").astype(np.int64)
+        rows = len(chars) - n + 1
+        if rows < 1:
+            return 0, 0
+        key, solid = chars[:rows], chars[:rows] != 32
+        for j in range(1, n):
+            if j > 2:  # three characters fill a key, more of them take the places of those before
+                key = np.unique(key, return_inverse=True)[1]
+            key = key << 21 | chars[j : j + rows]
+            solid = solid | (chars[j : j + rows] != 32)
+        key = np.sort(key[solid])
+        return len(key), int(np.count_nonzero(np.diff(key))) + bool(len(key))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counted(raw.as_py()) for raw in batch.column("raw")]
+            each = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(each[:, 0]), pa.array(each[:, 1])], names=["doc_id", "n", "kinds"])
+
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n long, kinds long").where("n > 0")
+
+
 def column_type(value: Column) -> Column:
     """What a text looks like: number, date, boolean or string."""
     v = F.trim(value)
