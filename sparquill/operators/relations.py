@@ -39,6 +39,7 @@ LINKED, NEAR, REACH = 0.7, 0.3, 100  # confidence of a patterned relation and of
 # where one of the fixed patterns can begin: a capital or a digit ahead of which a word begins, a dollar sign, "the" before a capital
 _STARTS = re.compile(r"[A-Z0-9$t](?:(?<=\b[A-Z0-9])|(?<=\$)(?=\d)|(?<=\bt)he(?=\s+[A-Z]))")
 
+ROWS = 200  # texts whose entities a worker holds at a time
 SPANS = "row long, doc_id long, rule int, start long, end long, first long, last long, entity string, behind string"
 
 
@@ -73,7 +74,7 @@ def spans(docs: DataFrame, patterns: Sequence[tuple[str, str]] = PATTERNS, least
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(i, re.compile(f"({without_recursion(p)})" + (f"|{passed}" if passed else ""))) for i, p, passed in rules]
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             out: list[tuple] = []
             for row, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                 places = {}
