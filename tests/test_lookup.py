@@ -41,3 +41,13 @@ def test_tiers_in_order(spark):
     assert got == {
         101: ("equal", 2, 1.0), 102: ("alike", 1, 1.0), 103: ("like", 1, 1.0), 104: (None, None, None), 105: (None, None, None), 106: (None, None, None), 107: ("equal", 7, 1.0), 3: ("equal", 8, 1.0), 108: ("like", 1, 1.0), 109: ("like", 1, 1.0),
     }
+
+
+def test_only_likely_pairs_leave_a_task(spark):
+    """Pairs are told apart where they meet: no candidate is shuffled with the words of both, as many as share a common word."""
+    titles = [(i, ["the", "of", *(f"w{i}x{j}" for j in range(3))]) for i in range(60)] + [(100, ["w1x0", "w1x1", "w1x2", "the"]), (101, ["a"] * 40 + ["the"])]
+    table = spark.createDataFrame(titles, "id long, words array<string>")
+    found = lookup.like_questions(table, table.where("id >= 0"), 0.6, a_task=20)
+    assert sorted((r.id, r.entry) for r in found.collect() if r.id != r.entry) == [(1, 100), (100, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "Join" not in plan
