@@ -37,6 +37,7 @@ class Facts:
 def facts(docs: DataFrame, patterns: Sequence[tuple[str, str]] = PATTERNS, least: float = 0.5, least_relation: float = 0.5) -> Facts:
     """What documents say; rows without doc_id are left out.
 
+    Facts are written: a graph reads them several times over as it changes.
     Rows that share a doc_id, such as chunks of a document, are texts of their
     own, in which places are counted apart, and speak for one document.
     """
@@ -45,7 +46,7 @@ def facts(docs: DataFrame, patterns: Sequence[tuple[str, str]] = PATTERNS, least
     mentions = found.groupBy("doc_id", "key").agg(F.min("entity").alias("label"), F.count(F.lit(1)).alias("mentions"), F.max("confidence").alias("confidence"))
     tied = relations.relations(found, least_relation).select("doc_id", folded(F.col("subject")).alias("src"), "kind", folded(F.col("object")).alias("dst"), "confidence").where("src <> dst")
     said = tied.groupBy("doc_id", "src", "kind", "dst").agg(F.count(F.lit(1)).alias("mentions"), F.max("confidence").alias("confidence"))
-    return Facts(mentions, said, docs.select("doc_id").distinct())
+    return Facts(settled(mentions), settled(said), settled(docs.select("doc_id").distinct()))
 
 
 def _entity(key: str) -> Column:
@@ -112,7 +113,7 @@ class EntityGraph:
         """Without these documents (doc_id), and what only they spoke of."""
         ids = doc_ids.select("doc_id").distinct()
         f = self.facts
-        left = Facts(*(x.join(ids, "doc_id", "left_anti") for x in (f.mentions, f.relations, f.documents)))
+        left = Facts(*(settled(x.join(ids, "doc_id", "left_anti")) for x in (f.mentions, f.relations, f.documents)))
         gone = Facts(*(x.join(ids, "doc_id", "left_semi") for x in (f.mentions, f.relations, f.documents)))
         return self._after(left, gone)
 
