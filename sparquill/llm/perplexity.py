@@ -38,13 +38,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytesnp import LEAD, SPACE, U64, hashes_of, mix, per_row, text_runs, word_spans
 from .common import Scratch, pieces_for
 
-FREQUENT = 1000  # a word is frequent if it has this part of all pairs
+FREQUENT: int | None = None  # if set, only pairs of words that each have this part of all pairs are kept
 FEW = 4_000_000  # entries of the word table (13 bytes each) that are broadcast
 GATHERED = 8 << 20  # bytes of text whose pairs are gathered before they are sent
 MOST_LANGUAGES = 100_000  # rows of bands that may be broadcast
@@ -370,25 +370,40 @@ def _joined(scores: DataFrame, words: DataFrame, model: Model) -> DataFrame:
     return scores.drop("words", "times").join(sums, "row", "left").withColumn("log2", F.col("log2") + F.coalesce("more", F.lit(0.0))).drop("more")
 
 
-def quality_rules(docs: DataFrame, reach: float = 2.2, short_words: int = 150, few: int = FEW) -> DataFrame:
-    """Base counts, base_failed, kept, perplexity and its language's band, of every document."""
-    scratch = Scratch(docs.sparkSession)
+def pruned_scores(docs: DataFrame, scratch: Scratch, few: int) -> DataFrame:
+    """Scores by the pairs of frequent words only."""
     words = word_table(docs, scratch)
     model = unigram_model(words)
     model = with_pairs(model, count_pairs(docs, model))
     entries = words.agg(F.coalesce(F.sum(F.octet_length("counts") / 4), F.lit(0))).first()[0]
     if entries <= few:
-        scores = scratch.table(score_documents(docs, model, _whole_table(words)), "scores")
-    else:
-        scores = scratch.table(_joined(scratch.table(score_documents(docs, model, None), "open_scores"), words, model), "scores")
-    scores = scores.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).withColumn("bits", -F.col("log2") / F.greatest("n_words", F.lit(1)))
-    quartiles = scores.where(~F.col("base_failed")).groupBy("lang").agg(F.percentile_approx("bits", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100_000).alias("q"))
-    bands = scratch.table(quartiles.select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3")), "bands")
+        return scratch.table(score_documents(docs, model, _whole_table(words)), "scores")
+    return scratch.table(_joined(scratch.table(score_documents(docs, model, None), "open_scores"), words, model), "scores")
+
+
+def quality_rules(docs: DataFrame, reach: float = 2.2, short_words: int = 150, few: int = FEW) -> DataFrame:
+    """Base counts, base_failed, kept, perplexity and its language's band, of every document."""
+    from . import word_pairs  # it takes the words from here
+
+    scratch = Scratch(docs.sparkSession)
+    whole = FREQUENT is None
+    scores = scratch.table(word_pairs.score_documents(docs), "scores") if whole else pruned_scores(docs, scratch, few)
+    scores = scores.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    orders = {"": "log2", "word_": "words_log2"} if whole else {"": "log2"}
+    for name, log2 in orders.items():
+        scores = scores.withColumn(f"{name}bits", -F.col(log2) / F.greatest("n_words", F.lit(1)))
+    quartiles = (F.percentile_approx(f"{name}bits", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 100_000).alias(f"{name}q") for name in orders)
+    bands = scratch.table(scores.where(~F.col("base_failed")).groupBy("lang").agg(*quartiles), "bands")
     if bands.count() <= MOST_LANGUAGES:
         bands = F.broadcast(bands)
-    width = (F.col("q3") - F.col("q1")) * reach * F.sqrt(1 + short_words / F.greatest("n_words", F.lit(1)))
-    low, high = F.col("q2") - width, F.col("q2") + width
-    return scores.join(bands, "lang", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & F.coalesce(F.col("bits").between(low, high), F.lit(False))).alias("kept"), F.pow(F.lit(2.0), "bits").alias("perplexity"), F.pow(F.lit(2.0), low).alias("low"), F.pow(F.lit(2.0), high).alias("high"),
-    )
+
+    def edge(name: str, side: int) -> Column:
+        q = F.col(f"{name}q")
+        return q[1] + side * (q[2] - q[0]) * reach * F.sqrt(1 + short_words / F.greatest("n_words", F.lit(1)))
+
+    least = "word_" if whole else ""
+    good = F.col(f"{least}bits") >= edge(least, -1)
+    for name in orders:
+        good &= F.col(f"{name}bits") <= edge(name, 1)
+    out = [F.pow(F.lit(2.0), x).alias(f"{name}{kind}") for name in orders for kind, x in (("perplexity", F.col(f"{name}bits")), ("low", edge(name, -1)), ("high", edge(name, 1)))]
+    return scores.join(bands, "lang", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & F.coalesce(good, F.lit(False))).alias("kept"), *out)
