@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +50,12 @@ PASSED = {
 }
 
 
+# Patterns of words from a list: what the list's words begin with, so that no other word is held against all of them.
+BEGINS = {PATTERNS[5][1]: "[A-Z]", PATTERNS[6][1]: "[A-Z]", PATTERNS[14][1]: "[A-Z]"}
+# Patterns that need one of a few words: texts without any are passed over.
+NEEDS = {PATTERNS[3][1]: ("Corporation", "Foundation", "Association", "Agency", "Department"), PATTERNS[9][1]: ("$",), PATTERNS[10][1]: ("dollar", "USD", "cent"), PATTERNS[11][1]: ("%",), PATTERNS[12][1]: ("percent",)}
+
+
 def without_recursion(pattern: str) -> str:
     """The same matches from repeats that never step back: each ends where a word does, so long runs of names can't exhaust the stack."""
     return pattern.replace(r")*\b", r"\b)*+\b").replace(")*,", ")*+,")
@@ -56,9 +64,13 @@ def without_recursion(pattern: str) -> str:
 def _found(pattern: str) -> Column:
     """All matches in the text, in time that grows with its length."""
     own, passed = without_recursion(pattern), PASSED.get(pattern)
-    if not passed:
-        return F.regexp_extract_all("text", F.lit(own), F.lit(0))
-    return F.filter(F.regexp_extract_all("text", F.lit(f"{own}|{passed}"), F.lit(0)), lambda x: x.rlike(f"^(?:{own})\\z"))
+    if pattern in BEGINS:
+        own = rf"\b(?={BEGINS[pattern]})" + own.removeprefix(r"\b")
+    found = F.regexp_extract_all("text", F.lit(f"{own}|{passed}" if passed else own), F.lit(0))
+    if passed:
+        found = F.filter(found, lambda x: x.rlike(f"^(?:{own})\\z"))
+    needs = [F.contains("text", F.lit(word)) for word in NEEDS.get(pattern, ())]
+    return F.when(reduce(Column.__or__, needs), found).otherwise(F.array().cast("array<string>")) if needs else found
 
 
 def mentions(docs: DataFrame, patterns: tuple[tuple[str, str], ...] = PATTERNS) -> DataFrame:

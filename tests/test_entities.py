@@ -126,3 +126,14 @@ def test_names_resolve_to_their_only_longer_form(spark):
             parents[n] = best[0]
     assert {(r.key, r.parent) for r in entity_graph.name_links(spark.createDataFrame([(n,) for n in names], "key string")).collect()} == set(parents.items())
     assert got["smith"] == got["john smith"] == "john a smith" and got["lee"] == "lee" and got["boston"] == got["acme"] == "acme corp of boston" and set(got) == set(sets)
+
+
+def test_narrowed_patterns_find_the_same(spark, docs, monkeypatch):
+    """Lists of words are tried only where one can begin, and rules only on texts that hold what they need."""
+    assert entities.BEGINS and entities.NEEDS
+    more = ["the Trade Agency paid $1,000.50 and 5 cents, 10 USD, 7 dollars", "12.5%or 3 percent of AWS and C++ in St. Paul on May 3, 2020", "agency 100 Percent"]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(500 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    got = sorted(map(tuple, entities.mentions(table).collect()))
+    monkeypatch.setattr(entities, "BEGINS", {})
+    monkeypatch.setattr(entities, "NEEDS", {})
+    assert got == sorted(map(tuple, entities.mentions(table).collect())) and {r[1] for r in got} >= {3, 9, 10, 11, 12, 14}
